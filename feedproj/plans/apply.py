@@ -98,10 +98,10 @@ def batch_changes(
     for spec in specs:
         part = stage(_resolve(reduced, state.entities[spec.kind], source, spec, now, resurrect))
         resolved[spec.kind] = part
-        rows[spec.kind] = part.where("_exists").select(
-            *[F.col(f"new_{c}").alias(c) for c in columns(spec.ddl)]
+        rows[spec.kind] = part.where("_exists").selectExpr(
+            *[f"new_{c} AS {c}" for c in columns(spec.ddl)]
         )
-        touched[spec.kind] = part.where("_key IS NOT NULL").select(F.col("_key").alias(spec.natural_key))
+        touched[spec.kind] = part.where("_key IS NOT NULL").selectExpr(f"_key AS {spec.natural_key}")
         verdicts.append(part.select(*AGGREGATE, *_VERDICT))
     verdict = reduce(DataFrame.unionByName, verdicts)
 
@@ -110,12 +110,13 @@ def batch_changes(
     joined = spread(guarded, hot, AGGREGATE, ["id"]).join(
         repeated(verdict, hot, AGGREGATE), [*AGGREGATE, "_salt"], "left"
     ).drop("_salt")
-    outcomes = joined.select(
+    outcomes = joined.selectExpr(
         "id", "event_type", *AGGREGATE, "aggregate_version", "source_updated_at",
-        _outcome().alias("outcome"), _recorded().alias("recorded"),
-        F.when(_outcome() == "rejected", F.col("violations")).alias("violations"),
+        f"{_OUTCOME} AS outcome",
+        f"{_RECORDED} AS recorded",
+        "if(outcome = 'rejected', violations, NULL) AS violations",
         "deliveries",
-        F.when(F.col("_action") == "upsert", F.col("new_sum")).otherwise(F.col("checksum")).alias("checksum"),
+        "if(_action = 'upsert', new_sum, checksum) AS checksum",
     )
     done = outcomes.where("recorded")
     return BatchChanges(
@@ -225,66 +226,62 @@ def _resolve(reduced, current, source: SourceState, spec: EntitySpec, now, resur
         *([F.col(spec.bridge_ids).alias("category_ids")] if spec.bridge_ids else []),
     )
     stored = current.join(
-        mine.select(F.col("_key").alias(spec.natural_key)), spec.natural_key, "left_semi"
-    ).select(
-        F.col(spec.natural_key).alias("_key"),
-        *[F.col(c).alias(f"old_{c}") for c in columns(spec.ddl)],
+        mine.selectExpr(f"_key AS {spec.natural_key}"), spec.natural_key, "left_semi"
+    ).selectExpr(
+        f"{spec.natural_key} AS _key", *[f"{c} AS old_{c}" for c in columns(spec.ddl)]
     )
-    joined = mine.join(shown, "_key", "left").join(stored, "_key", "left")
-
-    valid = F.coalesce(F.size("violations") == 0, F.lit(False))
-    has_old = F.col("old_id").isNotNull()
-    max_u, min_u, max_d = F.col("max_ok"), F.col("min_ok"), F.col("max_d")
-    has_up = max_u.isNotNull()
-    same = has_old & F.coalesce(F.col("old_checksum") == F.col("src_checksum"), F.lit(False))
-    up_last = has_up & (max_d.isNull() | (max_u > max_d))
-    down_last = max_d.isNotNull() & (max_u.isNull() | (max_d > max_u))
-    # A row tombstoned and published again with the same checksum stays deleted,
-    # unless the caller asks for the restore lifecycle.
-    stays_down = F.lit(False) if resurrect else up_last & max_d.isNotNull() & ((min_u < max_d) | same)
-    behind = F.coalesce(F.greatest("max_u", "max_d") < F.col("latest"), F.lit(False))
-    gone_at = (
-        F.when(behind, F.col("old_deleted_at"))
-        .when(down_last | stays_down, F.col("t_d"))
-        .when(up_last & max_d.isNull() & same & F.lit(not resurrect), F.col("old_deleted_at"))
-        .when(up_last, F.lit(None).cast("timestamp"))
-        .otherwise(F.col("old_deleted_at"))
-    )
-    restores = F.lit(resurrect) & up_last & same & (F.col("old_deleted_at").isNotNull() | max_d.isNotNull())
     decided = (
-        joined.withColumn("_ok", valid)
-        .withColumn(
-            "source_state",
-            F.when(F.col("max_u").isNull(), "unread")
-            .when(F.col("violations").isNull(), "orphan")
-            .when(~F.col("_ok"), "rejected")
-            .otherwise("ok"),
-        )
-        .withColumn("max_ok", F.when(F.col("_ok"), F.col("max_u")))
-        .withColumn("min_ok", F.when(F.col("_ok"), F.col("min_u")))
-        .withColumn("wrote", has_up & (~same | restores))
-        .withColumn("_exists", has_old | has_up)
-        .withColumn("_gone_at", gone_at)
-        .withColumn("down_holds", down_last | stays_down)
-        .withColumn("applied_version", F.greatest(max_u, max_d))
-        .withColumn("new_sum", F.col("src_checksum"))
+        mine.join(shown, "_key", "left")
+        .join(stored, "_key", "left")
+        .withColumn("_resurrect", F.lit(resurrect))
+        .selectExpr("*", *_DECISIONS)
     )
 
-    def final(name: str):
-        old, new = F.col(f"old_{name}"), F.col(f"src_{name}")
+    def final(name: str) -> str:
         if name == "deleted_at":
-            return F.col("_gone_at")
+            return "_gone_at AS new_deleted_at"
         if name in spec.insert_only:
-            return F.coalesce(old, new)
-        return F.when(F.col("wrote"), new).otherwise(old)
+            return f"coalesce(old_{name}, src_{name}) AS new_{name}"
+        return f"if(wrote, src_{name}, old_{name}) AS new_{name}"
 
-    return decided.select(
+    return decided.selectExpr(
         *AGGREGATE, "_key", "_exists", *_VERDICT,
-        *([F.col("category_ids")] if spec.bridge_ids else []),
-        *[final(c).alias(f"new_{c}") for c in columns(spec.ddl)],
+        *(["category_ids"] if spec.bridge_ids else []),
+        *[final(c) for c in columns(spec.ddl)],
     )
 
 
+# What becomes of one aggregate, from its reduced events (min_u, max_u, max_d, t_d),
+# the source row (src_*, violations) and the stored row (old_*). Later lines use
+# earlier ones.
+_DECISIONS = [
+    "coalesce(size(violations) = 0, false) AS _ok",
+    """CASE WHEN max_u IS NULL THEN 'unread' WHEN violations IS NULL THEN 'orphan'
+            WHEN NOT _ok THEN 'rejected' ELSE 'ok' END AS source_state""",
+    "if(_ok, max_u, NULL) AS max_ok",
+    "if(_ok, min_u, NULL) AS min_ok",
+    "old_id IS NOT NULL AS _has_old",
+    "coalesce(old_checksum = src_checksum, false) AS _same",
+    "coalesce(max_ok > coalesce(max_d, -1), false) AS _up_last",
+    "coalesce(max_d > coalesce(max_ok, -1), false) AS _down_last",
+    # A row tombstoned and published again with the same checksum stays deleted,
+    # unless the caller asks for the restore lifecycle.
+    """NOT _resurrect AND _up_last AND max_d IS NOT NULL
+       AND (min_ok < max_d OR _same) AS _stays_down""",
+    """_resurrect AND _up_last AND _same
+       AND (old_deleted_at IS NOT NULL OR max_d IS NOT NULL) AS _restores""",
+    "max_ok IS NOT NULL AND (NOT _same OR _restores) AS wrote",
+    "_has_old OR max_ok IS NOT NULL AS _exists",
+    """CASE WHEN coalesce(greatest(max_u, max_d) < latest, false) THEN old_deleted_at
+            WHEN _down_last OR _stays_down THEN t_d
+            WHEN _up_last AND (_resurrect OR NOT _same OR max_d IS NOT NULL) THEN NULL
+            ELSE old_deleted_at END AS _gone_at""",
+    "_down_last OR _stays_down AS down_holds",
+    "greatest(max_ok, max_d) AS applied_version",
+    "src_checksum AS new_sum",
+]
+
+
 def _links(resolved, rows, touched, state, source, specs, late_link: bool):
     """(new bridge rows, entity ids whose old rows they replace)."""
     bridged = [s for s in specs if s.bridge_ids]
@@ -323,26 +320,15 @@ def _links(resolved, rows, touched, state, source, specs, late_link: bool):
     return links, gone
 
 
-def _outcome():
-    version, up = F.col("aggregate_version"), F.col("_action") == "upsert"
-    return (
-        F.when(~F.col("_registered"), "unregistered")
-        .when(F.col("_stale"), "stale")
-        .when(~F.col("_fresh"), "duplicate")
-        .when(
-            up & (F.col("source_state") != "ok"),
-            F.when(F.col("max_d") > version, "superseded").otherwise(F.col("source_state")),
-        )
-        .when(
-            up & (version == F.col("max_ok")),
-            F.when(F.col("wrote"), "applied").otherwise("suppressed_checksum"),
-        )
-        .when(~up & (version == F.col("max_d")) & F.col("down_holds"), "applied")
-        .otherwise("superseded")
-    )
-
-
-def _recorded():
-    """Whether the event enters the ledger: fresh, and not an upsert without a usable source."""
-    up = F.col("_action") == "upsert"
-    return F.col("_fresh") & ~(up & (F.col("source_state") != "ok"))
+_OUTCOME = """
+CASE WHEN NOT _registered THEN 'unregistered'
+     WHEN _stale THEN 'stale'
+     WHEN NOT _fresh THEN 'duplicate'
+     WHEN _action = 'upsert' AND source_state <> 'ok'
+     THEN if(coalesce(max_d > aggregate_version, false), 'superseded', source_state)
+     WHEN _action = 'upsert' AND aggregate_version = max_ok
+     THEN if(wrote, 'applied', 'suppressed_checksum')
+     WHEN _action = 'tombstone' AND aggregate_version = max_d AND down_holds THEN 'applied'
+     ELSE 'superseded' END"""
+# Recorded: fresh, and not an upsert without a usable source.
+_RECORDED = "_fresh AND NOT (_action = 'upsert' AND source_state <> 'ok')"

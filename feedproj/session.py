@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,9 @@ def build_session(app: str = "feedproj", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        # Skips recording a Python call site for every Column expression.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     settings.update(conf)
     for key, value in settings.items():
@@ -53,13 +57,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it from there.
+    """Write ``df`` once to the shared folder as a table and read it from there.
 
     Used where one result feeds several outputs, or where a loop would grow the
-    plan. Survives the loss of executors, unlike a cached or local copy.
+    plan. Survives the loss of executors, unlike a cached or local copy, and its
+    readers still prune columns and know its size.
     """
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark).rstrip('/')}/staged/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -5,9 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from feedproj.operators.canonical import CATEGORY, CONTENT, POST, canonical_rows
-from feedproj.plans.apply import ProjectionState, apply_batch
-from feedproj.sources.state import SourceState, load_source_state
+from feedproj.plans.apply import ProjectionState
+from feedproj.plans.apply import apply_batch as apply_lazily
+from feedproj.session import checkpointed
+from feedproj.sources.state import SourceState
 
 EVENTS = ("id string, event_type string, event_version int, aggregate_type string, aggregate_id string,"
           "aggregate_version bigint, source_updated_at timestamp, checksum string, correlation_id string,"
@@ -22,6 +23,10 @@ RAW_TERM = ("term_id string, name string, slug string, description string, paren
             "taxonomy string")
 
 
+def apply_batch(*args, **options):
+    return apply_lazily(*args, stage=checkpointed, **options)
+
+
 def event(seq, kind, agg, version, verb, delete_at=None):
     at = f"2024-01-01 00:{seq // 60:02d}:{seq % 60:02d}"
     return (f"e{seq:04d}", f"content.{kind}.{verb}", 1, kind, str(agg), version,
@@ -29,8 +34,6 @@ def event(seq, kind, agg, version, verb, delete_at=None):
 
 
 def events_frame(spark, rows):
-    typed = "struct<" + ",".join(
-        f"{p.strip().split()[0]}:{p.strip().split()[1]}" for p in EVENTS.split(",")) + ">"
     text = EVENTS.replace("timestamp", "string")
     df = spark.createDataFrame(rows, text)
     return df.withColumn("source_updated_at", F.col("source_updated_at").cast("timestamp")).withColumn(
@@ -138,8 +141,7 @@ def test_equals_serial_model(spark, resurrect, hot_rows):
         recorded = {i for i, r in got.items() if r["recorded"]}
         assert recorded == {e[0] for e in rows if model.outcome[e[0]] == "done"}
         state = ProjectionState(
-            {k: v.localCheckpoint() if False else spark.createDataFrame(v.collect(), v.schema)
-             for k, v in state.entities.items()},
+            {k: spark.createDataFrame(v.collect(), v.schema) for k, v in state.entities.items()},
             *(spark.createDataFrame(x.collect(), x.schema) for x in (state.bridge, state.ledger, state.versions)))
     want = {a: (r["title"], r["deleted_at"], r["synced"], r["created"]) for a, r in model.rows.items()}
     assert content(state) == want
