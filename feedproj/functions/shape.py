@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feedproj.functions.text import decode_meta
@@ -60,29 +61,25 @@ def collection(page_of_rows: DataFrame, kind: str, order: list[Column]) -> DataF
 
     Takes the rows of ``listing.page_rows``: one page, at most 200 of them.
     """
-    shaped = F.struct(*SHAPES[kind]())
-    sort = F.row_number().over(_over_page(order))
+    row = F.to_json(F.struct(*SHAPES[kind]()), {"ignoreNullFields": "false"})
+    token = F.to_json(F.struct(F.max("next_cursor").alias("t")), {"ignoreNullFields": "false"})
     return (
-        page_of_rows.withColumn("_n", sort)
+        page_of_rows.withColumn("_n", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*order)))
+        .withColumn("_json", row)
         .agg(
-            F.array_sort(F.collect_list(F.struct(F.col("_n"), shaped.alias("row")))).alias("_rows"),
-            F.max("next_cursor").alias("next_cursor"),
+            F.array_sort(F.collect_list(F.struct("_n", "_json"))).alias("_rows"),
+            # '{"t":...}' without its name and closing brace.
+            F.regexp_extract(token, r"^\{\"t\":(.*)\}$", 1).alias("_token"),
         )
         .select(
-            F.to_json(
-                F.struct(F.transform("_rows", lambda r: r["row"]).alias("data"), F.col("next_cursor")),
-                {"ignoreNullFields": "false"},
+            F.concat(
+                F.lit('{"data":['), F.array_join(F.transform("_rows", lambda r: r["_json"]), ","),
+                F.lit('],"next_cursor":'), F.col("_token"), F.lit("}"),
             ).alias("document")
         )
     )
 
 
-def _over_page(order: list[Column]):
-    from pyspark.sql import Window as W
-
-    return W.partitionBy(F.lit(1)).orderBy(*order)
-
-
 def documents(df: DataFrame, kind: str) -> DataFrame:
     """Every row as one JSON document, key columns kept beside it."""
     return df.select(
