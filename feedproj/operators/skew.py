@@ -79,21 +79,21 @@ def salted_lookup(
 def number_within(
     df: DataFrame,
     keys: Sequence[str],
-    time: str,
-    tie: str,
+    order: Sequence[str],
+    piece: Column,
     out: str,
     rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """``row_number()`` per key in ``(time, tie)`` order, 1-based, without one-task keys.
+    """``row_number()`` per key in ``order``, 1-based, without one-task keys.
 
-    Hot keys are cut into minutes: rows are numbered inside a minute, and the
-    counts of the earlier minutes are added. Other keys stay in one piece, so the
-    data is shuffled once either way.
+    ``piece`` must not decrease along ``order`` (a minute of a time order, say).
+    Hot keys are cut into pieces: rows are numbered inside a piece, and the counts
+    of the earlier pieces are added. Other keys stay whole, so the data is
+    shuffled once either way.
     """
     hot = F.broadcast(hot_keys(df, keys, rows))
-    minute = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / F.lit(60_000_000))
     cut = df.join(hot, list(keys), "left").withColumn(
-        "_piece", F.when(F.col("_ways").isNotNull(), minute).otherwise(F.lit(0).cast("bigint"))
+        "_piece", F.when(F.col("_ways").isNotNull(), piece)
     )
     before = (
         cut.where(F.col("_ways").isNotNull())
@@ -107,7 +107,7 @@ def number_within(
         )
         .drop("_n")
     )
-    inside = F.row_number().over(W.partitionBy(*keys, "_piece").orderBy(time, tie))
+    inside = F.row_number().over(W.partitionBy(*keys, "_piece").orderBy(*order))
     return (
         cut.withColumn("_inside", inside)
         .join(before, [*keys, "_piece"], "left")
