@@ -11,8 +11,8 @@ from feedproj.functions.times import instant
 from feedproj.operators.canonical import EntitySpec
 from feedproj.operators.capture import is_public
 from feedproj.operators.guards import partition_of, registered
-from feedproj.operators.projection import rewrite_bridge, tombstone, upsert_rows
-from feedproj.schema import QUEUE_LAG_TARGET_SECONDS, SYNC_DELAY_TARGET_SECONDS
+from feedproj.operators.projection import beside, chosen, rewrite_bridge
+from feedproj.schema import PUBLIC_STATUSES, QUEUE_LAG_TARGET_SECONDS, SYNC_DELAY_TARGET_SECONDS
 
 # --- replay -----------------------------------------------------------------
 
@@ -86,22 +86,29 @@ def validate_incremental(canonical: DataFrame, projection: DataFrame, spec: Enti
 
 
 def reconcile(canonical: DataFrame, projection: DataFrame, spec: EntitySpec, as_of) -> DataFrame:
-    """The projection repaired from the source, which always wins.
+    """The projection repaired from the source, which always wins; one join.
 
-    A row the source no longer has is tombstoned at ``as_of``, one no longer
-    public at its source time.
+    Missing and changed rows are written, with ``deleted_at`` cleared. A row the
+    source no longer has is tombstoned at ``as_of``, one no longer public at its
+    source time.
     """
-    drift = detect_drift(canonical, projection, spec)
-    broken = drift.where(F.col("drift").isin("missing", "changed")).select(
-        F.col(spec.natural_key).alias(spec.key))
-    repaired = upsert_rows(projection, canonical.join(broken, spec.key, "left_semi"), spec, as_of)
-    gone = drift.where(F.col("drift").isin("extra", "not_tombstoned")).select(spec.natural_key)
-    at = "modified_at" if "modified_at" in canonical.columns else None
-    times = canonical.select(
-        F.col(spec.key).alias(spec.natural_key), (F.col(at) if at else instant(as_of)).alias("_at"))
-    deletes = gone.join(times, spec.natural_key, "left").select(
-        spec.natural_key, F.coalesce("_at", instant(as_of)).alias("source_updated_at"))
-    return tombstone(repaired, deletes, spec)
+    dated = [c for c in ("status", "modified_at") if c in canonical.columns]
+    public = f"coalesce(_status IN ({', '.join(map(repr, PUBLIC_STATUSES))}), false)" if "status" in dated else "true"
+    gone_at = "_modified_at" if "modified_at" in dated else "_now"
+    rows = beside(projection, canonical, spec, as_of, *dated).withColumn("_now", instant(as_of))
+    return (
+        rows.selectExpr(
+            "*",
+            "src_id IS NOT NULL AS _given",
+            "old_id IS NOT NULL AND old_deleted_at IS NULL AS _live",
+            f"_given AND {public} AS _public",
+            "_public AND (NOT _live OR src_checksum <> old_checksum) AS _take",
+            f"""CASE WHEN _take THEN NULL WHEN _live AND NOT _given THEN _now
+                     WHEN _live AND NOT _public THEN {gone_at} ELSE old_deleted_at END AS _gone_at""",
+        )
+        .where("old_id IS NOT NULL OR _take")
+        .selectExpr(*chosen(spec, "_take", "_gone_at"))
+    )
 
 
 def reconcile_bridge(canonical: DataFrame, projection: DataFrame, bridge: DataFrame, taxonomies: DataFrame,

@@ -58,23 +58,39 @@ def projected_columns(spec: EntitySpec, as_of) -> dict[str, Column]:
     return {c: row.get(c, F.col(c)) for c in columns(spec.ddl)}
 
 
+def beside(current: DataFrame, canonical: DataFrame, spec: EntitySpec, as_of, *extra: str) -> DataFrame:
+    """Stored and new rows side by side: the key, ``old_*``, ``src_*`` and ``extra``
+    canonical columns. One pass and one shuffle of each side."""
+    key = spec.natural_key
+    fresh = canonical.select(
+        *[c.alias(key if n == key else f"src_{n}") for n, c in projected_columns(spec, as_of).items()],
+        *[F.col(c).alias(f"_{c}") for c in extra],
+    )
+    stored = current.selectExpr(
+        *[key if c == key else f"{c} AS old_{c}" for c in columns(spec.ddl)])
+    return fresh.join(stored, key, "full_outer")
+
+
+def chosen(spec: EntitySpec, take: str, deleted_at: str) -> list[str]:
+    """Projection columns out of ``beside`` rows: new where ``take`` holds, else stored."""
+    def column(name: str) -> str:
+        if name == spec.natural_key:
+            return name
+        if name == "deleted_at":
+            return f"{deleted_at} AS deleted_at"
+        if name in spec.insert_only:
+            return f"coalesce(old_{name}, src_{name}) AS {name}"
+        return f"if({take}, src_{name}, old_{name}) AS {name}"
+
+    return [column(c) for c in columns(spec.ddl)]
+
+
 def upsert_rows(current: DataFrame, canonical: DataFrame, spec: EntitySpec, as_of) -> DataFrame:
     """Insert or update by natural key. Surrogate id, creation time and type survive
     an update; ``deleted_at`` becomes NULL."""
-    key = spec.natural_key
-    fresh = canonical.select(*[c.alias(n) for n, c in projected_columns(spec, as_of).items()])
-    kept = [c for c in spec.insert_only if c in fresh.columns]
-    touched = fresh.select(key)
-    old = current.join(touched, key, "left_semi").select(
-        key, *[F.col(c).alias(f"_old_{c}") for c in kept]
-    )
-    rows = fresh.join(old, key, "left").select(
-        *[
-            (F.coalesce(f"_old_{c}", c).alias(c) if c in kept else F.col(c))
-            for c in columns(spec.ddl)
-        ]
-    )
-    return replaced(current, rows, key)
+    rows = beside(current, canonical, spec, as_of)
+    given = "src_id IS NOT NULL"
+    return rows.selectExpr(*chosen(spec, given, f"if({given}, NULL, old_deleted_at)"))
 
 
 def tombstone(current: DataFrame, deletes: DataFrame, spec: EntitySpec) -> DataFrame:

@@ -80,12 +80,12 @@ def batch_changes(
 ) -> BatchChanges:
     """Resolve a batch to changed rows and one outcome per event id.
 
-    ``stage`` materialises the two intermediates that several outputs share
+    ``stage`` materialises the intermediates that several outputs share
     (``session.checkpointed`` when writing); by default the plan stays lazy.
     ``force`` replays stored events past the ledger and version guards.
     """
     now = instant(as_of)
-    guarded = stage(_guarded_events(events, state, force, hot_rows))
+    guarded = stage(_guarded_events(events, state, force, hot_rows, stage))
     hot = hot_keys(guarded, AGGREGATE, hot_rows)
     live = guarded.where(F.col("_fresh"))
     latest = F.max("latest").alias("latest")
@@ -172,7 +172,7 @@ _VERDICT = [
 ]
 
 
-def _guarded_events(events: DataFrame, state: ProjectionState, force: bool, hot_rows: int) -> DataFrame:
+def _guarded_events(events: DataFrame, state: ProjectionState, force: bool, hot_rows: int, stage) -> DataFrame:
     """One row per event id with ``latest``, ``_known`` (in the ledger) and ``_fresh``.
 
     Shuffled by id for copies and ledger together, then by aggregate for versions.
@@ -181,22 +181,22 @@ def _guarded_events(events: DataFrame, state: ProjectionState, force: bool, hot_
         "id", "event_type", *AGGREGATE, "aggregate_version", "source_updated_at", "checksum"
     )
     rest = [c for c in slim.columns if c != "id"]
-    once = slim.groupBy("id").agg(
+    # Copies of an id are reduced inside each task before they move.
+    once = stage(slim.groupBy("id").agg(
         *[F.first(c).alias(c) for c in rest], F.count(F.lit(1)).alias("deliveries")
-    )
+    ))
     # The ledger only grows: it is filtered to this batch's ids, which are broadcast
     # when they are few, rather than shuffled against them.
     known = state.ledger.select(F.col("event_id").alias("id")).join(
-        events.select("id"), "id", "left_semi"
-    ).distinct().withColumn("_known", F.lit(True))
-    once = once.join(known, "id", "left")
-    hot = hot_keys(slim, AGGREGATE, hot_rows)
-    keys = slim.select(*AGGREGATE).distinct()
+        once.select("id"), "id", "left_semi"
+    ).withColumn("_known", F.lit(True))
+    hot = hot_keys(once, AGGREGATE, hot_rows)
+    keys = once.select(*AGGREGATE).distinct()
     latest = state.versions.select(*AGGREGATE, F.col("latest_processed_version").alias("latest")).join(
         keys, AGGREGATE, "left_semi"
     )
     seen = (
-        spread(once, hot, AGGREGATE, ["id"])
+        spread(once.join(known, "id", "left"), hot, AGGREGATE, ["id"])
         .join(repeated(latest, hot, AGGREGATE), [*AGGREGATE, "_salt"], "left")
         .drop("_salt")
     )

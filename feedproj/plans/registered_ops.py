@@ -56,9 +56,11 @@ def _(t):
 
 
 def feed_files(t) -> str:
-    """The feed as a landing folder of files, in capture order."""
+    """The feed as a landing folder, two files that arrive after two earlier ones."""
     path = scratch(t, "landing")
-    t.fx_redelivered.repartitionByRange(4, "created_at").write.parquet(path)
+    early = F.col("created_at") < F.lit("2024-01-15").cast("timestamp")
+    for part in (early, ~early):
+        t.fx_redelivered.where(part).repartition(2, "aggregate_id").write.mode("append").parquet(path)
     return path
 
 
@@ -400,10 +402,10 @@ def grams(rows: str, key: str, text: str) -> str:
 @query("similar", f""", g as ({grams('fx_pages', 'source_post_id', 'title')}),
 q as ({grams("(select 0 as one)", 'one', "'small rings'")}),
 counted as (
-  select source_post_id, count(*) as n, count(*) filter (where gram in (select gram from q)) as both
+  select source_post_id, count(*) as n, count(*) filter (where gram in (select gram from q)) as shared
   from g group by source_post_id)
-select source_post_id, round(both / (n + (select count(*) from q) - both), 6) as similarity
-from counted where round(both / (n + (select count(*) from q) - both), 6) >= 0.3""")
+select source_post_id, round(shared / (n + (select count(*) from q) - shared), 6) as similarity
+from counted where round(shared / (n + (select count(*) from q) - shared), 6) >= 0.3""")
 def _(t):
     return search.similar(t.fx_pages, F.col("title"), "small rings").select("source_post_id", "similarity")
 

@@ -126,8 +126,8 @@ def _(t):
 
 
 for _kind, _table, _slug, _where in (
-    ("page", "fx_pages", "part-21", VISIBLE),
-    ("post", "fx_posts", "order-21", VISIBLE),
+    ("page", "fx_pages", "part-5", VISIBLE),
+    ("post", "fx_posts", "order-32", VISIBLE),
     ("category", "fx_taxonomies", "nation-7", "deleted_at is null"),
 ):
     def _find(t, table=_table, slug=_slug):
