@@ -121,4 +121,5 @@ def main() -> None:
     spark.stop()
 
 
-main()
+if __name__ == "__main__":
+    main()

@@ -67,7 +67,7 @@ def collection(page_of_rows: DataFrame, kind: str, order: list[Column]) -> DataF
         page_of_rows.withColumn("_n", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*order)))
         .withColumn("_json", row)
         .agg(
-            F.array_sort(F.collect_list(F.struct("_n", "_json"))).alias("_rows"),
+            F.sort_array(F.collect_list(F.struct("_n", "_json"))).alias("_rows"),
             # '{"t":...}' without its name and closing brace.
             F.regexp_extract(token, r"^\{\"t\":(.*)\}$", 1).alias("_token"),
         )

@@ -24,13 +24,13 @@ def is_blank(col: Column) -> Column:
 
 def _canonical_escapes(json: Column) -> Column:
     """Escapes as the checksum contract wants them: ``\\/`` and lower-case hex."""
-    lowered = json
+    # Escaped backslashes step aside first, so that only real escapes are changed;
+    # JSON text holds no raw control character, which makes one a safe stand-in.
+    lowered = F.replace(json, F.lit("\\\\"), F.lit("\x01"))
     for code in LETTERED_ESCAPES:
-        # An escape counts only after an even run of backslashes.
-        lowered = F.regexp_replace(
-            lowered, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\u00{code.lower()}"
-        )
-    escaped = F.when(json.rlike(r"\\u00[01][A-F]"), lowered).otherwise(json)
+        lowered = F.replace(lowered, F.lit(f"\\u00{code}"), F.lit(f"\\u00{code.lower()}"))
+    lowered = F.replace(lowered, F.lit("\x01"), F.lit("\\\\"))
+    escaped = F.when(json.contains("\\u00"), lowered).otherwise(json)
     escaped = F.replace(escaped, F.lit("/"), F.lit("\\/"))
     escaped = F.replace(escaped, F.lit("\u2028"), F.lit("\\u2028"))
     return F.replace(escaped, F.lit("\u2029"), F.lit("\\u2029"))
@@ -38,7 +38,7 @@ def _canonical_escapes(json: Column) -> Column:
 
 def canonical_map_json(col: Column) -> Column:
     """Key-sorted JSON object of a string map; an absent or empty map is ``[]``."""
-    entries = F.array_sort(F.map_entries(col))
+    entries = F.sort_array(F.map_entries(col))
     return F.when(
         F.coalesce(F.size(col), F.lit(0)) > 0,
         _canonical_escapes(F.to_json(F.map_from_entries(entries))),
@@ -47,7 +47,7 @@ def canonical_map_json(col: Column) -> Column:
 
 def canonical_ids_json(col: Column) -> Column:
     """Ascending JSON list of ids; an absent list is ``[]``."""
-    return F.coalesce(F.to_json(F.array_sort(col)), F.lit("[]"))
+    return F.coalesce(F.to_json(F.sort_array(col)), F.lit("[]"))
 
 
 def first_values(col: Column) -> Column:

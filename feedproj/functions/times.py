@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedproj.schema import ISO_DATE_FORMAT, SQL_DATE_FORMAT, ZERO_DATE
+from feedproj.schema import ISO_DATE, SQL_DATE, ZERO_DATE
 
 
 def instant(value: str | dt.datetime | Column) -> Column:
@@ -26,12 +26,18 @@ def is_unset(col: Column) -> Column:
     return col.isNull() | col.isin("", ZERO_DATE)
 
 
+def _shaped(col: Column, shape: str) -> Column:
+    # The pattern fixes the format, the cast checks the calendar: a cast neither
+    # throws on bad text nor builds a formatter, unlike parsing with a format.
+    return F.when(col.rlike(shape), col.try_cast("timestamp"))
+
+
 def _sql_date(col: Column) -> Column:
-    return F.try_to_timestamp(col, F.lit(SQL_DATE_FORMAT))
+    return _shaped(col, SQL_DATE)
 
 
 def _iso_date(col: Column) -> Column:
-    return F.try_to_timestamp(col, F.lit(ISO_DATE_FORMAT))
+    return _shaped(col, ISO_DATE)
 
 
 def date_is_acceptable(col: Column) -> Column:

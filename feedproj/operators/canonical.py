@@ -20,7 +20,7 @@ from feedproj.functions.text import (
     is_blank,
     trimmed,
 )
-from feedproj.functions.times import atom, date_is_acceptable, is_unset, parse_gmt
+from feedproj.functions.times import atom, is_unset, parse_gmt
 from feedproj.schema import PAGES, POSTS, TAXONOMIES
 
 
@@ -226,10 +226,11 @@ def violations(spec: EntitySpec) -> Column:
 
 
 def _date_is_usable(col: Column) -> Column:
-    """Acceptable, and readable by the extraction rule too (a ``-05:00`` date is not)."""
-    return is_unset(col) | (
-        date_is_acceptable(col) & parse_gmt(col, F.lit(None).cast("timestamp")).isNotNull()
-    )
+    """Unset, or acceptable and readable by the extraction rule (a ``-05:00`` date is not).
+
+    What the extraction rule reads is always acceptable, so that rule alone decides.
+    """
+    return is_unset(col) | parse_gmt(col, F.lit(None).cast("timestamp")).isNotNull()
 
 
 def validate(df: DataFrame, spec: EntitySpec) -> tuple[DataFrame, DataFrame]:

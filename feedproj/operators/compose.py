@@ -21,7 +21,7 @@ def compose(parts: dict[str, tuple[DataFrame, list[Column], list[str]]]) -> Data
     for name, (rows, order, shown) in parts.items():
         ranked = rows.withColumn("_json", F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}))
         placed = ranked.withColumn("_n", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(*order)))
-        lists.append(placed.agg(F.array_sort(F.collect_list(F.struct("_n", "_json"))).alias("_rows")).select(
+        lists.append(placed.agg(F.sort_array(F.collect_list(F.struct("_n", "_json"))).alias("_rows")).select(
             F.concat(F.lit(f'"{name}":['), F.array_join(F.transform("_rows", lambda r: r["_json"]), ","),
                      F.lit("]")).alias("part")))
     first, *rest = lists

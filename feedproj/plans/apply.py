@@ -88,6 +88,10 @@ def batch_changes(
     guarded = stage(_guarded_events(events, state, force, hot_rows, stage))
     hot = hot_keys(guarded, AGGREGATE, hot_rows)
     live = guarded.where(F.col("_fresh"))
+    if stage is not _keep:
+        # Only the kinds that occur are resolved; a batch of stale copies resolves nothing.
+        kinds = {r[0] for r in live.select("aggregate_type").distinct().collect()}
+        specs = [s for s in specs if s.kind in kinds]
     latest = F.max("latest").alias("latest")
     reduced = reduce_aggregates(live).join(
         live.where("latest IS NOT NULL").groupBy(*AGGREGATE).agg(latest), AGGREGATE, "left"
@@ -103,7 +107,8 @@ def batch_changes(
         )
         touched[spec.kind] = part.where("_key IS NOT NULL").selectExpr(f"_key AS {spec.natural_key}")
         verdicts.append(part.select(*AGGREGATE, *_VERDICT))
-    verdict = reduce(DataFrame.unionByName, verdicts)
+    spark = events.sparkSession
+    verdict = reduce(DataFrame.unionByName, verdicts) if verdicts else spark.createDataFrame([], _VERDICT_DDL)
 
     linked, relinked = _links(resolved, rows, touched, state, source, specs, late_link)
 
@@ -172,6 +177,13 @@ _VERDICT = [
 ]
 
 
+_VERDICT_DDL = (
+    "aggregate_type string, aggregate_id string, min_ok bigint, max_ok bigint, max_d bigint, "
+    "source_state string, violations array<string>, new_sum string, wrote boolean, "
+    "down_holds boolean, applied_version bigint"
+)
+
+
 def _guarded_events(events: DataFrame, state: ProjectionState, force: bool, hot_rows: int, stage) -> DataFrame:
     """One row per event id with ``latest``, ``_known`` (in the ledger) and ``_fresh``.
 
@@ -282,42 +294,41 @@ _DECISIONS = [
 ]
 
 
+def _after(state: ProjectionState, kind: str, key: str, rows, touched) -> DataFrame:
+    """One entity table as the batch leaves it."""
+    current = state.entities[kind]
+    return replaced(current, rows[kind], key, touched[kind]) if kind in rows else current
+
+
 def _links(resolved, rows, touched, state, source, specs, late_link: bool):
     """(new bridge rows, entity ids whose old rows they replace)."""
-    bridged = [s for s in specs if s.bridge_ids]
-    if not bridged:
-        nothing = state.bridge.limit(0)
-        return nothing, nothing.select("entity_id")
-    terms = replaced(
-        state.entities["category"], rows["category"], "source_term_id", touched["category"]
-    ) if "category" in rows else state.entities["category"]
-    linked, relinked = [], []
-    for spec in bridged:
-        written = resolved[spec.kind].where("wrote").select(F.col("new_id").alias("id"), "category_ids")
-        linked.append(link_rows(written, terms))
-        relinked.append(written.select(F.col("id").alias("entity_id")))
-    links = reduce(DataFrame.unionByName, linked)
-    gone = reduce(DataFrame.unionByName, relinked)
-    if late_link and "category" in rows:
-        # Posts written before their category existed: linked from the source now.
-        arrived = rows["category"].join(
-            state.entities["category"].select("source_term_id"), "source_term_id", "left_anti"
-        ).select(F.col("source_term_id").alias("term_id"), F.col("id").alias("taxonomy_id"))
-        posts = replaced(
-            state.entities["post"], rows["post"], "source_post_id", touched["post"]
-        ).select(F.col("source_post_id").alias("post_id"), F.col("id").alias("entity_id"))
-        late = (
-            source.post_terms.select("post_id", F.col("term_id").cast("bigint").alias("term_id"))
-            .join(arrived, "term_id")
-            .join(posts, "post_id")
-            .select("entity_id", "taxonomy_id")
-            .distinct()
-        )
-        late = late.join(gone, "entity_id", "left_anti")
-        kept = state.bridge.join(late.select("entity_id"), "entity_id", "left_semi")
-        links = links.unionByName(late).unionByName(kept.join(gone, "entity_id", "left_anti")).distinct()
-        gone = gone.unionByName(late.select("entity_id").distinct())
-    return links, gone
+    links, gone = state.bridge.limit(0), state.bridge.limit(0).select("entity_id")
+    terms = _after(state, "category", "source_term_id", rows, touched) if "category" in state.entities else None
+    for spec in specs:
+        if spec.bridge_ids:
+            written = resolved[spec.kind].where("wrote").selectExpr("new_id AS id", "category_ids")
+            links = links.unionByName(link_rows(written, terms))
+            gone = gone.unionByName(written.selectExpr("id AS entity_id"))
+    if not (late_link and "category" in rows):
+        return links, gone
+    # Posts written before their category existed are linked from the source now.
+    arrived = rows["category"].join(
+        state.entities["category"].select("source_term_id"), "source_term_id", "left_anti"
+    ).selectExpr("source_term_id AS term_id", "id AS taxonomy_id")
+    posts = _after(state, "post", "source_post_id", rows, touched).selectExpr(
+        "source_post_id AS post_id", "id AS entity_id")
+    late = (
+        source.post_terms.selectExpr("post_id", "cast(term_id AS bigint) AS term_id")
+        .distinct()
+        .join(arrived, "term_id")
+        .join(posts, "post_id")
+        .select("entity_id", "taxonomy_id")
+        .join(gone, "entity_id", "left_anti")
+    )
+    # Their older links stay.
+    kept = state.bridge.join(late.select("entity_id"), "entity_id", "left_semi")
+    late = late.unionByName(kept.join(gone, "entity_id", "left_anti")).distinct()
+    return links.unionByName(late), gone.unionByName(late.select("entity_id").distinct())
 
 
 _OUTCOME = """

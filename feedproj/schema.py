@@ -20,8 +20,8 @@ PARTITIONS = ("content", "commerce", "system")
 PUBLIC_STATUSES = ("publish",)
 POST_TYPES = ("post", "page")
 ZERO_DATE = "0000-00-00 00:00:00"
-SQL_DATE_FORMAT = "yyyy-MM-dd HH:mm:ss"
-ISO_DATE_FORMAT = "yyyy-MM-dd'T'HH:mm:ssXXX"
+SQL_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"
+ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(Z|[+-][0-9]{2}:[0-9]{2})$"
 RETRY_LIMIT = 10
 BACKOFF_BASE_SECONDS = 30
 BACKOFF_CAP_SECONDS = 3600

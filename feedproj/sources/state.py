@@ -43,19 +43,15 @@ def meta_maps(meta: DataFrame) -> DataFrame:
     )
     return first.groupBy("post_id").agg(
         F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct(F.col("meta_key").cast("string"), F.col("_first.v").cast("string"))))
+            F.sort_array(F.collect_list(F.struct(F.col("meta_key").cast("string"), F.col("_first.v").cast("string"))))
         ).alias("meta")
     )
 
 
 def category_lists(post_terms: DataFrame) -> DataFrame:
-    """``post_id, category_ids``: ascending distinct term ids."""
-    return (
-        post_terms.select("post_id", F.col("term_id").cast("bigint").alias("term_id"))
-        .distinct()
-        .groupBy("post_id")
-        .agg(F.array_sort(F.collect_list("term_id")).alias("category_ids"))
-    )
+    """``post_id, category_ids``: ascending distinct term ids, sets merged task by task."""
+    ids = F.sort_array(F.collect_set(F.col("term_id").cast("bigint")))
+    return post_terms.groupBy("post_id").agg(ids.alias("category_ids"))
 
 
 def load_source_state(source: SourceState, spec: EntitySpec, keys: DataFrame | None = None) -> DataFrame:

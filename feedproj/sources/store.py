@@ -99,24 +99,29 @@ class ProjectionStore:
 
     # --- writes ---
 
-    def write_projection(self, changes: BatchChanges, as_of, feed: str = "feed", batch: int | None = None) -> dict:
+    def write_projection(self, changes: BatchChanges, as_of, feed: str = "feed", batch: int | None = None,
+                         forced: bool = False) -> dict:
         """Commit one batch: projections, bridge, ledger and versions, or nothing."""
         base = self.manifest()
         version = base["version"] + 1
         buckets = {k: dict(v) for k, v in base["buckets"].items()}
         merged = {
-            s.kind: (changes.rows[s.kind], changes.touched[s.kind]) for s in self.specs
+            s.kind: (changes.rows[s.kind], changes.touched[s.kind]) for s in changes.specs
         }
-        merged["bridge"] = (changes.linked, changes.relinked)
+        if merged:
+            merged["bridge"] = (changes.linked, changes.relinked)
         for name, (rows, touched) in merged.items():
             _, keys = self.tables[name]
             self._rewrite(base, buckets, version, name, touched.select(*keys),
                           lambda old, name=name, r=rows, t=touched: replaced(old, r, self.tables[name][1][0], t))
-        self._rewrite(base, buckets, version, "versions", changes.versions.select(*AGGREGATE),
-                      lambda old: advance_versions(old, changes.versions, as_of))
-        known = self._ledger(base).select("event_id")
-        changes.ledger.join(known, "event_id", "left_anti").write.mode("overwrite").parquet(
-            f"{self.root}/ledger/version={version}")
+        if merged:
+            self._rewrite(base, buckets, version, "versions", changes.versions.select(*AGGREGATE),
+                          lambda old: advance_versions(old, changes.versions, as_of))
+            # Forced replays bring ids the ledger has; of a normal batch none are left here.
+            new = changes.ledger
+            if forced:
+                new = new.join(self._ledger(base).select("event_id"), "event_id", "left_anti")
+            new.write.mode("overwrite").parquet(f"{self.root}/ledger/version={version}")
         manifest = {
             "version": version, "buckets": buckets, "bucket_count": self.buckets,
             "feeds": {**base["feeds"], **({feed: batch} if batch is not None else {})},
@@ -155,5 +160,5 @@ class ProjectionStore:
         changes = batch_changes(
             events, self.state(base), source, as_of, specs=self.specs, stage=checkpointed, **options)
         outcomes = checkpointed(changes.outcomes)
-        self.write_projection(changes, as_of, feed, batch)
+        self.write_projection(changes, as_of, feed, batch, forced=bool(options.get("force")))
         return outcomes
