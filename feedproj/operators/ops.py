@@ -236,7 +236,8 @@ def tier_events(events: DataFrame, as_of, hot_days: int = 30, warm_days: int = 3
 def write_tiers(events: DataFrame, path: str, as_of, **days) -> None:
     """One directory per tier and capture day, so a tier can be moved or dropped whole."""
     tiered = tier_events(events, as_of, **days).withColumn("day", F.to_date("created_at"))
-    tiered.write.mode("overwrite").partitionBy("tier", "day").parquet(path)
+    # AQE gives a day as many files as its size needs, and no more.
+    tiered.hint("rebalance", "tier", "day").write.mode("overwrite").partitionBy("tier", "day").parquet(path)
 
 
 def audit_timeline(audit: DataFrame, entity_type: str, entity_id: str | None = None) -> DataFrame:

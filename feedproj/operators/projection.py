@@ -14,6 +14,7 @@ from feedproj.functions.ids import surrogate_id
 from feedproj.functions.times import instant
 from feedproj.operators.canonical import EntitySpec
 from feedproj.operators.guards import AGGREGATE
+from feedproj.operators.skew import salted_lookup
 from feedproj.schema import columns
 
 
@@ -38,11 +39,8 @@ def suppress(canonical: DataFrame, current: DataFrame, spec: EntitySpec) -> Data
 def version_guard(incoming: DataFrame, versions: DataFrame) -> DataFrame:
     """Add ``outdated``: strictly older than the stored version (equal passes)."""
     stored = versions.select(*AGGREGATE, F.col("latest_processed_version").alias("_latest"))
-    return (
-        incoming.join(stored, AGGREGATE, "left")
-        .withColumn("outdated", F.coalesce(F.col("aggregate_version") < F.col("_latest"), F.lit(False)))
-        .drop("_latest")
-    )
+    older = F.coalesce(F.col("aggregate_version") < F.col("_latest"), F.lit(False))
+    return salted_lookup(incoming, stored, AGGREGATE, ["id"]).withColumn("outdated", older).drop("_latest")
 
 
 def projected_columns(spec: EntitySpec, as_of) -> dict[str, Column]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,6 +13,7 @@ from feedproj.session import checkpointed
 
 HOT_ROWS = 1_000_000
 MOST_HOT_KEYS = 10_000
+NULL_SALTS = 4096
 
 
 def hot_keys(
@@ -34,14 +36,21 @@ def hot_keys(
 
 
 def spread(many: DataFrame, hot: DataFrame, keys: Sequence[str], salt_by: Sequence[str]) -> DataFrame:
-    """Add ``_salt``: 0 for ordinary keys, a hash of ``salt_by`` for hot ones.
+    """Add ``_salt``: 0 for ordinary keys, a hash of ``salt_by`` for hot and for NULL ones.
 
-    Never a random number, so retried tasks agree.
+    Never a random number, so retried tasks agree. A NULL key meets no row, so any
+    salt will do; without one all NULLs would land in the same task.
     """
-    salt = F.pmod(F.xxhash64(*salt_by), F.col("_ways")).cast("int")
+    mixed = F.xxhash64(*salt_by)
+    absent = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
     return (
         many.join(F.broadcast(hot), list(keys), "left")
-        .withColumn("_salt", F.coalesce(salt, F.lit(0)))
+        .withColumn(
+            "_salt",
+            F.when(absent, F.pmod(mixed, F.lit(NULL_SALTS)))
+            .otherwise(F.coalesce(F.pmod(mixed, F.col("_ways")), F.lit(0)))
+            .cast("int"),
+        )
         .drop("_ways")
     )
 

@@ -18,6 +18,7 @@ def build_session(app: str = "feedproj", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.ui.enabled": "false",
         # Skips recording a Python call site for every Column expression.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -30,9 +31,18 @@ def build_session(app: str = "feedproj", master: str | None = None, **conf: str)
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
-    """Every timestamp in the feed is a UTC instant, so the session must render UTC."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Runtime settings every operator relies on, for sessions made elsewhere.
+
+    Every timestamp in the feed is a UTC instant, so the session must render UTC.
+    A skewed join is split even where a later step then needs one more shuffle:
+    otherwise a group-by on the join key keeps a hot key in one task.
+    """
+    for key, value in (
+        ("spark.sql.session.timeZone", "UTC"),
+        ("spark.sql.adaptive.forceOptimizeSkewedJoin", "true"),
+    ):
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -67,3 +77,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/staged/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Staging:
+    """``checkpointed`` that remembers its tables, so a long-running feed can drop them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{shared_dir(spark).rstrip('/')}/staged/{uuid.uuid4().hex}"
+        self._n = 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self._n += 1
+        path = f"{self.root}/{self._n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Delete the staged tables; frames read from them must not be used any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,6 +4,7 @@ Layout under one root:
 
     <table>/version=<n>/bucket=<b>/...   rows of one hash bucket, written by batch n
     ledger/version=<n>/...               ids recorded by batch n (append only)
+    outcomes/version=<n>/...             what became of each event of batch n
     manifests/<n>.json                   which version holds each bucket, last batch of each feed
 
 A batch writes new directories for the buckets it touches and then creates its
@@ -22,12 +23,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedproj.functions.times import instant
 from feedproj.operators.canonical import CONTENT, EntitySpec
 from feedproj.operators.guards import AGGREGATE
 from feedproj.plans.apply import BatchChanges, ProjectionState, batch_changes
 from feedproj.operators.projection import advance_versions, replaced
 from feedproj.schema import BRIDGE, LEDGER, VERSIONS
-from feedproj.session import checkpointed
+from feedproj.session import Staging
 from feedproj.sources.state import SourceState
 
 
@@ -44,11 +46,16 @@ class ProjectionStore:
         jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm_path
 
+    def numbered(self, folder: str, before: str = "", after: str = "") -> list[int]:
+        """Numbers n of the entries named ``<before>n<after>`` in a folder."""
+        fs, path = self._fs(folder)
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        inner = [n[len(before):len(n) - len(after)] for n in names if n.startswith(before) and n.endswith(after)]
+        return [int(n) for n in inner if n.isdigit()]
+
     def manifest(self) -> dict:
         """The committed manifest; version 0 is the empty store."""
-        fs, folder = self._fs(f"{self.root}/manifests")
-        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-        done = [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
+        done = self.numbered(f"{self.root}/manifests", after=".json")
         if not done:
             return {"version": 0, "buckets": {}, "feeds": {}, "bucket_count": self.buckets}
         rows = self.spark.read.text(f"{self.root}/manifests/{max(done)}.json", wholetext=True)
@@ -114,17 +121,19 @@ class ProjectionStore:
             _, keys = self.tables[name]
             self._rewrite(base, buckets, version, name, touched.select(*keys),
                           lambda old, name=name, r=rows, t=touched: replaced(old, r, self.tables[name][1][0], t))
+        changes.outcomes.write.mode("overwrite").parquet(f"{self.root}/outcomes/version={version}")
         if merged:
             self._rewrite(base, buckets, version, "versions", changes.versions.select(*AGGREGATE),
                           lambda old: advance_versions(old, changes.versions, as_of))
             # Forced replays bring ids the ledger has; of a normal batch none are left here.
-            new = changes.ledger
+            new = self.outcomes(version).where("recorded").select(
+                F.col("id").alias("event_id"), "checksum", instant(as_of).alias("processed_at"))
             if forced:
                 new = new.join(self._ledger(base).select("event_id"), "event_id", "left_anti")
             new.write.mode("overwrite").parquet(f"{self.root}/ledger/version={version}")
         manifest = {
             "version": version, "buckets": buckets, "bucket_count": self.buckets,
-            "feeds": {**base["feeds"], **({feed: batch} if batch is not None else {})},
+            "feeds": {**base["feeds"], feed: {"batch": batch, "version": version}},
         }
         self._publish(manifest)
         return manifest
@@ -137,28 +146,37 @@ class ProjectionStore:
             return
         path = f"{self.root}/{name}/version={version}"
         merged = merge(self._table(base, name, hit)).withColumn("bucket", self._bucket(keys))
-        # Several tasks may write one bucket: nothing forces a bucket through one task.
-        merged.write.mode("overwrite").partitionBy("bucket").parquet(path)
-        fs, folder = self._fs(path)
-        written = {s.getPath().getName()[len("bucket="):] for s in fs.listStatus(folder)
-                   if s.getPath().getName().startswith("bucket=")}
+        # AQE sizes the write: a large bucket gets several tasks, small ones share one,
+        # and a bucket is not scattered into a file per task.
+        merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        written = set(self.numbered(path, "bucket="))
         held = buckets.setdefault(name, {})
-        for b in map(str, hit):
+        for b in hit:
             if b in written:
-                held[b] = version
+                held[str(b)] = version
             else:
-                held.pop(b, None)
+                held.pop(str(b), None)
+
+    def outcomes(self, version: int) -> DataFrame:
+        """What became of every event of one committed batch."""
+        return self.spark.read.parquet(f"{self.root}/outcomes/version={version}")
 
     def apply(self, events: DataFrame, source: SourceState, as_of, feed: str = "feed",
               batch: int | None = None, **options) -> DataFrame | None:
-        """Apply and commit a batch; returns its outcomes, or None if ``batch`` is committed already."""
+        """Apply and commit a batch; returns its outcomes.
+
+        A ``batch`` that is the feed's last committed one is not applied again: its
+        stored outcomes come back. An older one gives None.
+        """
         base = self.manifest()
-        if batch is not None and base["feeds"].get(feed, -1) >= batch:
-            return None
+        last = base["feeds"].get(feed)
+        if batch is not None and last and last["batch"] is not None and last["batch"] >= batch:
+            return self.outcomes(last["version"]) if last["batch"] == batch else None
         if base["bucket_count"] != self.buckets:
             raise ValueError(f"store was made with {base['bucket_count']} buckets")
+        steps = Staging(self.spark)
         changes = batch_changes(
-            events, self.state(base), source, as_of, specs=self.specs, stage=checkpointed, **options)
-        outcomes = checkpointed(changes.outcomes)
-        self.write_projection(changes, as_of, feed, batch, forced=bool(options.get("force")))
-        return outcomes
+            events, self.state(base), source, as_of, specs=self.specs, stage=steps, **options)
+        done = self.write_projection(changes, as_of, feed, batch, forced=bool(options.get("force")))
+        steps.clear()
+        return self.outcomes(done["version"])

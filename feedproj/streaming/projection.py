@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from feedproj.operators.failures import route_failures
+from feedproj.operators.failures import eligible, route_failures
 from feedproj.operators.guards import AGGREGATE
+from feedproj.schema import ATTEMPTS
 from feedproj.sources.state import SourceState
 from feedproj.sources.store import ProjectionStore
 
@@ -48,22 +49,39 @@ def run_projection_stream(
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def failure_sink(attempts_path: str, dead_path: str, events: Callable[[], DataFrame], as_of):
-    """An ``on_outcomes`` that appends failures as attempts and dead letters, by batch."""
+def failure_sink(store: ProjectionStore, path: str, events: Callable[[], DataFrame], as_of):
+    """An ``on_outcomes`` that keeps the attempts table and the dead letters under ``path``.
 
-    def keep(outcomes: DataFrame, batch_id: int) -> None:
-        spark = outcomes.sparkSession
-        from feedproj.schema import ATTEMPTS
+    Each batch writes the whole attempts table (failed events only) and its dead
+    letters to directories of its own, so running a batch again replaces what it
+    wrote before.
+    """
 
-        none = spark.createDataFrame([], ATTEMPTS)
-        retry, dead = route_failures(outcomes, events(), none, as_of(batch_id))
-        # One directory per batch: a re-run replaces what it wrote before.
-        retry.write.mode("overwrite").parquet(f"{attempts_path}/batch={batch_id}")
-        dead.write.mode("overwrite").parquet(f"{dead_path}/batch={batch_id}")
+    def keep(outcomes: DataFrame, batch_id: int) -> None:
+        before = read_attempts(store, path, batch_id - 1)
+        waiting, dead = route_failures(outcomes, events(), before, as_of(batch_id))
+        waiting.write.mode("overwrite").parquet(f"{path}/attempts/batch={batch_id}")
+        dead.write.mode("overwrite").parquet(f"{path}/dead_letters/batch={batch_id}")
 
     return keep
 
 
+def read_attempts(store: ProjectionStore, path: str, upto: int | None = None) -> DataFrame:
+    """The attempts table after the latest batch (not above ``upto``)."""
+    batches = [b for b in store.numbered(f"{path}/attempts", "batch=") if upto is None or b <= upto]
+    if not batches:
+        return store.spark.createDataFrame([], ATTEMPTS)
+    return store.spark.read.schema(ATTEMPTS).parquet(f"{path}/attempts/batch={max(batches)}")
+
+
+def retry_due(store: ProjectionStore, path: str, events: DataFrame, source: SourceState, as_of,
+              partition: str = "content", batch: int | None = None) -> DataFrame | None:
+    """Apply the failed events whose retry is due; returns their outcomes for the sink."""
+    due = eligible(read_attempts(store, path), as_of, partition)
+    again = events.join(due.select(F.col("event_id").alias("id")), "id", "left_semi")
+    return store.apply(again, source, as_of, feed="retry", batch=batch)
+
+
 def dedup_stream(events: DataFrame, time: str = "created_at", within: str = "1 hour") -> DataFrame:
     """Memory-bounded first filter for copies that arrive close together.
 

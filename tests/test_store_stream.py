@@ -34,7 +34,8 @@ def test_commit_is_all_or_nothing(spark, tmp_path):
     store._publish = publish
     assert {r.outcome for r in store.apply(second, source, "2024-06-02", batch=1).collect()} == {"applied"}
     assert titles(store) == {1: ("one", True), 2: ("two", False)} and store.state().ledger.count() == 4
-    assert store.apply(second, source, "2024-06-02", batch=1) is None
+    assert {r.outcome for r in store.apply(second, source, "2024-06-02", batch=1).collect()} == {"applied"}
+    assert store.manifest()["version"] == 2 and store.apply(second, source, "2024-06-02", batch=0) is None
     # Delivered again under another batch id: all stale, nothing moves.
     assert {r.outcome for r in store.apply(second, source, "2024-06-03", batch=2).collect()} == {"stale"}
     assert titles(store) == {1: ("one", True), 2: ("two", False)}
@@ -93,3 +94,20 @@ def test_progress_listener(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "p")).agg(F.sum("rows")).first()[0] == 1
     finally:
         spark.streams.removeListener(listener)
+
+
+def test_failed_events_are_retried_then_given_up(spark, tmp_path):
+    store = ProjectionStore(spark, str(tmp_path / "s"), SPECS, buckets=2)
+    path = str(tmp_path / "f")
+    feed = events_frame(spark, [event(1, "post", 1, 1, "created"), event(2, "post", 2, 1, "created")])
+    sink = streaming.failure_sink(store, path, lambda: feed, lambda b: f"2024-06-0{b + 1}")
+    nothing = source_frame(spark, [])
+    sink(store.apply(feed, nothing, "2024-06-01", batch=0), 0)
+    waiting = streaming.read_attempts(store, path).collect()
+    assert {(r.event_id, r.attempts, r.last_error) for r in waiting} == {
+        ("e0001", 1, "orphan"), ("e0002", 1, "orphan")}
+    # Post 1 turns up before the retry; post 2 fails once more.
+    found = source_frame(spark, [(1, "one")])
+    sink(streaming.retry_due(store, path, feed, found, "2024-06-02"), 1)
+    assert {(r.event_id, r.attempts) for r in streaming.read_attempts(store, path).collect()} == {("e0002", 2)}
+    assert titles(store) == {1: ("one", False)}
