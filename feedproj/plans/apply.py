@@ -193,22 +193,23 @@ def _guarded_events(events: DataFrame, state: ProjectionState, force: bool, hot_
         "id", "event_type", *AGGREGATE, "aggregate_version", "source_updated_at", "checksum"
     )
     rest = [c for c in slim.columns if c != "id"]
-    # Copies of an id are reduced inside each task before they move.
-    once = stage(slim.groupBy("id").agg(
-        *[F.first(c).alias(c) for c in rest], F.count(F.lit(1)).alias("deliveries")
-    ))
     # The ledger only grows: it is filtered to this batch's ids, which are broadcast
     # when they are few, rather than shuffled against them.
     known = state.ledger.select(F.col("event_id").alias("id")).join(
-        once.select("id"), "id", "left_semi"
+        slim.select("id"), "id", "left_semi"
     ).withColumn("_known", F.lit(True))
+    # Copies of an id are reduced inside each task before they move; the ledger
+    # then meets them where they are.
+    once = stage(slim.groupBy("id").agg(
+        *[F.first(c).alias(c) for c in rest], F.count(F.lit(1)).alias("deliveries")
+    ).join(known, "id", "left"))
     hot = hot_keys(once, AGGREGATE, hot_rows)
     keys = once.select(*AGGREGATE).distinct()
     latest = state.versions.select(*AGGREGATE, F.col("latest_processed_version").alias("latest")).join(
         keys, AGGREGATE, "left_semi"
     )
     seen = (
-        spread(once.join(known, "id", "left"), hot, AGGREGATE, ["id"])
+        spread(once, hot, AGGREGATE, ["id"])
         .join(repeated(latest, hot, AGGREGATE), [*AGGREGATE, "_salt"], "left")
         .drop("_salt")
     )
