@@ -4,6 +4,7 @@ Layout under one root:
 
     <table>/version=<n>/bucket=<b>/...   rows of one hash bucket, written by batch n
     ledger/version=<n>/...               ids recorded by batch n (append only)
+    ledger_base/version=<n>/...          the ledger up to n, after ``compact_ledger``
     outcomes/version=<n>/...             what became of each event of batch n
     manifests/<n>.json                   which version holds each bucket, last batch of each feed
 
@@ -88,12 +89,27 @@ class ProjectionStore:
         return self.spark.read.schema(ddl).parquet(*paths)
 
     def _ledger(self, manifest: dict) -> DataFrame:
-        fs, folder = self._fs(f"{self.root}/ledger")
-        if not manifest["version"] or not fs.exists(folder):
+        base, version = manifest.get("ledger_base", 0), manifest["version"]
+        # Committed versions only, and only those the compacted base does not hold.
+        paths = [
+            f"{self.root}/ledger/version={n}"
+            for n in sorted(self.numbered(f"{self.root}/ledger", "version=")) if base < n <= version
+        ]
+        if base:
+            paths.append(f"{self.root}/ledger_base/version={base}")
+        if not paths:
             return self.spark.createDataFrame([], LEDGER)
-        # A partition filter: uncommitted versions are not even listed for reading.
-        rows = self.spark.read.schema(LEDGER + ", version bigint").parquet(f"{self.root}/ledger")
-        return rows.where(F.col("version") <= manifest["version"]).drop("version")
+        return self.spark.read.schema(LEDGER).parquet(*paths)
+
+    def compact_ledger(self) -> dict:
+        """Gather the per-batch ledger directories into one; the rows stay the same."""
+        base = self.manifest()
+        version = base["version"] + 1
+        self._ledger(base).hint("rebalance").write.mode("overwrite").parquet(
+            f"{self.root}/ledger_base/version={version}")
+        manifest = {**base, "version": version, "ledger_base": version}
+        self._publish(manifest)
+        return manifest
 
     def state(self, manifest: dict | None = None, only: dict[str, list[int]] | None = None) -> ProjectionState:
         m, only = manifest or self.manifest(), only or {}
@@ -132,7 +148,7 @@ class ProjectionStore:
                 new = new.join(self._ledger(base).select("event_id"), "event_id", "left_anti")
             new.write.mode("overwrite").parquet(f"{self.root}/ledger/version={version}")
         manifest = {
-            "version": version, "buckets": buckets, "bucket_count": self.buckets,
+            **base, "version": version, "buckets": buckets, "bucket_count": self.buckets,
             "feeds": {**base["feeds"], feed: {"batch": batch, "version": version}},
         }
         self._publish(manifest)

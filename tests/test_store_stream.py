@@ -40,6 +40,12 @@ def test_commit_is_all_or_nothing(spark, tmp_path):
     assert {r.outcome for r in store.apply(second, source, "2024-06-03", batch=2).collect()} == {"stale"}
     assert titles(store) == {1: ("one", True), 2: ("two", False)}
     assert store.state().bridge.count() == 1 and store.state().ledger.count() == 4
+    before = sorted(store.state().ledger.collect())
+    store.compact_ledger()
+    assert sorted(store.state().ledger.collect()) == before
+    third = events_frame(spark, [event(9, "post", 2, 2, "updated")])
+    assert [r.outcome for r in store.apply(third, source, "2024-06-04", batch=3).collect()] == ["suppressed_checksum"]
+    assert store.state().ledger.count() == 5
 
 
 def test_two_writers_cannot_both_commit(spark, tmp_path):
