@@ -17,14 +17,16 @@ from feedproj.llm.common import row_key, small_batches, texts, to_batch
 from feedproj.session import checkpointed
 
 #: Words with an output of their own, in classes of CLASS_WORDS by falling count; END is the first.
-CLASSES, CLASS_WORDS = 32, 32
+CLASSES, CLASS_WORDS = 20, 32
 #: Classes of all other words, by their last letters. Inside them a word has its smoothed corpus share.
-RARE_CLASSES = 32
+RARE_CLASSES = 16
 HIDDEN = 16
 #: Words whose counts every worker gets, at most, and how long such a word is at most in bytes.
-TOP_WORDS, TOP_BYTES = 200_000, 64
+TOP_WORDS, TOP_BYTES = 120_000, 64
 #: Training: streams side by side, steps of truncated backpropagation, and Adam's rate.
-STREAMS, STEPS, RATE = 128, 16, 4e-3
+STREAMS, STEPS, RATE = 256, 32, 6e-3
+#: Bounds of output weights and of biases above the largest first bias: no logit overflows exp().
+MOST_WEIGHT, MOST_BIAS = 3.0, 8.0
 #: Rounds of training. Each takes its share of the documents (by a hash, of 32 parts) in every partition;
 #: then the partitions' weights are averaged. Together the rounds take every training document once.
 ROUNDS = ((0, 2), (2, 8), (8, 32))
@@ -189,9 +191,16 @@ def _step(gates: np.ndarray, h: np.ndarray, recurrent: np.ndarray):
     return n + z * (h - n), z, r, n, back
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
+def _log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The log-softmax of one entry of each row."""
+    found = x[np.arange(len(x)), at]
+    return found - np.log(np.exp(x, out=x).sum(1))
 
 
 def _class_of(tokens: np.ndarray) -> np.ndarray:
@@ -209,10 +218,9 @@ def _by_class(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 def log_probabilities(weights: dict, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Natural log probability of each token's class and, for words of their own, of the word in it."""
     kind = _class_of(tokens)
-    out = _log_softmax(states @ weights["to_class"] + weights["class_bias"])[np.arange(len(tokens)), kind]
+    out = _log_share(states @ weights["to_class"] + weights["class_bias"], kind)
     for k, at in _by_class(kind):
-        inside = _log_softmax(states[at] @ weights["to_word"][k] + weights["word_bias"][k])
-        out[at] += inside[np.arange(len(at)), tokens[at] - k * CLASS_WORDS]
+        out[at] += _log_share(states[at] @ weights["to_word"][k] + weights["word_bias"][k], tokens[at] - k * CLASS_WORDS)
     return out
 
 
@@ -226,7 +234,8 @@ def gradients(weights: dict, before: np.ndarray, tokens: np.ndarray, h: np.ndarr
     gates, start = weights["inputs"][before], before == END
     kept, states = [], np.empty((steps, streams, HIDDEN), np.float32)
     for t in range(steps):
-        h = np.where(start[t][:, None], np.float32(0), h)
+        h = h.copy()
+        h[start[t]] = 0
         new, z, r, n, back = _step(gates[t], h, weights["recurrent"])
         kept.append((h, z, r, n, back))
         states[t] = h = new
@@ -234,13 +243,13 @@ def gradients(weights: dict, before: np.ndarray, tokens: np.ndarray, h: np.ndarr
     kind = _class_of(flat_tokens)
     rows = np.arange(len(kind))
     grad = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
-    p = np.exp(_log_softmax(flat_states @ weights["to_class"] + weights["class_bias"]))
+    p = _softmax(flat_states @ weights["to_class"] + weights["class_bias"])
     p[rows, kind] -= 1
     grad["to_class"], grad["class_bias"] = flat_states.T @ p, p.sum(0)
     down = p @ weights["to_class"].T
     for k, at in _by_class(kind):
         mine = flat_states[at]
-        p = np.exp(_log_softmax(mine @ weights["to_word"][k] + weights["word_bias"][k]))
+        p = _softmax(mine @ weights["to_word"][k] + weights["word_bias"][k])
         p[np.arange(len(at)), flat_tokens[at] - k * CLASS_WORDS] -= 1
         grad["to_word"][k], grad["word_bias"][k] = mine.T @ p, p.sum(0)
         down[at] += p @ weights["to_word"][k].T
@@ -256,7 +265,8 @@ def gradients(weights: dict, before: np.ndarray, tokens: np.ndarray, h: np.ndarr
         into[t, :, 2 * HIDDEN :] = dn
         through = np.concatenate([dz, dr, dn * r], 1)
         grad["recurrent"] += was.T @ through
-        later = np.where(start[t][:, None], np.float32(0), dh * z + through @ weights["recurrent"].T)
+        later = dh * z + through @ weights["recurrent"].T
+        later[start[t]] = 0
     order = np.argsort(before.ravel(), kind="stable")
     used = before.ravel()[order]
     first = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
@@ -288,6 +298,11 @@ class Trainer:
             self.square += 0.005 * (g * g - self.square)
             rate = self.rate * np.sqrt(1 - 0.995**self.turn) / (1 - 0.9**self.turn)
             self.values -= np.float32(rate) * self.mean / (np.sqrt(self.square) + np.float32(1e-7))
+            for name, value in shaped(self.values).items():
+                if name.startswith("to_"):
+                    np.clip(value, -MOST_WEIGHT, MOST_WEIGHT, out=value)
+                elif name.endswith("bias"):
+                    np.minimum(value, MOST_BIAS, out=value)
         self.tokens += len(ids)
 
 
@@ -367,9 +382,11 @@ def score_documents(weights: dict, docs: list[np.ndarray], streams: int = SCORE_
         part = tokens[at : at + steps, :live]
         gates, start = weights["inputs"][before[at : at + steps, :live]], before[at : at + steps, :live] == END
         states = np.empty((*part.shape, HIDDEN), np.float32)
-        h = h[:live]
+        h = h[:live].copy()
         for t in range(len(part)):
-            h = states[t] = _step(gates[t], np.where(start[t][:, None], np.float32(0), h), weights["recurrent"])[0]
+            h[start[t]] = 0
+            h = _step(gates[t], h, weights["recurrent"])[0]
+            states[t] = h
         logs[at : at + steps, :live] = log_probabilities(weights, states.reshape(-1, HIDDEN), part.ravel()).reshape(part.shape)
     out = np.zeros(len(docs))
     for k, own in enumerate(dealt):
