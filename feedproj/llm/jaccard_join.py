@@ -23,7 +23,7 @@ BITMAP = 2048
 #: Sets of an index list compared in one piece; longer lists are cut into pieces that meet in pairs.
 PIECE = 1024
 #: Index lists a set is in at most when the first, partial, round looks for similar sets.
-FIRST_LISTS = 8
+FIRST_LISTS = 4
 #: Distinct words a worker remembers before it starts anew.
 WORDS = 500_000
 
@@ -254,7 +254,8 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, key: str =
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """The sets of the classes named by a document, from its text."""
-        return said.join(ids, "doc_id", "left_semi").mapInArrow(whole_sets, "class_1 bigint, class_2 bigint, shingles array<bigint>").dropDuplicates(["class_1", "class_2"])
+        # The hint gives small inputs the plan that large ones have.
+        return said.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(whole_sets, "class_1 bigint, class_2 bigint, shingles array<bigint>").dropDuplicates(["class_1", "class_2"])
 
     ids = lambda pairs: pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = checkpointed(sets_of(ids(first)))

@@ -20,7 +20,11 @@ BUCKETS = 1 << 17
 DIMENSIONS = 8
 SMALLEST, LARGEST = 3, 6
 #: Words averaged at a time. A document scores as its worst window.
-WINDOW = 64
+WINDOW = 24
+#: A window's distinct words are averaged over so many places at least, so few words cannot decide alone.
+LEAST_PLACES = 16
+#: Subwords in fewer documents of the sample stay zero: they would only memorise those documents.
+LEAST_DOCUMENTS = 8
 THRESHOLD = 0.7
 #: Distinct words a worker remembers before it starts anew.
 WORDS = 500_000
@@ -92,28 +96,34 @@ def train(labelled: list[tuple[str, int]], seed: int = 7, rounds: int = 6, rate:
         model.bias[:] = np.log([1 - rate_1, rate_1])
         return model
     bags = Bags()
-    docs = [bags.words(text) for text, _ in labelled]
-    cuts = [windows(len(d)) if len(d) else [] for d in docs]
+    docs = [[np.unique(d[a:b]) for a, b in windows(len(d))] if len(d) else [] for d in (bags.words(text) for text, _ in labelled)]
     sums = [np.full_like(model.table, 1e-8), np.full_like(model.out, 1e-8), np.full_like(model.bias, 1e-8)]
     sizes = np.array([len(b) for b in bags.buckets] or [0])
     flat = np.concatenate(bags.buckets) if bags.buckets else np.zeros(0, np.int32)
     starts = np.concatenate([[0], np.cumsum(sizes)])
+    seen_in = np.zeros(BUCKETS, np.int32)
+    for d in docs:
+        if d:
+            seen_in[np.unique(np.concatenate([bags.buckets[w] for w in np.unique(np.concatenate(d))]))] += 1
+    used = seen_in >= LEAST_DOCUMENTS
+    model.table[~used] = 0
     weight = {0: 0.5 / (labels == 0).sum(), 1: 0.5 / (labels == 1).sum()}
 
-    def step(batch: list[tuple[int, int, int, float]]) -> None:
-        parts = [docs[d][a:b] for d, a, b, _ in batch]
+    def step(batch: list[tuple[int, int, float]]) -> None:
+        parts = [docs[d][k] for d, k, _ in batch]
         words = np.concatenate(parts)
         owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         n = sizes[words]
         at = np.repeat(starts[words] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         buckets, who = flat[at], np.repeat(owner, n)
-        share = np.repeat(1.0 / (n * np.bincount(owner)[owner]), n)
+        share = np.repeat(1.0 / (n * np.maximum(LEAST_PLACES, np.bincount(owner))[owner]), n)
+        buckets, who, share = (x[used[flat[at]]] for x in (buckets, who, share))
         hidden = np.stack([np.bincount(who, share * model.table[buckets, k], len(parts)) for k in range(DIMENSIONS)], 1)
         logits = hidden @ model.out + model.bias
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        p[np.arange(len(parts)), [labels[d] for d, *_ in batch]] -= 1
-        p *= np.array([w for *_, w in batch])[:, None]
+        p[np.arange(len(parts)), [labels[d] for d, _, _ in batch]] -= 1
+        p *= np.array([w for _, _, w in batch])[:, None]
         back = p @ model.out.T
         seen, local = np.unique(buckets, return_inverse=True)
         grad = np.stack([np.bincount(local, share * back[who, k], len(seen)) for k in range(DIMENSIONS)], 1)
@@ -125,22 +135,21 @@ def train(labelled: list[tuple[str, int]], seed: int = 7, rounds: int = 6, rate:
 
     for turn in range(rounds):
         if turn < 2:
-            chosen = [(d, a, b, weight[labels[d]] / len(c)) for d, c in enumerate(cuts) for a, b in c]
+            chosen = [(d, k, weight[labels[d]] / len(c)) for d, c in enumerate(docs) for k in range(len(c))]
         else:
             margin = model.margins()
             of_word = np.add.reduceat(margin[flat], starts[:-1]) / sizes
             chosen = []
-            for d, c in enumerate(cuts):
+            for d, c in enumerate(docs):
                 if c:
-                    mean = [of_word[docs[d][a:b]].mean() for a, b in c]
-                    worst = c[int(np.argmax(mean))]
-                    chosen.append((d, *worst, weight[labels[d]]))
+                    mean = [of_word[words].sum() / max(LEAST_PLACES, len(words)) for words in c]
+                    chosen.append((d, int(np.argmax(mean)), weight[labels[d]]))
                     if not labels[d] and len(c) > 1:
-                        chosen.append((d, *c[(turn + d) % len(c)], weight[0] * 0.5))
+                        chosen.append((d, (turn + d) % len(c), weight[0] * 0.5))
         scale = len(chosen) / sum(w for *_, w in chosen)
         order = rng.permutation(len(chosen))
-        for k in range(0, len(order), 64):
-            step([(d, a, b, w * scale) for d, a, b, w in (chosen[i] for i in order[k : k + 64])])
+        for at in range(0, len(order), 64):
+            step([(d, k, w * scale) for d, k, w in (chosen[i] for i in order[at : at + 64])])
     return model
 
 
@@ -161,8 +170,10 @@ class Scorer(dict):
         words = text.lower().split()
         if not words:
             return 0.0
-        total = np.concatenate([[0.0], np.cumsum(np.fromiter(map(self.__getitem__, words), np.float64, len(words)))])
-        worst = max((total[b] - total[a]) / (b - a) for a, b in windows(len(words)))
+        worst = -np.inf
+        for a, b in windows(len(words)):
+            own = dict.fromkeys(words[a:b])
+            worst = max(worst, sum(map(self.__getitem__, own)) / max(LEAST_PLACES, len(own)))
         return float(1 / (1 + np.exp(-np.clip(worst + self.bias, -60, 60))))
 
 
