@@ -68,32 +68,34 @@ class Encoder:
         import regex
         from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-        self.bpe = Tokenizer.from_str(model).model
+        self.bpe = Tokenizer.from_str(model).encode_batch_fast
         self.cut = regex.compile(pattern).findall
         self.odd = regex.compile(f"[^\\x00-{chr(SAME_CLASSES_BELOW - 1)}]").search
         self.split = pre_tokenizers.Split(Regex(pattern), "isolated").pre_tokenize_str
         self.chars = byte_chars()
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         if self.odd(text):
             return [piece for piece, _ in self.split(text)]
         return self.cut(text)
 
-    def piece(self, piece: str) -> bytes:
-        """Ids as 32-bit integers."""
-        found = self.known.get(piece)
-        if found is None:
-            chars = self.chars
-            tokens = self.bpe.tokenize("".join([chars[b] for b in piece.encode()]))
-            found = np.array([t.id for t in tokens], np.int32).tobytes()
-            if len(self.known) >= PIECES:
-                self.known.clear()
-            self.known[piece] = found
-        return found
+    def learn(self, pieces: set[str]) -> None:
+        """Encode the pieces that aren't known yet, in one call, each byte said by its character."""
+        new = sorted(pieces.difference(self.known))
+        if len(self.known) + len(new) > PIECES:
+            self.known.clear()
+            new = sorted(pieces)
+        chars = self.chars
+        said = ["".join([chars[b] for b in piece.encode()]) for piece in new]
+        for piece, got in zip(new, self.bpe(said, add_special_tokens=False), strict=True):
+            self.known[piece] = np.array(got.ids, np.int32).tobytes()
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.piece, self.pieces(text))), np.int32)
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        cut = [self.pieces(x) for x in texts]
+        self.learn(set().union(*cut))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, x)), np.int32) for x in cut]
 
 
 def spans(text: str, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +139,7 @@ def encode(
         none = np.zeros(0, np.int32)
         for batch in batches:
             said = batch.column(1).to_pylist()
-            ids = [encoder.ids(x) for x in said]
+            ids = encoder.batch(said)
             sizes_of = [len(x) for x in ids]
             out = [batch.column(0), lists(np.concatenate([none, *ids]), sizes_of)]
             if offsets:

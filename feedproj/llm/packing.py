@@ -22,6 +22,8 @@ BLOCK = 5_000
 WORDS = 400_000
 #: For each bin above the least possible number, so many of the emptiest bins are worked on in a sweep.
 EMPTIED = 4
+#: Unknown words encoded in one call.
+JOINED = 256
 #: Characters that Python's split() takes for white space and the tokenizer does not.
 SPLIT_ONLY = re.compile("[\x1c-\x1f]").search
 
@@ -35,15 +37,23 @@ class WordTokens(dict):
         super().__init__()
         self.encode = Tokenizer.from_file(path).encode
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS:
+    def learn(self, words: set[str]) -> None:
+        """Encode the words that aren't known yet, many in one text; offsets tell them apart."""
+        new = sorted(words.difference(self))
+        if len(self) + len(new) > WORDS:
             self.clear()
-        self[word] = out = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return out
+            new = sorted(words)
+        for at in range(0, len(new), JOINED):
+            part = new[at : at + JOINED]
+            got = self.encode(" ".join(part), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
+            ids, cuts = np.array(got.ids, "<u4"), np.searchsorted([a for a, _ in got.offsets], starts)
+            self.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
 
-    def document(self, text: str) -> bytes:
-        words = re.split("[ \t\n]+", text) if SPLIT_ONLY(text) else text.split()
-        return b"".join(map(self.__getitem__, words))
+    def documents(self, texts: list[str]) -> list[bytes]:
+        split = [re.split("[ \t\n]+", x) if SPLIT_ONLY(x) else x.split() for x in texts]
+        self.learn(set().union(*split))
+        return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
 def cut(docs: DataFrame, tokenizer: str, longest: int = SEQUENCE, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -59,8 +69,8 @@ def cut(docs: DataFrame, tokenizer: str, longest: int = SEQUENCE, end_id: int =
         words = WordTokens(tokenizer)
         for batch in batches:
             rows = []
-            for doc, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = words.document(said) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), words.documents(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))

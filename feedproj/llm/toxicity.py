@@ -39,9 +39,13 @@ def subwords(word: str) -> list[int]:
     if len(bare) > 2 * WORD_CHARS:
         bare = bare[:WORD_CHARS] + bare[-WORD_CHARS:]
     marked = f"<{bare}>"
-    grams = {marked[i : i + n] for n in range(SMALLEST, LARGEST + 1) for i in range(len(marked) - n + 1)}
-    grams.add(f"={bare}")
-    return [zlib.crc32(g.encode()) % BUCKETS for g in sorted(grams)]
+    if marked.isascii():
+        marked = marked.encode()
+        grams = [marked[i : i + n] for n in range(SMALLEST, LARGEST + 1) for i in range(len(marked) - n + 1)]
+    else:
+        grams = [marked[i : i + n].encode() for n in range(SMALLEST, LARGEST + 1) for i in range(len(marked) - n + 1)]
+    grams.append(f"={bare}".encode())
+    return [crc % BUCKETS for crc in map(zlib.crc32, grams)]
 
 
 def windows(n: int, size: int = WINDOW) -> list[tuple[int, int]]:
@@ -158,12 +162,13 @@ class Scorer(dict):
 
     def __init__(self, margins: np.ndarray, bias: float):
         super().__init__()
-        self.margins, self.bias = margins, bias
+        self.margins, self.bias = margins.tolist(), bias
 
     def __missing__(self, word: str) -> float:
         if len(self) >= WORDS:
             self.clear()
-        self[word] = out = float(self.margins[subwords(word)].mean())
+        grams = subwords(word)
+        self[word] = out = sum(map(self.margins.__getitem__, grams)) / len(grams)
         return out
 
     def score(self, text: str) -> float:
