@@ -15,6 +15,7 @@ from feedproj.functions.times import instant
 from feedproj.schema import (
     BACKOFF_BASE_SECONDS,
     BACKOFF_CAP_SECONDS,
+    FAILURES,
     JITTER_SHARE,
     PARTITIONS,
     RETRY_LIMIT,
@@ -115,9 +116,11 @@ def route_failures(outcomes: DataFrame, events: DataFrame, attempts: DataFrame,
 
     Events that came through leave the attempts table.
     """
-    failed = outcomes.where(F.col("outcome").isin("rejected", "orphan", "unregistered")).select(
+    domain = F.split_part("event_type", F.lit("."), F.lit(1))
+    failed = outcomes.where(F.col("outcome").isin(*FAILURES)).select(
         F.col("id").alias("event_id"),
-        F.coalesce(F.split_part("event_type", F.lit("."), F.lit(1)), F.lit("content")).alias("queue_name"),
+        # A domain that has no partition of its own is retried with the content.
+        F.when(domain.isin(*PARTITIONS), domain).otherwise(F.lit("content")).alias("queue_name"),
         F.col("outcome").alias("failure_reason"),
     )
     retry, dead = split_exhausted(schedule_retry(failed, attempts, as_of), limit)

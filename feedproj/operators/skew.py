@@ -12,25 +12,21 @@ from pyspark.sql import functions as F
 from feedproj.session import checkpointed
 
 HOT_ROWS = 1_000_000
-MOST_HOT_KEYS = 10_000
 NULL_SALTS = 4096
 
 
 def hot_keys(
-    df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS, most: int = MOST_HOT_KEYS
+    df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Keys with more rows than one task should take, and how many ways to split each.
+    """All keys with more rows than one task should take, and how many ways to split each.
 
-    At most the ``most`` largest keys are listed, which is what allows the result
-    to be broadcast whatever the input: a hot key beyond them holds less than one
-    ``most``-th of all rows and is merely not split.
+    There are at most as many as all rows divided by ``rows``. Whether the list is
+    broadcast is left to Spark, which goes by its size.
     """
     return (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > rows)
-        .orderBy(F.desc("_n"))
-        .limit(most)
         .select(*keys, F.ceil(F.col("_n") / rows).cast("int").alias("_ways"))
     )
 
@@ -44,7 +40,7 @@ def spread(many: DataFrame, hot: DataFrame, keys: Sequence[str], salt_by: Sequen
     mixed = F.xxhash64(*salt_by)
     absent = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
     return (
-        many.join(F.broadcast(hot), list(keys), "left")
+        many.join(hot, list(keys), "left")
         .withColumn(
             "_salt",
             F.when(absent, F.pmod(mixed, F.lit(NULL_SALTS)))
@@ -59,7 +55,7 @@ def repeated(one: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Repeat the row of each hot key once per salt, to meet ``spread`` rows."""
     salts = F.sequence(F.lit(0), F.coalesce(F.col("_ways"), F.lit(1)) - 1)
     return (
-        one.join(F.broadcast(hot), list(keys), "left")
+        one.join(hot, list(keys), "left")
         .withColumn("_salt", F.explode(salts))
         .drop("_ways")
     )
@@ -100,7 +96,7 @@ def number_within(
     of the earlier pieces are added. Other keys stay whole, so the data is
     shuffled once either way.
     """
-    hot = F.broadcast(hot_keys(df, keys, rows))
+    hot = hot_keys(df, keys, rows)
     cut = df.join(hot, list(keys), "left").withColumn(
         "_piece", F.when(F.col("_ways").isNotNull(), piece)
     )

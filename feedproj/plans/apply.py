@@ -336,11 +336,12 @@ _OUTCOME = """
 CASE WHEN NOT _registered THEN 'unregistered'
      WHEN _stale THEN 'stale'
      WHEN NOT _fresh THEN 'duplicate'
+     WHEN source_state IS NULL THEN 'unhandled'
      WHEN _action = 'upsert' AND source_state <> 'ok'
      THEN if(coalesce(max_d > aggregate_version, false), 'superseded', source_state)
      WHEN _action = 'upsert' AND aggregate_version = max_ok
      THEN if(wrote, 'applied', 'suppressed_checksum')
      WHEN _action = 'tombstone' AND aggregate_version = max_d AND down_holds THEN 'applied'
      ELSE 'superseded' END"""
-# Recorded: fresh, and not an upsert without a usable source.
-_RECORDED = "_fresh AND NOT (_action = 'upsert' AND source_state <> 'ok')"
+# Recorded: fresh, of an aggregate some spec resolved, and not an upsert without a usable source.
+_RECORDED = "_fresh AND source_state IS NOT NULL AND NOT (_action = 'upsert' AND source_state <> 'ok')"

@@ -112,10 +112,18 @@ def _(t):
 @query("stream_progress", "select cast(2 * count(*) as bigint) as n_rows from fx_feed")
 def _(t):
     stream = feed_stream(t, feed_files(t), files=1).select("id")
-    run = stream.writeStream.format("parquet").option("checkpointLocation", scratch(t, "p-state")).trigger(
-        availableNow=True).start(scratch(t, "p"))
-    run.awaitTermination()
-    return streaming.progress_rows(run).agg(F.sum("rows").alias("n_rows"))
+    table = scratch(t, "progress")
+    listener = streaming.ProgressTable(t.spark, table)
+    t.spark.streams.addListener(listener)
+    try:
+        run = stream.writeStream.format("parquet").option("checkpointLocation", scratch(t, "p-state")).trigger(
+            availableNow=True).start(scratch(t, "p"))
+        run.awaitTermination()
+        listener.ended.wait(60)
+    finally:
+        t.spark.streams.removeListener(listener)
+    mine = streaming.progress_rows(t.spark, table).where(F.col("run_id") == str(run.runId))
+    return mine.agg(F.sum("rows").alias("n_rows"))
 
 
 # --- replay and drift -------------------------------------------------------
@@ -263,16 +271,18 @@ def _(t):
     return chains.causation_chains(t.sql(CAUSED))
 
 
-DAILY = f"""select id, causation_id, created_at,
-  concat(cast(date_trunc('day', created_at) as string), '-', correlation_id) as correlation_id
-from (select id, causation_id, created_at, substr(correlation_id, 1, 5) as correlation_id from ({CAUSED}))"""
+# One transaction per entity and day: the id of its first event there.
+TRANSACTED = f"""select id, causation_id, created_at, min(id) over (
+  partition by aggregate_type, aggregate_id, date_trunc('day', created_at)) as correlation_id
+from (select c.id, c.causation_id, c.created_at, f.aggregate_type, f.aggregate_id
+      from ({CAUSED}) c join fx_feed f on c.id = f.id)"""
 
 
-@query("transactions", f"""select substr(correlation_id, 1, 5) as correlation_id, count(*) as n_events,
+@query("transactions", f"""select correlation_id, count(*) as n_events,
   min(created_at) as first_at, max(created_at) as last_at, count(*) filter (where causation_id is null) as n_roots
-from ({CAUSED}) group by substr(correlation_id, 1, 5)""")
+from ({TRANSACTED}) group by correlation_id""")
 def _(t):
-    return chains.transactions(t.sql(CAUSED).withColumn("correlation_id", F.substring("correlation_id", 1, 5)))
+    return chains.transactions(t.sql(TRANSACTED))
 
 
 @query("trace", "select id, created_at from fx_feed where correlation_id = 'ev-42'")

@@ -32,17 +32,7 @@ QUEUE_LAG_TARGET_SECONDS = 60
 SYNC_DELAY_TARGET_SECONDS = 30
 # End of fixed values.
 
-OUTCOMES = (
-    "applied",
-    "suppressed_checksum",
-    "superseded",
-    "stale",
-    "duplicate",
-    "rejected",
-    "orphan",
-    "unregistered",
-)
-FAILURES = ("rejected", "orphan", "unregistered")
+FAILURES = ("rejected", "orphan", "unregistered", "unhandled")
 
 
 def _fields(text: str) -> str:

@@ -2,23 +2,26 @@
 
 Layout under one root:
 
-    <table>/version=<n>/bucket=<b>/...   rows of one hash bucket, written by batch n
-    ledger/version=<n>/...               ids recorded by batch n (append only)
-    ledger_base/version=<n>/...          the ledger up to n, after ``compact_ledger``
-    outcomes/version=<n>/...             what became of each event of batch n
-    manifests/<n>.json                   which version holds each bucket, last batch of each feed
-
-A batch writes new directories for the buckets it touches and then creates its
-manifest by one rename. Readers use the highest manifest, so they see all tables
-of a batch or none; ledger rows of versions above it are invisible. A crash
-leaves unreferenced directories that the next try of the same version replaces.
-Needs a file system with atomic rename that refuses to replace; with a table
-format, ``MERGE`` and its snapshots would take the place of this class.
+    <table>/version=<v>/bucket=<b>/...   rows of one hash bucket
+    ledger/version=<v>/...               ids recorded by one batch (append only)
+    ledger_base/version=<v>/...          the ledger up to a batch, after ``compact_ledger``
+    outcomes/version=<v>/...             what became of each event of a batch
+    manifests/<n>.json                   which directory holds each bucket, the ledger's
+                                         directories, last batch of each feed
+
+``v`` is the number of the batch and a mark of the attempt, so two writers never
+share a directory. A batch writes new directories for the buckets it touches and
+then creates its manifest, which must not exist yet: one of two writers of a number
+wins, the other starts again from the winner's state. Readers use the highest
+manifest that is complete, so they see all tables of a batch or none. Directories
+that no manifest names are invisible. With a table format, ``MERGE`` and its
+snapshots would take the place of this class.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +37,14 @@ from feedproj.session import Staging
 from feedproj.sources.state import SourceState
 
 
+# Times a batch starts again because another writer committed first.
+MOST_TRIES = 20
+
+
+class CommitConflict(RuntimeError):
+    """Another writer committed the same version first; nothing of this batch is visible."""
+
+
 class ProjectionStore:
     def __init__(self, spark: SparkSession, root: str, specs: Sequence[EntitySpec] = CONTENT, buckets: int = 16):
         self.spark, self.root, self.specs, self.buckets = spark, root.rstrip("/"), tuple(specs), buckets
@@ -47,30 +58,41 @@ class ProjectionStore:
         jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm_path
 
+    def names(self, folder: str) -> list[str]:
+        fs, path = self._fs(folder)
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
     def numbered(self, folder: str, before: str = "", after: str = "") -> list[int]:
         """Numbers n of the entries named ``<before>n<after>`` in a folder."""
-        fs, path = self._fs(folder)
-        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        names = self.names(folder)
         inner = [n[len(before):len(n) - len(after)] for n in names if n.startswith(before) and n.endswith(after)]
         return [int(n) for n in inner if n.isdigit()]
 
     def manifest(self) -> dict:
         """The committed manifest; version 0 is the empty store."""
-        done = self.numbered(f"{self.root}/manifests", after=".json")
-        if not done:
-            return {"version": 0, "buckets": {}, "feeds": {}, "bucket_count": self.buckets}
-        rows = self.spark.read.text(f"{self.root}/manifests/{max(done)}.json", wholetext=True)
-        return json.loads(rows.first()["value"])
+        for number in sorted(self.numbered(f"{self.root}/manifests", after=".json"), reverse=True):
+            row = self.spark.read.text(f"{self.root}/manifests/{number}.json", wholetext=True).first()
+            try:
+                return json.loads(row["value"] if row else "")
+            except ValueError:
+                continue  # its writer has created but not finished it
+        return {"version": 0, "buckets": {}, "feeds": {}, "ledger": [], "bucket_count": self.buckets}
 
     def _publish(self, manifest: dict) -> None:
-        target = f"{self.root}/manifests/{manifest['version']}.json"
-        fs, final = self._fs(target)
-        _, draft = self._fs(f"{self.root}/manifests/_{manifest['version']}.draft")
-        out = fs.create(draft, True)
+        """Create the manifest; only one writer can create a number's."""
+        fs, final = self._fs(f"{self.root}/manifests/{manifest['version']}.json")
+        try:
+            out = fs.create(final, False)
+        except Exception as error:
+            if fs.exists(final):
+                raise CommitConflict(f"version {manifest['version']} was committed by someone else") from error
+            raise
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        if fs.exists(final) or not fs.rename(draft, final):
-            raise RuntimeError(f"version {manifest['version']} was committed by someone else")
+
+    @staticmethod
+    def _attempt(version: int) -> str:
+        return f"{version}-{uuid.uuid4().hex[:12]}"
 
     # --- reads ---
 
@@ -89,14 +111,7 @@ class ProjectionStore:
         return self.spark.read.schema(ddl).parquet(*paths)
 
     def _ledger(self, manifest: dict) -> DataFrame:
-        base, version = manifest.get("ledger_base", 0), manifest["version"]
-        # Committed versions only, and only those the compacted base does not hold.
-        paths = [
-            f"{self.root}/ledger/version={n}"
-            for n in sorted(self.numbered(f"{self.root}/ledger", "version=")) if base < n <= version
-        ]
-        if base:
-            paths.append(f"{self.root}/ledger_base/version={base}")
+        paths = [f"{self.root}/{name}" for name in manifest["ledger"]]
         if not paths:
             return self.spark.createDataFrame([], LEDGER)
         return self.spark.read.schema(LEDGER).parquet(*paths)
@@ -105,9 +120,9 @@ class ProjectionStore:
         """Gather the per-batch ledger directories into one; the rows stay the same."""
         base = self.manifest()
         version = base["version"] + 1
-        self._ledger(base).hint("rebalance").write.mode("overwrite").parquet(
-            f"{self.root}/ledger_base/version={version}")
-        manifest = {**base, "version": version, "ledger_base": version}
+        name = f"ledger_base/version={self._attempt(version)}"
+        self._ledger(base).hint("rebalance").write.parquet(f"{self.root}/{name}")
+        manifest = {**base, "version": version, "ledger": [name]}
         self._publish(manifest)
         return manifest
 
@@ -123,10 +138,15 @@ class ProjectionStore:
     # --- writes ---
 
     def write_projection(self, changes: BatchChanges, as_of, feed: str = "feed", batch: int | None = None,
-                         forced: bool = False) -> dict:
-        """Commit one batch: projections, bridge, ledger and versions, or nothing."""
-        base = self.manifest()
+                         forced: bool = False, base: dict | None = None) -> dict:
+        """Commit one batch: projections, bridge, ledger and versions, or nothing.
+
+        ``base``: the manifest the changes were made from. Raises ``CommitConflict`` if
+        it is not the latest any more.
+        """
+        base = base or self.manifest()
         version = base["version"] + 1
+        attempt, ledger = self._attempt(version), list(base["ledger"])
         buckets = {k: dict(v) for k, v in base["buckets"].items()}
         merged = {
             s.kind: (changes.rows[s.kind], changes.touched[s.kind]) for s in changes.specs
@@ -135,47 +155,49 @@ class ProjectionStore:
             merged["bridge"] = (changes.linked, changes.relinked)
         for name, (rows, touched) in merged.items():
             _, keys = self.tables[name]
-            self._rewrite(base, buckets, version, name, touched.select(*keys),
+            self._rewrite(base, buckets, attempt, name, touched.select(*keys),
                           lambda old, name=name, r=rows, t=touched: replaced(old, r, self.tables[name][1][0], t))
-        changes.outcomes.write.mode("overwrite").parquet(f"{self.root}/outcomes/version={version}")
+        changes.outcomes.write.parquet(f"{self.root}/outcomes/version={attempt}")
         if merged:
-            self._rewrite(base, buckets, version, "versions", changes.versions.select(*AGGREGATE),
+            self._rewrite(base, buckets, attempt, "versions", changes.versions.select(*AGGREGATE),
                           lambda old: advance_versions(old, changes.versions, as_of))
             # Forced replays bring ids the ledger has; of a normal batch none are left here.
-            new = self.outcomes(version).where("recorded").select(
+            new = self.outcomes(attempt).where("recorded").select(
                 F.col("id").alias("event_id"), "checksum", instant(as_of).alias("processed_at"))
             if forced:
                 new = new.join(self._ledger(base).select("event_id"), "event_id", "left_anti")
-            new.write.mode("overwrite").parquet(f"{self.root}/ledger/version={version}")
+            new.write.parquet(f"{self.root}/ledger/version={attempt}")
+            ledger.append(f"ledger/version={attempt}")
         manifest = {
             **base, "version": version, "buckets": buckets, "bucket_count": self.buckets,
-            "feeds": {**base["feeds"], feed: {"batch": batch, "version": version}},
+            "ledger": ledger, "outcomes": attempt,
+            "feeds": {**base["feeds"], feed: {"batch": batch, "version": attempt}},
         }
         self._publish(manifest)
         return manifest
 
-    def _rewrite(self, base, buckets, version, name, touched, merge) -> None:
+    def _rewrite(self, base, buckets, attempt, name, touched, merge) -> None:
         _, keys = self.tables[name]
         # At most one small number per bucket comes to the driver.
         hit = [r["b"] for r in touched.select(self._bucket(keys).alias("b")).distinct().collect()]
         if not hit:
             return
-        path = f"{self.root}/{name}/version={version}"
+        path = f"{self.root}/{name}/version={attempt}"
         merged = merge(self._table(base, name, hit)).withColumn("bucket", self._bucket(keys))
         # AQE sizes the write: a large bucket gets several tasks, small ones share one,
         # and a bucket is not scattered into a file per task.
         # Sorted files let time filters and seeks skip row groups.
         sort = next((c for c in ("published_at", "name") if c in merged.columns), keys[0])
-        merged.hint("rebalance", "bucket").sortWithinPartitions("bucket", sort).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        merged.hint("rebalance", "bucket").sortWithinPartitions("bucket", sort).write.partitionBy("bucket").parquet(path)
         written = set(self.numbered(path, "bucket="))
         held = buckets.setdefault(name, {})
         for b in hit:
             if b in written:
-                held[str(b)] = version
+                held[str(b)] = attempt
             else:
                 held.pop(str(b), None)
 
-    def outcomes(self, version: int) -> DataFrame:
+    def outcomes(self, version: str) -> DataFrame:
         """What became of every event of one committed batch."""
         return self.spark.read.parquet(f"{self.root}/outcomes/version={version}")
 
@@ -184,17 +206,26 @@ class ProjectionStore:
         """Apply and commit a batch; returns its outcomes.
 
         A ``batch`` that is the feed's last committed one is not applied again: its
-        stored outcomes come back. An older one gives None.
+        stored outcomes come back. An older one gives None. If another writer commits
+        first, the batch starts again from what that writer left.
         """
-        base = self.manifest()
-        last = base["feeds"].get(feed)
-        if batch is not None and last and last["batch"] is not None and last["batch"] >= batch:
-            return self.outcomes(last["version"]) if last["batch"] == batch else None
-        if base["bucket_count"] != self.buckets:
-            raise ValueError(f"store was made with {base['bucket_count']} buckets")
-        steps = Staging(self.spark)
-        changes = batch_changes(
-            events, self.state(base), source, as_of, specs=self.specs, stage=steps, **options)
-        done = self.write_projection(changes, as_of, feed, batch, forced=bool(options.get("force")))
-        steps.clear()
-        return self.outcomes(done["version"])
+        for turn in range(MOST_TRIES):
+            base = self.manifest()
+            last = base["feeds"].get(feed)
+            if batch is not None and last and last["batch"] is not None and last["batch"] >= batch:
+                return self.outcomes(last["version"]) if last["batch"] == batch else None
+            if base["bucket_count"] != self.buckets:
+                raise ValueError(f"store was made with {base['bucket_count']} buckets")
+            steps = Staging(self.spark)
+            try:
+                changes = batch_changes(
+                    events, self.state(base), source, as_of, specs=self.specs, stage=steps, **options)
+                done = self.write_projection(
+                    changes, as_of, feed, batch, forced=bool(options.get("force")), base=base)
+                return self.outcomes(done["outcomes"])
+            except CommitConflict:
+                if turn == MOST_TRIES - 1:
+                    raise
+            finally:
+                steps.clear()
+        return None

@@ -8,6 +8,7 @@ committed for a feed, so a batch re-run after a crash is skipped.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -36,12 +37,15 @@ def run_projection_stream(
     """Continuous apply of an event stream.
 
     ``source`` gives one consistent snapshot per batch; ``as_of`` the clock of a
-    batch id. Without ``every`` all available input is applied and the query ends.
+    batch id. A feed's committed batches are known by the query's id, so a stream on a new
+    checkpoint applies all it reads (the ledger stops copies). Without ``every`` all available input is applied and the query ends.
     Bound a batch with ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` on the reader.
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        outcomes = store.apply(batch, source(), as_of(batch_id), feed, batch_id, **options)
+        # A new checkpoint is a new query whose batches start at 0: its ids are not the old one's.
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        outcomes = store.apply(batch, source(), as_of(batch_id), f"{feed}@{query}" if query else feed, batch_id, **options)
         if outcomes is not None and on_outcomes is not None:
             on_outcomes(outcomes, batch_id)
 
@@ -49,29 +53,40 @@ def run_projection_stream(
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def failure_sink(store: ProjectionStore, path: str, events: Callable[[], DataFrame], as_of):
+def failure_sink(store: ProjectionStore, path: str, events: Callable[[], DataFrame], as_of, feed: str = "feed"):
     """An ``on_outcomes`` that keeps the attempts table and the dead letters under ``path``.
 
     Each batch writes the whole attempts table (failed events only) and its dead
-    letters to directories of its own, so running a batch again replaces what it
-    wrote before.
+    letters to directories of its own, named by a running step, the feed and the batch.
+    Feeds number their batches on their own, so a stream and its retries share ``path``
+    under different ``feed`` names. A batch run again takes the step it had.
     """
 
     def keep(outcomes: DataFrame, batch_id: int) -> None:
-        before = read_attempts(store, path, batch_id - 1)
+        steps = _steps(store, path)
+        mine = [n for n, name in steps.items() if name == f"{feed}-{batch_id}"]
+        step = mine[0] if mine else max(steps, default=-1) + 1
+        before = read_attempts(store, path, step - 1)
         waiting, dead = route_failures(outcomes, events(), before, as_of(batch_id))
-        waiting.write.mode("overwrite").parquet(f"{path}/attempts/batch={batch_id}")
-        dead.write.mode("overwrite").parquet(f"{path}/dead_letters/batch={batch_id}")
+        dead.write.mode("overwrite").parquet(f"{path}/dead_letters/step={step}-{feed}-{batch_id}")
+        waiting.write.mode("overwrite").parquet(f"{path}/attempts/step={step}-{feed}-{batch_id}")
 
     return keep
 
 
+def _steps(store: ProjectionStore, path: str) -> dict[int, str]:
+    """``<feed>-<batch>`` of each step of the attempts table."""
+    names = [n.removeprefix("step=").split("-", 1) for n in store.names(f"{path}/attempts") if n.startswith("step=")]
+    return {int(number): name for number, name in names}
+
+
 def read_attempts(store: ProjectionStore, path: str, upto: int | None = None) -> DataFrame:
-    """The attempts table after the latest batch (not above ``upto``)."""
-    batches = [b for b in store.numbered(f"{path}/attempts", "batch=") if upto is None or b <= upto]
-    if not batches:
+    """The attempts table after the latest step (not above ``upto``)."""
+    steps = {n: name for n, name in _steps(store, path).items() if upto is None or n <= upto}
+    if not steps:
         return store.spark.createDataFrame([], ATTEMPTS)
-    return store.spark.read.schema(ATTEMPTS).parquet(f"{path}/attempts/batch={max(batches)}")
+    last = max(steps)
+    return store.spark.read.schema(ATTEMPTS).parquet(f"{path}/attempts/step={last}-{steps[last]}")
 
 
 def retry_due(store: ProjectionStore, path: str, events: DataFrame, source: SourceState, as_of,
@@ -98,18 +113,17 @@ class LatestVersion(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         stored = self._latest.get()
-        latest = stored[0] if stored is not None else -1
+        before = stored[0] if stored is not None else -1
+        passed: set[int] = set()
         for batch in rows:
-            # Rows of one batch come in any order; the highest version seen counts.
-            ordered = batch.sort_values("aggregate_version", kind="stable")
-            newer = ordered[
-                (ordered["aggregate_version"] > latest)
-                & ~ordered["aggregate_version"].duplicated()
-            ]
+            # Only what the trigger started with decides, however its rows are cut into batches.
+            version = batch["aggregate_version"]
+            newer = batch[(version > before) & ~version.duplicated() & ~version.isin(passed)]
             if len(newer):
-                latest = int(newer["aggregate_version"].max())
-                self._latest.update((latest,))
+                passed.update(int(v) for v in newer["aggregate_version"])
                 yield newer
+        if passed:
+            self._latest.update((max(passed),))
 
     def close(self) -> None:
         pass
@@ -118,10 +132,10 @@ class LatestVersion(StatefulProcessor):
 def stale_filter_stream(events: DataFrame) -> DataFrame:
     """Streaming stale filter with one number of state per aggregate.
 
-    Arrow batches of an aggregate are filtered one after another, so an aggregate
-    of any size streams through. Inside one trigger a version below one already
-    let through by an earlier Arrow batch is dropped like any late one. Needs the
-    RocksDB state store provider.
+    An event passes if its version is above the latest of the triggers before and is the
+    first of its version, so events of one trigger pass in any order. Arrow batches of an
+    aggregate stream through; what is held is one number per version that passes. Needs
+    the RocksDB state store provider.
     """
     return events.groupBy(*AGGREGATE).transformWithStateInPandas(
         statefulProcessor=LatestVersion(), outputStructType=events.schema,
@@ -134,6 +148,7 @@ class ProgressTable(StreamingQueryListener):
 
     def __init__(self, spark, path: str, name: str = "projection"):
         self.spark, self.path, self.name = spark, path, name
+        self.ended = threading.Event()  # set after a query's last row is written
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -149,14 +164,9 @@ class ProgressTable(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:
-        pass
-
+        self.ended.set()
 
-def progress_rows(query: StreamingQuery, name: str = "projection") -> DataFrame:
-    """Progress of the recent batches of a query as a frame."""
-    from pyspark.sql import SparkSession
 
-    spark = SparkSession.active()
-    rows = [(name, int(p["batchId"]), p["timestamp"], int(p["numInputRows"])) for p in query.recentProgress]
-    return spark.createDataFrame(rows, "name string, batch_id bigint, at string, rows bigint").withColumn(
-        "at", F.col("at").cast("timestamp"))
+def progress_rows(spark, path: str) -> DataFrame:
+    """Every finished batch that a ``ProgressTable`` has written, each once."""
+    return spark.read.parquet(path).dropDuplicates(["name", "run_id", "batch_id"])

@@ -114,6 +114,7 @@ def test_failed_events_are_retried_then_given_up(spark, tmp_path):
         ("e0001", 1, "orphan"), ("e0002", 1, "orphan")}
     # Post 1 turns up before the retry; post 2 fails once more.
     found = source_frame(spark, [(1, "one")])
-    sink(streaming.retry_due(store, path, feed, found, "2024-06-02"), 1)
+    retried = streaming.failure_sink(store, path, lambda: feed, lambda b: "2024-06-02", feed="retry")
+    retried(streaming.retry_due(store, path, feed, found, "2024-06-02", batch=0), 0)
     assert {(r.event_id, r.attempts) for r in streaming.read_attempts(store, path).collect()} == {("e0002", 2)}
     assert titles(store) == {1: ("one", False)}
