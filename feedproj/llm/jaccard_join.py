@@ -8,20 +8,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedproj.llm.common import Groups, components, texts, to_batch, unpacked, whole_rows
-from feedproj.llm.lattice_dedup import matrix, runs_of
+from feedproj.llm.lattice_dedup import runs_of
 from feedproj.session import checkpointed
 
 #: Counters of the shingle frequency sketch, in blocks. Its size is fixed; it only orders shingles.
 COUNTERS, COUNTER_BLOCK = 1 << 22, 1 << 14
-#: Bits of a set's parity bitmap.
-BITMAP = 2048
+#: Bits of a set's parity bitmap at least and at most; between them as many as tell its size of set apart.
+LEAST_BITMAP, BITMAP = 128, 2048
 #: Sets of an index list compared in one piece; longer lists are cut into pieces that meet in pairs.
 PIECE = 1024
+#: Index lists up to this long are thinned out while they are built; longer ones stay whole.
+THINNED = 64
+#: Rows a worker holds while it thins lists out.
+HELD = 50_000
 #: Index lists a set is in at most when the first, partial, round looks for similar sets.
 FIRST_LISTS = 4
 #: Distinct words a worker remembers before it starts anew.
@@ -57,12 +62,50 @@ def shingles(text: str, size: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
-def bitmap(found: np.ndarray) -> np.ndarray:
-    """Parity of the shingles in each of ``BITMAP`` places. Two bitmaps differ in no more places than their sets in shingles."""
-    odd = np.bincount((found % np.uint64(BITMAP)).astype(np.int64), minlength=BITMAP) & 1
+def places(n: int, percent: int) -> int:
+    """Places of the bitmap of a set of ``n`` shingles: so many that unrelated sets differ in more than a link allows."""
+    most, size = 2 * n * (100 - percent) / (100 + percent), LEAST_BITMAP
+    while size < BITMAP and size / 2 - 2.5 * size**0.5 < most:
+        size *= 2
+    return size
+
+
+def bitmap(found: np.ndarray, size: int) -> np.ndarray:
+    """Parity of the shingles in each place. Two bitmaps differ in no more places than their sets in shingles."""
+    odd = np.bincount((found % np.uint64(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+class Bitmaps:
+    """A column of bitmaps. A longer one is folded to the places of the shorter when they are compared."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        column = column.combine_chunks()
+        self.words = pc.list_value_length(column).to_numpy().astype(np.int64)
+        self.ends = np.cumsum(self.words)
+        self.flat = column.flatten().to_numpy().view(np.uint64)
+        self.folded: dict[int, np.ndarray] = {}
+
+    def of(self, words: int) -> np.ndarray:
+        """All bitmaps of ``words`` words or more, folded; rows of shorter ones are 0."""
+        if words not in self.folded:
+            self.folded[words] = out = np.zeros((len(self.words), words), np.uint64)
+            for own in np.unique(self.words[self.words >= words]).tolist():
+                rows = np.flatnonzero(self.words == own)
+                block = self.flat[(self.ends[rows] - own)[:, None] + np.arange(own)]
+                out[rows] = np.bitwise_xor.reduce(block.reshape(len(rows), -1, words), axis=1)
+        return self.folded[words]
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """In how many places the bitmaps of rows ``a`` and ``b`` differ."""
+        least = np.minimum(self.words[a], self.words[b])
+        out = np.empty(len(a), np.int64)
+        for words in np.unique(least).tolist():
+            here, bits = np.flatnonzero(least == words), self.of(words)
+            out[here] = np.bitwise_count(bits[a[here]] ^ bits[b[here]]).sum(1, dtype=np.int64)
+        return out
+
+
 def common_counts(docs: DataFrame, size: int) -> Broadcast:
     """A log-scaled count for each counter of the sketch, over all documents' shingles."""
     kind = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
@@ -115,7 +158,7 @@ def signatures(docs: DataFrame, ranks: Broadcast, size: int, percent: int) -> Da
                 most = n - -(-percent * n // 100) + 1
                 order = np.lexsort((found, rank[(found % np.uint64(COUNTERS)).astype(np.int64)]))[:most]
                 name = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64).tolist()
-                rows.append((n, *name, found[order].view(np.int64), bitmap(found)))
+                rows.append((n, *name, found[order].view(np.int64), bitmap(found, places(n, percent))))
             yield to_batch(schema, [batch.column(0), *zip(*rows, strict=True)] if rows else [[]] * 6)
 
     return docs.mapInArrow(run, "doc_id bigint, n bigint, class_1 bigint, class_2 bigint, prefix array<bigint>, bits array<bigint>")
@@ -132,8 +175,9 @@ def similar_in_list(run: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarr
     n, pos = run.column("n").to_numpy(), run.column("pos").to_numpy()
     piece = run.column("piece").to_numpy()
     cross = run.column("low")[0].as_py() != run.column("high")[0].as_py()
-    bits = matrix(run.column("bits")).view(np.uint64)
-    to_first = np.bitwise_count(bits ^ bits[0]).sum(1, dtype=np.int64)
+    bits = Bitmaps(run.column("bits"))
+    shortest = bits.of(int(bits.words[0]))
+    to_first = np.bitwise_count(shortest ^ shortest[0]).sum(1, dtype=np.int64)
     lowest = np.searchsorted(n, -(-percent * n // 100))
     for k in range(1, len(n)):
         at = np.arange(lowest[k], k)
@@ -145,12 +189,96 @@ def similar_in_list(run: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarr
         fit = (np.abs(to_first[at] - to_first[k]) <= most) & ((100 + percent) * shared >= percent * (n[at] + n[k]))
         at, most = at[fit], most[fit]
         if len(at):
-            apart = np.bitwise_count(bits[at] ^ bits[k]).sum(1, dtype=np.int64)
+            apart = bits.apart(at, np.full(len(at), k))
             near = apart <= most
             if near.any():
                 yield k, at[near][np.argsort(apart[near], kind="stable")]
 
 
+def with_partner(token: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: Bitmaps, percent: int) -> np.ndarray:
+    """Which rows, sorted by token and size, may link to another row of their list.
+
+    By size, by position and by the distance of the bitmaps, as in the comparison
+    itself. All rows of a list longer than ``THINNED`` count as such.
+    """
+    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    sizes = np.diff(np.append(starts, len(token)))
+    long_ = np.repeat(sizes > THINNED, sizes)
+    keep = long_.copy()
+    place = np.arange(len(token)) - np.repeat(starts, sizes)
+    at = np.flatnonzero(~long_)
+    for back in range(1, THINNED):
+        at = at[place[at] >= back]
+        # Sizes rise within a list: where this one is too far apart, those before are as well.
+        at = at[100 * n[at - back] >= percent * n[at]]
+        if not len(at):
+            break
+        j = at - back
+        shared = np.minimum(pos[at], pos[j]) + np.minimum(n[at] - pos[at], n[j] - pos[j])
+        both = n[at] + n[j]
+        near = (100 + percent) * shared >= percent * both
+        pair, j, both = at[near], j[near], both[near]
+        fit = (100 + percent) * bits.apart(pair, j) <= (100 - percent) * both
+        keep[pair[fit]] = keep[j[fit]] = True
+    return keep
+
+
+def index_lists(reps: DataFrame, percent: int) -> DataFrame:
+    """``token``, ``rep``: the index lists, without sets that can link to no other set of the list.
+
+    Rows are range-partitioned by shingle, size and set, so a long list lies over as many
+    partitions as it fills. Sorted partitions stream through workers that hold a bounded
+    number of rows. Lists that may go on in another partition, the first and the last, stay
+    whole; so do long ones.
+    """
+    index = reps.select("rep", F.col("n").cast("int").alias("n"), "bits", F.posexplode("prefix").alias("pos", "token"))
+    index = index.select("token", "n", "rep", "pos", "bits")
+    schema = pa.schema([("token", pa.int64()), ("rep", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        whole = None  # the list that stays whole: the partition's first, then one cut by a full buffer
+
+        def thinned(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, whole
+            table = pa.Table.from_batches(held).combine_chunks()
+            token, n, rep, pos = (c.to_numpy() for c in table.columns[:4])
+            if whole is None:
+                whole = token[0]
+            end = len(token)
+            if not last:  # the last list may go on: hold it back, unless it is long already
+                begin = end - int((token[::-1] != token[-1]).argmax()) if token[0] != token[-1] else 0
+                if end - begin > THINNED:
+                    keep_from = token[-1]
+                else:
+                    keep_from, end = None, begin
+            else:
+                keep_from = token[-1]
+            part = token[:end]
+            keep = with_partner(part, n[:end].astype(np.int64), pos[:end].astype(np.int64), Bitmaps(table.column("bits").slice(0, end)), percent)
+            keep |= part == whole
+            if keep_from is not None:
+                keep |= part == keep_from
+                whole = keep_from
+            held = table.slice(end).to_batches()
+            yield to_batch(schema, [part[keep], rep[:end][keep]])
+
+        rows = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= HELD:
+                yield from thinned(last=False)
+                rows = sum(b.num_rows for b in held)
+        if held:
+            yield from thinned(last=True)
+
+    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["token", "n", "rep"]
+    return index.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, "token bigint, rep bigint")
+
+
 PAIR = ["a_1", "a_2", "a", "b_1", "b_2", "b"]
 
 
@@ -234,12 +362,11 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, key: str =
     reps = checkpointed(signed.where("n > 0 and doc_id is not null").groupBy("class_1", "class_2").agg(
         F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits")]
     ))
-    index = reps.select("rep", F.posexplode("prefix").alias("pos", "token"))
-    shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("token")
-    lists = checkpointed(index.join(shared, "token").select("token", "rep", "pos"))
-    start = lists.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("by_pos")).select(
-        "rep", F.explode(F.slice("by_pos", 1, FIRST_LISTS)).alias("at")
-    ).select("rep", F.col("at.token").alias("token"), F.col("rep").alias("lead"))
+    lists = checkpointed(index_lists(reps, percent))
+    # A set's shared shingles, rarest first: its prefix has them in that order.
+    start = lists.groupBy("rep").agg(F.collect_list("token").alias("tokens")).join(reps.select("rep", "prefix"), "rep").select(
+        "rep", F.explode(F.slice(F.array_intersect("prefix", "tokens"), 1, FIRST_LISTS)).alias("token"), F.col("rep").alias("lead")
+    )
     first = checkpointed(_pairs(start, reps, percent, whole=False))
 
     hashed = pa.schema([("class_1", pa.int64()), ("class_2", pa.int64()), ("shingles", pa.list_(pa.int64()))])
