@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as tokens
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,9 +151,25 @@ def test_jaccard_join_group_of_near_copies(spark, monkeypatch):
     assert len({c for _, _, c in want}) > 1 and max(Counter(c for _, _, c in want).values()) > 5
     for piece in (1024, 7):
         monkeypatch.setattr(jaccard_join, "PIECE", piece)
+        for limit in ("THINNED", "HELD"):  # lists that stay whole, workers that hold a few rows
+            monkeypatch.setattr(jaccard_join, limit, piece)
         assert Counter(tuple(r) for r in jaccard_join.link_documents(docs, 3, 90).collect()) == want
 
 
+def test_bitmaps_of_different_sizes():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64)) for n in (5, 300, 900, 1000, 9000)]
+    sets.append(np.concatenate([sets[3][:-40], sets[2][:10]]))
+    sizes = [jaccard_join.places(len(x), 90) for x in sets]
+    assert sizes == sorted(sizes[:-1]) + [sizes[3]] and sizes[0] == 128 and sizes[4] == 2048
+    bits = jaccard_join.Bitmaps(pa.chunked_array([pa.array([jaccard_join.bitmap(x, n) for x, n in zip(sets, sizes, strict=True)], pa.list_(pa.int64()))]))
+    for a, one in enumerate(sets):
+        for b, other in enumerate(sets):
+            size = min(sizes[a], sizes[b])
+            plain = np.bitwise_count((jaccard_join.bitmap(one, size) ^ jaccard_join.bitmap(other, size)).view(np.uint64)).sum()
+            assert bits.apart(np.array([a]), np.array([b]))[0] == plain <= len(np.setxor1d(one, other))
+
+
 def test_jaccard_filtered(docs):
     out = jaccard_join.filtered(docs)
     assert out.columns == docs.columns
