@@ -47,12 +47,22 @@ def rebuild_from_events(events: DataFrame, source, as_of, **options):
 # --- drift ------------------------------------------------------------------
 
 
-def detect_drift(canonical: DataFrame, projection: DataFrame, spec: EntitySpec) -> DataFrame:
+def _with_source(rows: DataFrame, source: DataFrame | None, key: str) -> DataFrame:
+    """``rows`` with ``_in_source``: whether the raw source has the key, valid or not."""
+    if source is None:
+        return rows.withColumn("_in_source", F.lit(False))
+    keys = source.select(F.col(source.columns[0]).alias(key)).where(F.col(key).isNotNull()).distinct()
+    return rows.join(keys.withColumn("_in_source", F.lit(True)), key, "left").withColumn(
+        "_in_source", F.coalesce("_in_source", F.lit(False)))
+
+
+def detect_drift(canonical: DataFrame, projection: DataFrame, spec: EntitySpec, source: DataFrame | None = None) -> DataFrame:
     """Keys where projection and source disagree, and how.
 
     ``missing``: public in the source, no live row. ``changed``: both, other
     checksum. ``extra``: live row, no source row. ``not_tombstoned``: live row,
-    source no longer public.
+    source no longer public. ``invalid``: live row whose source row did not pass
+    validation; it needs ``source``, whose first column has the keys of all raw rows.
     """
     public = is_public(F.col("status")) if "status" in canonical.columns else F.lit(True)
     have = canonical.select(
@@ -63,17 +73,19 @@ def detect_drift(canonical: DataFrame, projection: DataFrame, spec: EntitySpec)
     drift = (
         F.when(F.col("_public") & ~live, "missing")
         .when(F.col("_public") & (F.col("_want") != F.col("_have")), "changed")
+        .when(live & F.col("_public").isNull() & F.col("_in_source"), "invalid")
         .when(live & F.col("_public").isNull(), "extra")
         .when(live & ~F.col("_public"), "not_tombstoned")
     )
     return (
-        have.join(stored, spec.natural_key, "full_outer")
+        _with_source(have.join(stored, spec.natural_key, "full_outer"), source, spec.natural_key)
         .select(spec.natural_key, drift.alias("drift"))
         .where("drift IS NOT NULL")
     )
 
 
-def validate_incremental(canonical: DataFrame, projection: DataFrame, spec: EntitySpec, since) -> DataFrame:
+def validate_incremental(canonical: DataFrame, projection: DataFrame, spec: EntitySpec, since,
+                         source: DataFrame | None = None) -> DataFrame:
     """Drift among entities that the source or the projection changed after ``since``."""
     key = spec.natural_key
     recent = (
@@ -82,20 +94,22 @@ def validate_incremental(canonical: DataFrame, projection: DataFrame, spec: Enti
         .distinct()
     )
     rows = canonical.join(recent.withColumnRenamed(key, spec.key), spec.key, "left_semi")
-    return detect_drift(rows, projection.join(recent, key, "left_semi"), spec)
+    return detect_drift(rows, projection.join(recent, key, "left_semi"), spec, source)
 
 
-def reconcile(canonical: DataFrame, projection: DataFrame, spec: EntitySpec, as_of) -> DataFrame:
+def reconcile(canonical: DataFrame, projection: DataFrame, spec: EntitySpec, as_of,
+              source: DataFrame | None = None) -> DataFrame:
     """The projection repaired from the source, which always wins; one join.
 
     Missing and changed rows are written, with ``deleted_at`` cleared. A row the
     source no longer has is tombstoned at ``as_of``, one no longer public at its
-    source time.
+    source time. With ``source``, as in :func:`detect_drift`, a row whose source row is
+    there but invalid stays as it is.
     """
     dated = [c for c in ("status", "modified_at") if c in canonical.columns]
     public = f"coalesce(_status IN ({', '.join(map(repr, PUBLIC_STATUSES))}), false)" if "status" in dated else "true"
     gone_at = "_modified_at" if "modified_at" in dated else "_now"
-    rows = beside(projection, canonical, spec, as_of, *dated).withColumn("_now", instant(as_of))
+    rows = _with_source(beside(projection, canonical, spec, as_of, *dated), source, spec.natural_key).withColumn("_now", instant(as_of))
     return (
         rows.selectExpr(
             "*",
@@ -103,8 +117,8 @@ def reconcile(canonical: DataFrame, projection: DataFrame, spec: EntitySpec, as_
             "old_id IS NOT NULL AND old_deleted_at IS NULL AS _live",
             f"_given AND {public} AS _public",
             "_public AND (NOT _live OR src_checksum <> old_checksum) AS _take",
-            f"""CASE WHEN _take THEN NULL WHEN _live AND NOT _given THEN _now
-                     WHEN _live AND NOT _public THEN {gone_at} ELSE old_deleted_at END AS _gone_at""",
+            f"""CASE WHEN _take THEN NULL WHEN _live AND NOT _given AND NOT _in_source THEN _now
+                     WHEN _live AND _given AND NOT _public THEN {gone_at} ELSE old_deleted_at END AS _gone_at""",
         )
         .where("old_id IS NOT NULL OR _take")
         .selectExpr(*chosen(spec, "_take", "_gone_at"))

@@ -167,6 +167,26 @@ def test_reconcile_leaves_no_drift(spark, sf_dir):
     assert ops.detect_drift(now, checkpointed(fixed), POST).count() == 0
 
 
+def test_invalid_source_rows_are_not_removed(spark, sf_dir):
+    from feedproj.session import checkpointed
+
+    t = Tables(spark, sf_dir)
+    stored, rows = checkpointed(stored_posts(t)), checkpointed(canonical(t, POST))
+    live = [r[0] for r in stored.where("deleted_at is null").join(
+        rows.select(F.col(POST.key).alias(POST.natural_key)), POST.natural_key, "left_semi"
+    ).select(POST.natural_key).orderBy(POST.natural_key).limit(3).collect()]
+    invalid, gone = live[:2], live[2]
+    valid = rows.where(~F.col(POST.key).isin(live))
+    source = rows.where(F.col(POST.key) != gone).select(POST.key)
+    drift = {r[0]: r[1] for r in ops.detect_drift(valid, stored, POST, source).collect()}
+    assert [drift[k] for k in live] == ["invalid", "invalid", "extra"]
+    assert ops.detect_drift(valid, stored, POST).where("drift = 'invalid'").count() == 0
+    fixed = ops.reconcile(valid, stored, POST, "2024-06-01", source)
+    same = stored.where(F.col(POST.natural_key).isin(invalid))
+    assert fixed.where(F.col(POST.natural_key).isin(invalid)).exceptAll(same.select(fixed.columns)).count() == 0
+    assert fixed.where((F.col(POST.natural_key) == gone) & F.col("deleted_at").isNotNull()).count() == 1
+
+
 def explained(df, capsys):
     capsys.readouterr()
     df.explain("formatted")
