@@ -168,7 +168,8 @@ def similar_in_list(run: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarr
     """For each set of an index list, the earlier sets that it may link to, nearest first.
 
     The list is sorted by set size and cut where sizes are too far apart, then where prefix
-    positions are: sets at positions i and j can share no more than all but |i - j| shingles.
+    positions are: where a list's shingle is the rarest that two sets share, they share nothing
+    before their positions in it. Sets that share a rarer one too are left to that one's list.
     The first set of the list answers for the rest: bitmaps are a metric, so two sets whose
     distances to it differ by more than a link allows need not be compared at all.
     """
@@ -185,7 +186,7 @@ def similar_in_list(run: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarr
             at = at[piece[at] != piece[k]]
         # A link's overlap is percent / (100 + percent) of both sizes at least; the rest may differ.
         most = ((100 - percent) * (n[at] + n[k])) // (100 + percent)
-        shared = np.minimum(pos[at], pos[k]) + np.minimum(n[at] - pos[at], n[k] - pos[k])
+        shared = np.minimum(n[at] - pos[at], n[k] - pos[k])
         fit = (np.abs(to_first[at] - to_first[k]) <= most) & ((100 + percent) * shared >= percent * (n[at] + n[k]))
         at, most = at[fit], most[fit]
         if len(at):
@@ -214,7 +215,7 @@ def with_partner(token: np.ndarray, n: np.ndarray, pos: np.ndarray, bits: Bitmap
         if not len(at):
             break
         j = at - back
-        shared = np.minimum(pos[at], pos[j]) + np.minimum(n[at] - pos[at], n[j] - pos[j])
+        shared = np.minimum(n[at] - pos[at], n[j] - pos[j])
         both = n[at] + n[j]
         near = (100 + percent) * shared >= percent * both
         pair, j, both = at[near], j[near], both[near]
