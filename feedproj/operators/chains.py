@@ -8,54 +8,75 @@ the plan nor the lineage grows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedproj.operators.skew import HOT_ROWS, number_within, salted_lookup
-from feedproj.session import checkpointed
+from feedproj.session import Staging, checkpointed
 
 
 def resolve_chains(
     nodes: DataFrame, key: str, parent: str, label: str | None = None, separator: str = "/",
-    rows: int = HOT_ROWS,
+    rows: int = HOT_ROWS, paths: bool = True,
 ) -> DataFrame:
-    """``key, root, depth, path, state`` for every row of ``nodes`` (unique on ``key``).
+    """``key, root, depth, state`` and, with ``paths``, ``path`` for every row of ``nodes`` (unique on ``key``).
 
     A NULL parent is a root. ``state`` is ``ok``, ``orphan`` (the chain ends in a
     parent that does not exist; ``root`` is that missing key's child) or ``cycle``
-    (root, depth and path NULL).
+    (root, depth and path NULL). Rounds carry keys and counts only. Paths, the labels
+    from the root down, are made afterwards and not for rows that run into a cycle.
     """
-    label = label or key
-    ids = nodes.select(F.col(key).alias("_p"), F.lit(True).alias("_there"))
-    linked = salted_lookup(
-        nodes.select(F.col(key).alias("k"), F.col(parent).alias("_p"), F.col(label).cast("string").alias("path")),
-        ids, ["_p"], ["k"], rows,
-    )
-    lost = F.col("_p").isNotNull() & F.col("_there").isNull()
+    steps = Staging(nodes.sparkSession)
+    try:
+        closed = _closed(steps, nodes.select(F.col(key).alias("k"), F.col(parent).alias("_p")), {}, rows)
+        ends = closed.select(
+            F.col("k").alias(key), "root", "depth",
+            F.when(F.col("lost"), "orphan").otherwise("ok").alias("state"))
+        if paths:
+            # Only rows whose chain ends; a chain's rows all end if one of them does.
+            labels = nodes.join(ends.select(key), key, "left_semi").select(
+                F.col(key).alias("k"), F.col(parent).alias("_p"), F.col(label or key).cast("string").alias("path"))
+            joined = {"path": lambda above, own: F.concat(above, F.lit(separator), own)}
+            named = _closed(steps, labels, joined, rows).select(F.col("k").alias(key), "path")
+            ends = ends.join(named, key)
+        circles = nodes.select(key).join(closed.select(F.col("k").alias(key)), key, "left_anti").select(
+            key, *[F.lit(None).cast(f.dataType).alias(f.name) for f in ends.schema if f.name not in (key, "state")],
+            F.lit("cycle").alias("state"))
+        return checkpointed(ends.unionByName(circles))
+    finally:
+        steps.clear()
+
+
+def _closed(steps: Staging, nodes: DataFrame, carried: dict[str, Callable[[Column, Column], Column]], rows: int) -> DataFrame:
+    """``k, root, depth, lost`` of the rows (``k``, parent ``_p``) whose chain ends, and what is ``carried``.
+
+    ``carried`` says of each further column how an ancestor's value and the row's own join.
+    """
+    ids = nodes.select(F.col("k").alias("_p"), F.lit(True).alias("_there"))
+    linked = salted_lookup(nodes, ids, ["_p"], ["k"], rows)
+    there = F.col("_there")
     # ``up``: nearest ancestor not yet taken over; NULL once the chain is closed.
-    walk = checkpointed(linked.select(
-        "k", "path",
-        F.when(F.col("_there"), F.col("_p")).alias("up"),
-        F.when(F.col("_there"), F.col("_p")).otherwise(F.col("k")).alias("root"),
-        F.when(F.col("_there"), F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("depth"),
-        lost.alias("lost"),
+    walk = steps(linked.select(
+        "k", *carried,
+        F.when(there, F.col("_p")).alias("up"),
+        F.when(there, F.col("_p")).otherwise(F.col("k")).alias("root"),
+        F.when(there, F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("depth"),
+        (F.col("_p").isNotNull() & there.isNull()).alias("lost"),
     ))
-    done = walk.where("up IS NULL")
     still = walk.where("up IS NOT NULL")
-    finished, open_rows = [done], still.count()
+    finished, open_rows = [walk.where("up IS NULL")], still.count()
     while open_rows:
-        ancestors = walk.select(
-            F.col("k").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"),
-            F.col("depth").alias("_depth"), F.col("path").alias("_path"), F.col("lost").alias("_lost"))
-        stepped = salted_lookup(still, ancestors, ["up"], ["k"], rows).select(
-            "k",
-            F.concat("_path", F.lit(separator), "path").alias("path"),
+        ancestors = walk.select(F.col("k").alias("up"), *[
+            F.col(c).alias(f"_{c}") for c in ("up", "root", "depth", "lost", *carried)])
+        stepped = steps(salted_lookup(still, ancestors, ["up"], ["k"], rows).select(
+            "k", *[join(F.col(f"_{c}"), F.col(c)).alias(c) for c, join in carried.items()],
             F.col("_up").alias("up"),
             F.col("_root").alias("root"),
             (F.col("depth") + F.col("_depth")).alias("depth"),
             F.col("_lost").alias("lost"),
-        )
-        stepped = checkpointed(stepped)
+        ))
         still = stepped.where("up IS NOT NULL")
         finished.append(stepped.where("up IS NULL"))
         walk = _union([*finished, still])
@@ -64,14 +85,7 @@ def resolve_chains(
             # No chain closed in a whole round: what is open runs in circles.
             break
         open_rows = left
-    closed = _union(finished).select(
-        F.col("k").alias(key), "root", "depth", "path",
-        F.when(F.col("lost"), "orphan").otherwise("ok").alias("state"))
-    circles = nodes.select(key).join(closed.select(key), key, "left_anti").select(
-        key, F.lit(None).cast(nodes.schema[key].dataType).alias("root"),
-        F.lit(None).cast("bigint").alias("depth"), F.lit(None).cast("string").alias("path"),
-        F.lit("cycle").alias("state"))
-    return closed.unionByName(circles)
+    return _union(finished).select("k", "root", "depth", "lost", *carried)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -102,7 +116,7 @@ def trace(events: DataFrame, correlation_id: str) -> DataFrame:
 
 def causation_chains(events: DataFrame, rows: int = HOT_ROWS) -> DataFrame:
     """Every event with its root event, depth below it, and state of its chain."""
-    return resolve_chains(events.select("id", "causation_id"), "id", "causation_id", rows=rows).select(
+    return resolve_chains(events.select("id", "causation_id"), "id", "causation_id", rows=rows, paths=False).select(
         "id", F.col("root").alias("root_id"), "depth", "state")
 
 
