@@ -1,4 +1,4 @@
-"""Substring dedup by hashed units: lines and their sentences, grouped globally, first occurrence kept."""
+"""Substring dedup by hashed units: sentences and all stretches of 50 words, first occurrence kept."""
 
 from __future__ import annotations
 
@@ -22,10 +22,83 @@ LEAST_UNIT_WORDS = 3
 #: Fixed: a unit ends with its line or after marks that end a sentence.
 UNIT = re.compile(r"[^\n.!?]+[.!?]*|[.!?]+").finditer
 NOT_WORD = re.compile(r"[\W_]+").sub
+#: Words of a stretch: one that an earlier document holds goes, wherever it begins and ends.
+STRETCH = 50
+#: Words of the shingles by which stretches find each other. Every stretch holds its least shingle.
+SHINGLE = 16
+#: One in 2**CUT_BITS shingles begins a new chunk of stretches, which are compared as one.
+CUT_BITS = 7
+#: A word; in scripts written without spaces (Thai to Khmer, kana, Han) each character is one.
+ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff"
+WORD = re.compile(f"[{ALONE}]|[^\\W_{ALONE}]+")
+#: Odd factor of the rolling hash, and its inverse modulo 2**64.
+FACTOR = 0x9E3779B97F4A7C15
+INVERSE = pow(FACTOR, -1, 1 << 64)
+#: Distinct words a worker remembers before it starts anew.
+WORDS = 500_000
 
 
-def units(text: str) -> list[tuple[int, int, int, bytes | None]]:
-    """(start, end, words, digest) of each unit; white space around a unit is left out."""
+class Rolling(dict):
+    """Two 64-bit hashes of each word, remembered, and of all runs of so many words of a text."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = np.zeros((2, 1 << 12), np.uint64)
+        self.powers = np.ones((2, 1), np.uint64)
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        if n == self.hashes.shape[1]:
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)], 1)
+        self.hashes[:, n] = np.frombuffer(hashlib.blake2b(word.lower().encode(), digest_size=16).digest(), np.uint64)
+        return n
+
+    def places(self, words: list[str]) -> np.ndarray:
+        if len(self) > WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def between(self, places: np.ndarray, starts, ends, which: int) -> np.ndarray:
+        """Hash of the words of each range: equal words, equal hash."""
+        n = len(places)
+        if self.powers.shape[1] <= n:
+            steps = np.full((2, 2 * n + 1), [[FACTOR], [INVERSE]], np.uint64)
+            steps[:, 0] = 1
+            self.powers = np.multiply.accumulate(steps, 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.hashes[which, places] * self.powers[0, :n], out=sums[1:])
+        return (sums[ends] - sums[starts]) * self.powers[1, starts]
+
+    def both(self, places: np.ndarray, starts, ends) -> np.ndarray:
+        return np.stack([self.between(places, starts, ends, k) for k in (0, 1)], 1).view(np.int64)
+
+    def stretches(self, places: np.ndarray) -> np.ndarray:
+        """Both hashes of each stretch."""
+        n = max(0, len(places) - STRETCH + 1)
+        return self.both(places, slice(0, n), slice(STRETCH, STRETCH + n))
+
+    def shingles(self, places: np.ndarray) -> np.ndarray:
+        return self.between(places, slice(0, len(places) - SHINGLE + 1), slice(SHINGLE, None), 0)
+
+    def anchors(self, places: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+        """The least shingle of each stretch: equal stretches have equal ones."""
+        least, have, size = shingles, 1, STRETCH - SHINGLE + 1
+        while have < size:
+            step = min(have, size - have)
+            least = np.minimum(least[:-step], least[step:])
+            have += step
+        return least.view(np.int64)
+
+    def chunks(self, places: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First stretches of the chunks and both hashes of all words of each chunk's stretches."""
+        n = len(places) - STRETCH + 1
+        cuts = np.flatnonzero(shingles[1:n] >> np.uint64(64 - CUT_BITS) == 0) + 1
+        starts = np.concatenate([[0], cuts])
+        return starts, self.both(places, starts, np.append(cuts, n) + STRETCH - 1)
+
+
+def sentences(text: str) -> list[tuple[int, int, int, bytes | None]]:
+    """(start, end, words, digest) of each sentence of each line; white space around it is left out."""
     found = []
     for m in UNIT(text):
         unit = m[0]
@@ -40,13 +113,80 @@ def units(text: str) -> list[tuple[int, int, int, bytes | None]]:
     return found
 
 
-def spans_to_remove(text: str, repeated: set[bytes], least_words: int = LEAST_WORDS) -> list[tuple[int, int]]:
-    """Spans of the runs of units whose first occurrence is in an earlier document or earlier in this one.
+def stretches(text: str, rolling: Rolling | None = None) -> list[tuple[int, int, int, bytes]]:
+    """(start, end, words, digest) of each stretch: one begins at every word that has enough words after it."""
+    rolling = Rolling() if rolling is None else rolling
+    at = [m.span() for m in WORD.finditer(text)]
+    digests = rolling.stretches(rolling.places([text[a:b] for a, b in at])) if len(at) >= STRETCH else ()
+    return [(at[k][0], at[k + STRETCH - 1][1], STRETCH, d.tobytes()) for k, d in enumerate(digests)]
+
+
+def units(text: str) -> list[tuple[int, int, int, bytes | None]]:
+    """(start, end, words, digest) of each sentence and of each stretch."""
+    return sentences(text) + stretches(text)
 
-    Units without a digest belong to a run that goes on after them. A run that starts a line
-    and ends one takes its line break with it.
+
+def spans_to_remove(text: str, repeated: set[bytes], least_words: int = LEAST_WORDS, rolling: Rolling | None = None, whole: bool = True) -> list[tuple[int, int]]:
+    """Spans of what occurs in an earlier document or earlier in this one: runs of sentences and stretches.
+
+    Spans with no word between them are one. A span that starts a line and ends one takes its
+    line break with it. Without ``whole`` no stretch of the text is known to be repeated.
     """
-    found = units(text)
+    found = repeated_runs(text, repeated, least_words)
+    if whole:
+        found = sorted(found + repeated_stretches(text, repeated, rolling))
+    spans: list[list[int]] = []
+    for start, end in found:
+        if spans and not WORD.search(text, spans[-1][1], max(start, spans[-1][1])):
+            spans[-1][1] = max(spans[-1][1], end)
+        else:
+            spans.append([start, end])
+    for span in spans:
+        start, end = span
+        while end < len(text) and text[end] in " \t":
+            end += 1
+        if (start == 0 or text[start - 1] == "\n") and end < len(text) and text[end] == "\n":
+            end += 1
+        span[1] = end
+    return [(start, end) for start, end in spans]
+
+
+def held(digests: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+    """Which rows of ``digests`` are rows of ``repeated``."""
+    found = np.isin(digests[:, 0], repeated[:, 0])
+    if found.any():
+        rows = set(map(tuple, repeated.tolist()))
+        at = np.flatnonzero(found)
+        found[at] = [tuple(x) in rows for x in digests[at].tolist()]
+    return found
+
+
+def covered(rolling: Rolling, places: np.ndarray, shingles: np.ndarray, repeated: np.ndarray) -> np.ndarray:
+    """Which stretches are in chunks that are in ``repeated``."""
+    starts, digests = rolling.chunks(places, shingles)
+    return np.repeat(held(digests, repeated), np.diff(np.append(starts, len(places) - STRETCH + 1)))
+
+
+def repeated_stretches(text: str, repeated: set[bytes], rolling: Rolling | None = None) -> list[tuple[int, int]]:
+    """Spans of the stretches that are in ``repeated``, alone or in a chunk, or repeat one that ends before them."""
+    rolling = Rolling() if rolling is None else rolling
+    places = rolling.places(WORD.findall(text))
+    if len(places) < STRETCH:
+        return []
+    digests, known = rolling.stretches(places), _halves(list(repeated))
+    _, first, which = np.unique(digests[:, 0], return_index=True, return_inverse=True)
+    gone = held(digests, known) | covered(rolling, places, rolling.shingles(places), known) | (first[which] <= np.arange(len(digests)) - STRETCH)
+    starts = np.flatnonzero(gone)
+    if not len(starts):
+        return []
+    at = [m.span() for m in WORD.finditer(text)]
+    cuts = np.flatnonzero(np.diff(starts) > STRETCH) + 1
+    return [(at[run[0]][0], at[run[-1] + STRETCH - 1][1]) for run in np.split(starts, cuts)]
+
+
+def repeated_runs(text: str, repeated: set[bytes], least_words: int = LEAST_WORDS) -> list[tuple[int, int]]:
+    """Spans of the runs of repeated sentences. Those without a digest belong to a run that goes on after them."""
+    found = sentences(text)
     seen: set[bytes] = set()
     gone = []
     for *_, digest in found:
@@ -65,12 +205,7 @@ def spans_to_remove(text: str, repeated: set[bytes], least_words: int = LEAST_WO
                 last, words, tail = j, words + tail, 0
             j += 1
         if words >= least_words:
-            start, end = found[k][0], found[last][1]
-            while end < len(text) and text[end] in " \t":
-                end += 1
-            if (start == 0 or text[start - 1] == "\n") and end < len(text) and text[end] == "\n":
-                end += 1
-            spans.append((start, end))
+            spans.append((found[k][0], found[last][1]))
         k = last + 1
     return spans
 
@@ -80,39 +215,98 @@ def _halves(digests: list[bytes]) -> np.ndarray:
 
 
 def unit_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``h1``, ``h2``, ``doc_id``: a row for each distinct digest of a document."""
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64())])
+    """``h1``, ``h2``, ``doc_id``, ``whole``: a row for each distinct sentence, chunk and (without ``h2``) anchor of a document.
+
+    ``whole`` are chunks, and anchors of stretches that do not overlap: where they are repeated, stretches are.
+    """
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("whole", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = Rolling()
         for batch in batches:
-            digests, owners = [], []
+            digests, owners, chunks, of_chunk, least, of_least, again = [], [], [], [], [], [], []
             for doc, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = dict.fromkeys(d for *_, d in units(said) if d is not None)
+                own = dict.fromkeys(d for *_, d in sentences(said) if d is not None)
                 digests += own
                 owners += [doc] * len(own)
-            both = _halves(digests)
-            yield to_batch(schema, [both[:, 0].copy(), both[:, 1].copy(), owners])
+                places = rolling.places(WORD.findall(said))
+                if len(places) < STRETCH:
+                    continue
+                shingles = rolling.shingles(places)
+                chunks.append(rolling.chunks(places, shingles)[1])
+                of_chunk += [doc] * len(chunks[-1])
+                all_of = rolling.anchors(places, shingles)
+                # Neighbours share their anchor mostly: only where it changes, its run's first and last stretch count.
+                turns = np.flatnonzero(np.diff(all_of)) + 1
+                begins, ends = np.append(0, turns), np.append(turns, len(all_of)) - 1
+                some, first, which = np.unique(all_of[begins], return_index=True, return_inverse=True)
+                last = np.zeros(len(some), np.int64)
+                np.maximum.at(last, which, ends)
+                least.append(some)
+                of_least += [doc] * len(some)
+                again.append(last - begins[first] >= STRETCH)
+            both = np.concatenate([_halves(digests), *chunks])
+            yield to_batch(schema, [both[:, 0].copy(), both[:, 1].copy(), owners + of_chunk, np.arange(len(both)) >= len(owners)])
+            if least:
+                yield to_batch(schema, [np.concatenate(least), pa.nulls(len(of_least), pa.int64()), of_least, np.concatenate(again)])
+
+    return texts(docs.where(F.col(f"`{key}`").isNotNull()), key=key, text=text).mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint, whole boolean")
+
+
+def _shared(found: DataFrame, *keys: str) -> DataFrame:
+    """Rows of ``found`` whose keys more than one document has, with the ``first`` of them."""
+    first = found.groupBy(*keys).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    return found.join(first.select(*keys, "first"), list(keys))
+
+
+def stretch_rows(docs: DataFrame, near: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``h1``, ``h2``, ``doc_id``: the stretches of each document that have one of its ``anchors`` and are in none of the chunks ``h1``, ``h2``."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rolling = Rolling()
+        for batch in batches:
+            for k, (doc, said) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                places = rolling.places(WORD.findall(said))
+                if len(places) < STRETCH:
+                    continue
+                shingles = rolling.shingles(places)
+                kept = np.isin(rolling.anchors(places, shingles), batch.column(2)[k].values.to_numpy())
+                if batch.column(3)[k].is_valid:
+                    kept &= ~covered(rolling, places, shingles, np.stack([batch.column(c)[k].values.to_numpy() for c in (3, 4)], 1))
+                own = rolling.stretches(places)[kept]
+                own = own[np.unique(own[:, 0], return_index=True)[1]]
+                yield to_batch(schema, [own[:, 0].copy(), own[:, 1].copy(), np.full(len(own), doc)])
 
-    return texts(docs.where(F.col(f"`{key}`").isNotNull()), key=key, text=text).mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint")
+    said = texts(docs.where(F.col(f"`{key}`").isNotNull()), key=key, text=text).where(F.octet_length("text") >= STRETCH)
+    met = said.join(near, "doc_id").select("doc_id", "text", "anchors", "h.h1", "h.h2")
+    return met.mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint")
 
 
 def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``row`` (all columns), ``removed`` (spans of original characters) and ``kept_text`` of each row.
 
     Units are normalised (lower case, words only) and hashed; a digest's first occurrence is
-    that in the document with the smallest id, at its first place there. Runs of later
-    occurrences with ``least_words`` words or more are removed. Only digests and ids meet in
-    the global grouping, counted before the shuffle; the join back to a frequent digest may be
-    split by Spark. Rows with equal ids are one document. NULL and empty texts have no units.
-    Rows without an id neither lend nor lose units to others.
+    that in the document with the smallest id, at its first place there. Of later occurrences,
+    runs of sentences with ``least_words`` words or more are removed, and every stretch of
+    ``STRETCH`` words, whatever its borders. Equal stretches have equal anchors, so stretches
+    meet only where documents share an anchor; those in a chunk that a smaller document holds
+    need not, as it holds them all, and the smallest holder of a stretch always sends it. Only
+    digests and ids meet in the global grouping, counted before the shuffle; the join back to a
+    frequent digest may be split by Spark. Rows with equal ids are one document. NULL and
+    empty texts have no units. Rows without an id neither lend nor lose units to others.
     """
     found = checkpointed(unit_rows(docs, key, text))
-    first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    later = found.join(first.select("h1", "h2", "first"), ["h1", "h2"]).where("doc_id > first")
-    lost = later.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("repeated"))
+    later = lambda rows, whole: _shared(rows, "h1", "h2").where("doc_id > first").select("doc_id", F.struct("h1", "h2").alias("h"), whole.alias("whole"))
+    known = checkpointed(later(found.where("h2 is not null"), F.col("whole")))
+    near = _shared(found.where("h2 is null").select("h1", "doc_id"), "h1").groupBy("doc_id").agg(F.collect_set("h1").alias("anchors"))
+    near = near.join(known.where("whole").groupBy("doc_id").agg(F.collect_set("h").alias("h")), "doc_id", "left")
+    alike = checkpointed(stretch_rows(docs, near, key, text))
+    again = found.where("h2 is null and whole").select("doc_id", F.lit(None).cast("struct<h1:bigint,h2:bigint>"), F.lit(True)).distinct()
+    lost = known.union(later(alike, F.lit(True))).union(again).groupBy("doc_id").agg(F.collect_set("h").alias("repeated"), F.max("whole").alias("whole"))
     packed = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("said"), whole_rows(docs))
     met = packed.join(lost, "doc_id", "left")
-    removed = _removed(F.col("said"), F.col("repeated.h1"), F.col("repeated.h2"), least_words)
+    removed = _removed(F.col("said"), F.col("repeated.h1"), F.col("repeated.h2"), F.col("doc_id").isNull() | F.coalesce("whole", F.lit(False)), least_words)
     marked = met.select("row", "said", removed.alias("removed"))
     end = lambda i: F.when(i > 0, F.get(F.col("removed"), i - 1)["end"]).otherwise(0)
     between = F.transform("removed", lambda s, i: F.substring(F.col("said"), end(i) + 1, s["start"] - end(i)))
@@ -123,19 +317,19 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "
     )
 
 
-def _removed(said, h1, h2, least_words: int):
+def _removed(said, h1, h2, whole, least_words: int):
     @F.pandas_udf("array<struct<start:int,end:int>>")
-    def spans(said: pd.Series, h1: pd.Series, h2: pd.Series) -> pd.Series:
-        out = []
-        for text, a, b in zip(said, h1, h2, strict=True):
+    def spans(said: pd.Series, h1: pd.Series, h2: pd.Series, whole: pd.Series) -> pd.Series:
+        out, rolling = [], Rolling()
+        for text, a, b, some in zip(said, h1, h2, whole, strict=True):
             repeated = set()
             if a is not None:
                 both = np.stack([np.asarray(a, np.int64), np.asarray(b, np.int64)], 1)
                 repeated = {row.tobytes() for row in both}
-            out.append([{"start": x, "end": y} for x, y in spans_to_remove(text, repeated, least_words)])
+            out.append([{"start": x, "end": y} for x, y in spans_to_remove(text, repeated, least_words, rolling, some)])
         return pd.Series(out)
 
-    return spans(said, h1, h2)
+    return spans(said, h1, h2, whole)
 
 
 def filtered(docs: DataFrame) -> DataFrame:

@@ -296,6 +296,21 @@ def test_passages_against_plain_version(table):
     assert any(s for _, s, _ in want)
 
 
+def test_passages_whatever_their_borders(spark):
+    prose = " ".join(f"word{k * k % 971}" for k in range(60))
+    lines = ". ".join(" ".join(f"term{j * 7 + k}" for k in range(7)) for j in range(9))
+    han = "".join(chr(0x4E00 + k * 37 % 5000) for k in range(60))
+    pasted = [prose, lines, han]
+    rows = [(k, f"own{k} before {p} own{k} after") for k, p in enumerate(pasted)]
+    rows += [(10 + k, f"other{k} start here {p} other{k} end here") for k, p in enumerate(pasted)]
+    rows += [(20, f"{prose} between {prose} last"), (21, prose.rsplit(" ", 11)[0] + " too short"), (None, f"{prose} between {prose}"), (40, prose), (40, "short " + "x" * 60)]
+    out = {r["row"]["doc_id"]: r["kept_text"] for r in passage_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for k, p in enumerate(pasted):
+        assert out[k] == rows[k][1]
+        assert out[10 + k] == f"other{k} start here other{k} end here"
+    assert out[20] == "between last" and out[21] == rows[7][1] and out[None] == f"{prose} between "
+
+
 # --- embeddings ---------------------------------------------------------------------------
 
 
