@@ -17,9 +17,9 @@ from feedproj.llm.common import row_key, small_batches, texts, to_batch
 from feedproj.session import checkpointed
 
 #: Words with an output of their own, in classes of CLASS_WORDS by falling count; END is the first.
-CLASSES, CLASS_WORDS = 20, 32
+CLASSES, CLASS_WORDS = 32, 32
 #: Classes of all other words, by their last letters. Inside them a word has its smoothed corpus share.
-RARE_CLASSES = 16
+RARE_CLASSES = 32
 HIDDEN = 16
 #: Words whose counts every worker gets, at most, and how long such a word is at most in bytes.
 TOP_WORDS, TOP_BYTES = 120_000, 64

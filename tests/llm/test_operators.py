@@ -420,6 +420,14 @@ def small_vocabulary():
     return language_model.Vocabulary([(f"w{k}".encode(), 100 - k) for k in range(60)], 20, 5000, 90, {k: (10, 5) for k in range(language_model.RARE_CLASSES)})
 
 
+def test_language_model_tells_frequent_words_apart():
+    top = [(f"w{k}".encode(), 5000 - k) for k in range(1500)]
+    v = language_model.Vocabulary(top, 20, 9_000_000, 1500, {})
+    ids = v.model[:1023]
+    assert len(set(ids.tolist())) == 1023 and 0 < ids.min() and ids.max() < language_model.OWN
+    assert len({language_model.rare_class(f"{a}{b}".encode()) for a in "abcdefghij" for b in "klmnopqrst"}) > 16
+
+
 def test_language_model_is_a_distribution():
     v = small_vocabulary()
     weights = language_model.shaped(language_model.first_weights(v))
