@@ -28,17 +28,32 @@ LEAST_DOCUMENTS = 8
 THRESHOLD = 0.7
 #: Distinct words a worker remembers before it starts anew.
 WORDS = 500_000
-#: A word's character n-grams are taken from at most so many of its characters at each end.
+#: A word of more than twice so many characters is cut into pieces of so many, which count as words of the text.
 WORD_CHARS = 40
 EDGES = re.compile(r"^[\W_]+|[\W_]+$").sub
 
 
+def words_of(text: str) -> list[str]:
+    """Words of a text. Long ones come in pieces, each after a space, that together hold all n-grams of the marked word."""
+    found = []
+    for word in text.lower().split():
+        if len(word) > 2 * WORD_CHARS:
+            word = EDGES("", word) or word
+            if len(word) > 2 * WORD_CHARS:
+                marked = f"<{word}>"
+                found += [" " + marked[i : i + WORD_CHARS] for i in range(0, len(marked) - LARGEST + 1, WORD_CHARS - LARGEST + 1)]
+                continue
+        found.append(word)
+    return found
+
+
 def subwords(word: str) -> list[int]:
-    """Buckets of the word and its character n-grams, with ``<`` and ``>`` at its ends."""
-    bare = EDGES("", word) or word
-    if len(bare) > 2 * WORD_CHARS:
-        bare = bare[:WORD_CHARS] + bare[-WORD_CHARS:]
-    marked = f"<{bare}>"
+    """Buckets of the word and its character n-grams, with ``<`` and ``>`` at its ends. A piece has its own marks."""
+    if word[0] == " ":
+        bare = marked = word[1:]
+    else:
+        bare = EDGES("", word) or word
+        marked = f"<{bare}>"
     if marked.isascii():
         marked = marked.encode()
         grams = [marked[i : i + n] for n in range(SMALLEST, LARGEST + 1) for i in range(len(marked) - n + 1)]
@@ -74,7 +89,7 @@ class Bags:
 
     def words(self, text: str) -> np.ndarray:
         found = []
-        for w in text.lower().split():
+        for w in words_of(text):
             if (n := self.number.get(w)) is None:
                 n = self.number[w] = len(self.buckets)
                 self.buckets.append(np.array(subwords(w), np.int32))
@@ -172,7 +187,7 @@ class Scorer(dict):
         return out
 
     def score(self, text: str) -> float:
-        words = text.lower().split()
+        words = words_of(text)
         if not words:
             return 0.0
         worst = -np.inf

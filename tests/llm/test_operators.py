@@ -386,6 +386,21 @@ def test_toxicity_learns_and_reads_misspellings(spark):
     assert score("") == 0.0 and 0 <= score("x" * 200_000) <= 1
 
 
+def test_toxicity_reads_the_middle_of_long_words():
+    margins = np.zeros(toxicity.BUCKETS, np.float32)
+    margins[toxicity.subwords("idiot")] = 50
+    score = toxicity.Scorer(margins, 0.0).score
+    for word in ("字" * 300 + "idiot" + "字" * 300, "some_thing." * 30 + "idiot" + "_ok" * 50):
+        assert score(word) > score(word.replace("idiot", "")) + 0.01
+    for n in range(70, 200):
+        word = "".join(chr(0x4E00 + k) for k in range(n))
+        marked = f"<{word}>"
+        grams = {marked[i : i + k] for k in range(toxicity.SMALLEST, toxicity.LARGEST + 1) for i in range(len(marked) - k + 1)}
+        pieces = toxicity.words_of(word)
+        assert pieces == [word] if n <= 80 else all(any(g in p for p in pieces) for g in grams)
+        assert all(len(p) <= 81 for p in pieces)
+
+
 def test_toxicity_query(spark, docs, empty, sf_dir):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (6, None), (8, 0), (8, 0)], "doc_id bigint, toxic int")
     sample = toxicity.sample(docs, labels)
