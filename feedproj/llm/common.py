@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feedproj.session import checkpointed
@@ -163,3 +164,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
         .union(moved.select(F.col("m").alias("a"), "b"))
         .where("a <> b").distinct()
     )
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, out: str) -> DataFrame:
+    """``out``: the sum of ``value`` over the key's earlier rows in ``order``, without one-task keys.
+
+    Rows are range-partitioned by key and order and written once. Sums run inside each part;
+    the sums of the key's earlier parts, one row per key and part, are added. ``keys`` must
+    not be NULL; none at all means one order over all rows.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*map(F.col, keys), *order]
+    laid = checkpointed(df.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()))
+    cut = ["_part", *keys]
+    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*cut).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    sums = laid.groupBy(*cut).agg(F.sum(value).alias("_sum"))
+    before = sums.select(*cut, F.coalesce(F.sum("_sum").over(earlier), zero).alias("_before"))
+    return (
+        laid.withColumn("_inside", F.coalesce(F.sum(value).over(inside), zero))
+        .join(before, cut).withColumn(out, F.col("_inside") + F.col("_before"))
+        .drop("_part", "_inside", "_before")
+    )
