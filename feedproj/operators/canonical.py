@@ -8,7 +8,7 @@ kind a user adds (see ``operators.commerce``).
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +45,16 @@ class EntitySpec:
     natural_key: str
     projected: Callable[[Column], dict[str, Column]]
     insert_only: tuple[str, ...] = ("id", "created_at", "source_entity_type", "taxonomy_type")
-    bridge_ids: str | None = None
-    defaults: dict[str, str] = field(default_factory=dict)
+    # Many-to-many links: (list column of the canonical row, kind its source ids belong to).
+    links: tuple[tuple[str, str], ...] = ()
+    # Events: ``<domain>.<kind>.<verb>``; upserts read the source, tombstones don't.
+    domain: str = "content"
+    upserts: tuple[str, ...] = ("created", "updated")
+    tombstones: tuple[str, ...] = ("deleted",)
+
+    @property
+    def event_types(self) -> tuple[str, ...]:
+        return tuple(f"{self.domain}.{self.kind}.{verb}" for verb in (*self.upserts, *self.tombstones))
 
 
 def _text(name: str) -> Column:
@@ -170,7 +178,7 @@ POST = EntitySpec(
     ddl=POSTS,
     natural_key="source_post_id",
     projected=_post_projected,
-    bridge_ids="category_ids",
+    links=(("category_ids", "category"),),
 )
 PAGE = EntitySpec(
     kind="page",

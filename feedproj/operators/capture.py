@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from feedproj.functions.ids import event_checksum, time_ordered_id
 from feedproj.functions.times import instant
 from feedproj.operators.guards import AGGREGATE
+from feedproj.operators.kinds import CONTENT_KINDS, Kinds
 from feedproj.operators.skew import HOT_ROWS, number_within
 from feedproj.schema import (
-    AGGREGATE_TYPES,
     ENVELOPE,
     EVENT_VERSION,
     POST_TYPES,
@@ -47,7 +47,7 @@ def in_scope(df: DataFrame, saves: bool = False) -> DataFrame:
     return kept
 
 
-def derive_changes(old: DataFrame, new: DataFrame, key: str, kind: str) -> DataFrame:
+def derive_changes(old: DataFrame, new: DataFrame, key: str, kind: str, kinds: Kinds = CONTENT_KINDS) -> DataFrame:
     """Events between two source snapshots with columns ``key, status, checksum``.
 
     ``created``/``deleted`` follow the public set; ``updated`` needs a changed checksum.
@@ -61,7 +61,7 @@ def derive_changes(old: DataFrame, new: DataFrame, key: str, kind: str) -> DataF
         .withColumn("action", verb)
         .where(F.col("action").isNotNull() & ~((F.col("action") == "updated") & same))
         .select(
-            F.concat_ws(".", F.lit("content"), F.lit(kind), "action").alias("event_type"),
+            F.concat_ws(".", F.lit(kinds.spec(kind).domain), F.lit(kind), "action").alias("event_type"),
             F.col(key).cast("string").alias("aggregate_id"),
             F.coalesce("_new_status", "_old_status").alias("status"),
         )
@@ -109,10 +109,9 @@ def next_counters(events: DataFrame, counters: DataFrame) -> DataFrame:
     )
 
 
-def aggregate_type(event_type: Column) -> Column:
-    """Second name segment when it is a known aggregate type."""
-    segment = F.split_part(event_type, F.lit("."), F.lit(2))
-    return F.when(segment.isin(*AGGREGATE_TYPES), segment)
+def aggregate_type(event_type: Column, kinds: Kinds = CONTENT_KINDS) -> Column:
+    """Second name segment when it is a registered kind."""
+    return kinds.aggregate_type(event_type)
 
 
 def post_payload(post_id: Column, post_type: Column, status: Column) -> Column:
@@ -121,11 +120,7 @@ def post_payload(post_id: Column, post_type: Column, status: Column) -> Column:
     )
 
 
-def term_payload(term_id: Column) -> Column:
-    return F.to_json(F.struct(term_id.alias("term_id")))
-
-
-def build_envelope(changes: DataFrame, as_of) -> DataFrame:
+def build_envelope(changes: DataFrame, as_of, kinds: Kinds = CONTENT_KINDS) -> DataFrame:
     """Full event rows from versioned changes.
 
     Needs event_type, aggregate_id, aggregate_version, payload, created_at;
@@ -143,7 +138,7 @@ def build_envelope(changes: DataFrame, as_of) -> DataFrame:
     built = {
         "id": time_ordered_id(F.col("created_at").cast("timestamp"), seed),
         "event_version": F.lit(EVENT_VERSION),
-        "aggregate_type": aggregate_type(F.col("event_type")),
+        "aggregate_type": aggregate_type(F.col("event_type"), kinds),
         "source_updated_at": F.date_trunc(
             "second", F.coalesce(optional("source_updated_at", "timestamp"), now)
         ),

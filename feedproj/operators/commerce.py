@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedproj.functions.ids import surrogate_id
+from feedproj.functions.text import canonical_ids_json, id_list
+from feedproj.functions.times import instant
 from feedproj.operators.canonical import EntitySpec
+from feedproj.operators.kinds import CONTENT_KINDS
 from feedproj.schema import _fields
 
 PRODUCTS = _fields("""
@@ -43,6 +47,27 @@ VARIATIONS = _fields("""
     updated_at timestamp
     synced_at timestamp
 """)
+ATTRIBUTES = _fields("""
+    id string
+    source_attribute_id bigint
+    name string
+    slug string
+    deleted_at timestamp
+    checksum string
+    created_at timestamp
+    synced_at timestamp
+""")
+ATTRIBUTE_TERMS = _fields("""
+    id string
+    attribute_id string
+    source_term_id bigint
+    name string
+    slug string
+    deleted_at timestamp
+    checksum string
+    created_at timestamp
+    synced_at timestamp
+""")
 COMMERCE_CATEGORIES = _fields("""
     id string
     source_term_id bigint
@@ -61,6 +86,10 @@ def _text(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def _ids(name: str) -> Column:
+    return F.coalesce(id_list(F.col(name)), F.array().cast("array<bigint>"))
+
+
 def _money(name: str) -> Column:
     return F.col(name).try_cast("decimal(18,2)")
 
@@ -83,14 +112,19 @@ PRODUCT = EntitySpec(
         "price": _money("price"),
         "sale_price": _money("sale_price"),
         "featured": F.coalesce(F.col("featured").try_cast("boolean"), F.lit(False)),
+        "category_ids": _ids("category_ids"),
+        "attribute_term_ids": _ids("attribute_term_ids"),
     },
     key="product_key",
     trims="name",
     digest=lambda: _shown("product_key", "sku", "slug", "name", "description", "status", "product_type",
-                          "price", "sale_price", "currency", "stock_status", "featured"),
+                          "price", "sale_price", "currency", "stock_status", "featured")
+    + [canonical_ids_json(F.col(c)) for c in ("category_ids", "attribute_term_ids")],
     ddl=PRODUCTS,
     natural_key="source_product_id",
     projected=lambda now: {"source_product_id": F.col("product_key"), "updated_at": now},
+    links=(("category_ids", "commerce_category"), ("attribute_term_ids", "attribute_term")),
+    domain="commerce",
 )
 VARIATION = EntitySpec(
     kind="variation",
@@ -119,6 +153,7 @@ VARIATION = EntitySpec(
         "product_id": product_id(F.col("product_key")),
         "updated_at": now,
     },
+    domain="commerce",
 )
 COMMERCE_CATEGORY = EntitySpec(
     kind="commerce_category",
@@ -137,13 +172,54 @@ COMMERCE_CATEGORY = EntitySpec(
     ddl=COMMERCE_CATEGORIES,
     natural_key="source_term_id",
     projected=lambda now: {"source_term_id": F.col("term_id"), "updated_at": now},
+    domain="commerce",
+)
+ATTRIBUTE = EntitySpec(
+    kind="attribute",
+    source_key="attribute_id",
+    numeric=("attribute_id",),
+    text=("name", "slug"),
+    dates=(),
+    discriminator=None,
+    extract=lambda as_of: {
+        "attribute_key": F.col("attribute_id").try_cast("bigint"), "name": _text("name"), "slug": _text("slug"),
+    },
+    key="attribute_key",
+    trims="name",
+    digest=lambda: _shown("attribute_key", "name", "slug"),
+    ddl=ATTRIBUTES,
+    natural_key="source_attribute_id",
+    projected=lambda now: {"source_attribute_id": F.col("attribute_key")},
+    domain="commerce",
+)
+ATTRIBUTE_TERM = EntitySpec(
+    kind="attribute_term",
+    source_key="term_id",
+    numeric=("term_id", "attribute_id"),
+    text=("name", "slug"),
+    dates=(),
+    discriminator=None,
+    extract=lambda as_of: {
+        "term_id": F.col("term_id").try_cast("bigint"),
+        "attribute_key": F.col("attribute_id").try_cast("bigint"),
+        "name": _text("name"),
+        "slug": _text("slug"),
+    },
+    key="term_id",
+    trims="name",
+    digest=lambda: _shown("term_id", "attribute_key", "name", "slug"),
+    ddl=ATTRIBUTE_TERMS,
+    natural_key="source_term_id",
+    projected=lambda now: {
+        "source_term_id": F.col("term_id"), "attribute_id": surrogate_id("attribute", F.col("attribute_key")),
+    },
+    domain="commerce",
 )
-COMMERCE = (COMMERCE_CATEGORY, PRODUCT, VARIATION)
+COMMERCE = (COMMERCE_CATEGORY, ATTRIBUTE, ATTRIBUTE_TERM, PRODUCT, VARIATION)
+COMMERCE_KINDS = CONTENT_KINDS.with_(COMMERCE)
 
 
 def product_id(key: Column) -> Column:
-    from feedproj.functions.ids import surrogate_id
-
     return surrogate_id("product", key)
 
 
@@ -152,8 +228,6 @@ def inventory(stock: DataFrame, as_of) -> DataFrame:
 
     ``stock``: product_key, quantity (signed), backorders (boolean).
     """
-    from feedproj.functions.times import instant
-
     return (
         stock.groupBy("product_key")
         .agg(F.sum("quantity").cast("bigint").alias("quantity"), F.max("backorders").alias("backorders_allowed"))
@@ -222,3 +296,65 @@ def category_products(products: DataFrame, links: DataFrame, categories: DataFra
     return categories.where(F.col("deleted_at").isNull()).join(
         counted, F.col("id") == F.col("category_id"), "left"
     ).select("slug", F.coalesce("_n", F.lit(0)).alias("n_products"))
+
+
+def product_attributes(links: DataFrame, terms: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Which terms of which attributes a product has: ``product_id``, ``attribute``, ``term``, ``attribute_term_id``.
+
+    ``links``: the bridge (entity_id, taxonomy_id); links to anything but a live term of a
+    live attribute fall away.
+    """
+    named = (
+        terms.where("deleted_at IS NULL").select(F.col("id").alias("attribute_term_id"), F.col("slug").alias("term"), "attribute_id")
+        .join(
+            attributes.where("deleted_at IS NULL").select(F.col("id").alias("attribute_id"), F.col("slug").alias("attribute")),
+            "attribute_id",
+        )
+    )
+    return (
+        links.select(F.col("entity_id").alias("product_id"), F.col("taxonomy_id").alias("attribute_term_id"))
+        .join(named, "attribute_term_id")
+        .select("product_id", "attribute", "term", "attribute_term_id")
+    )
+
+
+def _matching(had: DataFrame, selected: dict[str, list[str]]) -> DataFrame:
+    """Products with one of the terms of every attribute named."""
+    wanted = F.lit(False)
+    for name, terms in selected.items():
+        wanted = wanted | ((F.col("attribute") == name) & F.col("term").isin(*terms))
+    each = had.where(wanted).select("product_id", "attribute").distinct()
+    return each.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(selected)).select("product_id")
+
+
+def product_facets(
+    products: DataFrame, attributes: DataFrame, selected: dict[str, list[str]] | None = None
+) -> DataFrame:
+    """How many live, published products each term, each attribute and all of them have.
+
+    ``attributes``: product_id, attribute, term (see :func:`product_attributes`). A product
+    with several terms of an attribute counts once for the attribute. ``selected`` (terms by
+    attribute) narrows the products: any of an attribute's terms, and all attributes named.
+    Rows: ``attribute``, ``term`` (NULL: all of them), ``n_products``, ``lowest_price``,
+    ``highest_price`` of the narrowed products.
+
+    Distinct counts come from bitmaps by range of product numbers, built once for each term
+    inside the tasks and merged upwards over the grouping sets: products move once, not
+    once for every level, and a hot term is as many groups as it has ranges.
+    """
+    live = products.where(F.col("deleted_at").isNull() & (F.col("status") == "publish")).select(
+        F.col("id").alias("product_id"), "source_product_id", "price")
+    had = live.join(attributes.select("product_id", "attribute", "term"), "product_id")
+    if selected:
+        had = had.join(_matching(had, selected), "product_id", "left_semi")
+    number = F.col("source_product_id")
+    by_term = had.groupBy("attribute", "term", F.bitmap_bucket_number(number).alias("_range")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("_bits"),
+        F.min("price").alias("_low"), F.max("price").alias("_high"),
+    )
+    levels = [["attribute", "term", "_range"], ["attribute", "_range"], ["_range"]]
+    merged = by_term.groupingSets(levels, "attribute", "term", "_range").agg(
+        F.bitmap_count(F.bitmap_or_agg("_bits")).alias("_n"), F.min("_low").alias("_low"), F.max("_high").alias("_high"),
+    )
+    return merged.groupBy("attribute", "term").agg(
+        F.sum("_n").cast("bigint").alias("n_products"), F.min("_low").alias("lowest_price"), F.max("_high").alias("highest_price"))

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedproj.functions.times import instant
+from feedproj.operators.kinds import CONTENT_KINDS, Kinds
 from feedproj.operators.skew import HOT_ROWS, salted_lookup
-from feedproj.schema import EVENT_TYPES, PARTITIONS, columns, ENVELOPE
+from feedproj.schema import ENVELOPE, PARTITIONS, columns
 
 AGGREGATE = ["aggregate_type", "aggregate_id"]
 
@@ -23,14 +24,14 @@ def valid_event_type(col: Column) -> Column:
     return F.coalesce(col.rlike(r"^[^.]+(\.[^.]+){2,}$"), F.lit(False))
 
 
-def registered(col: Column) -> Column:
-    return F.coalesce(col.isin(*EVENT_TYPES), F.lit(False))
+def registered(col: Column, kinds: Kinds = CONTENT_KINDS) -> Column:
+    """Whether a registered kind declares the type."""
+    return kinds.registered(col)
 
 
-def action(col: Column) -> Column:
-    """``upsert`` for created and updated, ``tombstone`` for deleted."""
-    last = F.substring_index(col, ".", -1)
-    return F.when(last == "deleted", "tombstone").when(last.isin("created", "updated"), "upsert")
+def action(col: Column, kinds: Kinds = CONTENT_KINDS) -> Column:
+    """``upsert`` or ``tombstone``, as the type's kind declares; NULL for unknown types."""
+    return kinds.action(col)
 
 
 def partition_of(col: Column) -> Column:
@@ -53,10 +54,26 @@ def relayed_envelopes(outbox: DataFrame) -> DataFrame:
     return outbox.select(*[typed.get(c, F.col(c)).alias(c) for c in columns(ENVELOPE)])
 
 
+def one_copy(rows: DataFrame, key: str = "id", *more: Column) -> DataFrame:
+    """One whole row per ``key``, with ``more`` aggregates over its copies.
+
+    Of copies that differ the least stays: by aggregate version, then capture time, then
+    all other columns. So no task order and no retry can change which, and no row is put
+    together from several. Copies are reduced inside each task before they move.
+    """
+    first = [c for c in ("aggregate_version", "created_at") if c in rows.columns and c != key]
+    rest = [*first, *[c for c in rows.columns if c not in (key, *first)]]
+    if not rest:
+        return rows.groupBy(key).agg(*more) if more else rows.distinct()
+    out = rows.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row"), *more)
+    added = [c for c in out.columns if c not in (key, "_row")]
+    return out.select(*[F.col(c) if c == key else F.col(f"_row.{c}") for c in rows.columns], *added)
+
+
 def new_by_id(rows: DataFrame, stored: DataFrame, key: str, stored_key: str | None = None) -> DataFrame:
-    """Rows whose id is not stored yet, one per id."""
+    """Rows whose id is not stored yet, one per id (see :func:`one_copy`)."""
     known = stored.select(F.col(stored_key or key).alias(key))
-    return rows.dropDuplicates([key]).join(known, key, "left_anti")
+    return one_copy(rows, key).join(known, key, "left_anti")
 
 
 def relay(outbox: DataFrame, events: DataFrame) -> DataFrame:
@@ -125,14 +142,14 @@ def stale_guard(
     return known.where(is_fresh()).drop("latest"), known.where(~is_fresh()).drop("latest")
 
 
-def split_actions(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    kind = action(F.col("event_type"))
+def split_actions(events: DataFrame, kinds: Kinds = CONTENT_KINDS) -> tuple[DataFrame, DataFrame]:
+    kind = action(F.col("event_type"), kinds)
     return events.where(kind == "upsert"), events.where(kind == "tombstone")
 
 
-def reject_unregistered(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+def reject_unregistered(events: DataFrame, kinds: Kinds = CONTENT_KINDS) -> tuple[DataFrame, DataFrame]:
     """(registered, failures): an unknown type is a failure, not a skip."""
-    ok = registered(F.col("event_type"))
+    ok = registered(F.col("event_type"), kinds)
     return events.where(ok), events.where(~ok).withColumn("failure_reason", F.lit("unregistered"))
 
 
@@ -153,14 +170,14 @@ def reject_missing_event(jobs: DataFrame, events: DataFrame) -> DataFrame:
     return jobs.join(ids, "event_id", "left_anti").withColumn("failure_reason", F.lit("missing_event"))
 
 
-def reduce_aggregates(fresh: DataFrame) -> DataFrame:
+def reduce_aggregates(fresh: DataFrame, kinds: Kinds = CONTENT_KINDS) -> DataFrame:
     """One row per aggregate with all the apply step needs to know about its events.
 
     ``min_u``/``max_u`` lowest and highest upsert version, ``max_d`` highest
     tombstone version, ``t_d`` that tombstone's source time. Every aggregate has a
     fixed-size buffer, so tasks reduce by hash before the shuffle.
     """
-    kind = action(F.col("event_type"))
+    kind = action(F.col("event_type"), kinds)
     version = F.col("aggregate_version")
     up = F.when(kind == "upsert", version)
     down = F.when(kind == "tombstone", version)

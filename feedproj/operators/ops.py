@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,6 +11,7 @@ from feedproj.functions.times import instant
 from feedproj.operators.canonical import EntitySpec
 from feedproj.operators.capture import is_public
 from feedproj.operators.guards import partition_of, registered
+from feedproj.operators.kinds import CONTENT_KINDS, Kinds
 from feedproj.operators.projection import beside, chosen, rewrite_bridge
 from feedproj.schema import PUBLIC_STATUSES, QUEUE_LAG_TARGET_SECONDS, SYNC_DELAY_TARGET_SECONDS
 
@@ -133,7 +134,7 @@ def reconcile_bridge(canonical: DataFrame, projection: DataFrame, bridge: DataFr
 
     written = canonical.join(
         broken.select(F.col(spec.natural_key).alias(spec.key)), spec.key, "left_semi"
-    ).select(surrogate_id(spec.kind, F.col(spec.key)).alias("id"), spec.bridge_ids)
+    ).select(surrogate_id(spec.kind, F.col(spec.key)).alias("id"), spec.links[0][0])
     return rewrite_bridge(bridge, written, taxonomies)
 
 
@@ -213,7 +214,7 @@ def growth(tables: dict[str, tuple[DataFrame, str]], unit: str = "day") -> DataF
 # --- contracts, retention, timelines ----------------------------------------
 
 
-def event_contract_check(events: DataFrame) -> DataFrame:
+def event_contract_check(events: DataFrame, kinds: Kinds = CONTENT_KINDS) -> DataFrame:
     """Events with ``problems``: codes of what breaks the envelope contract."""
     needed = ("id", "event_type", "aggregate_type", "aggregate_id", "aggregate_version", "checksum",
               "correlation_id", "payload", "created_at", "source_updated_at")
@@ -221,7 +222,7 @@ def event_contract_check(events: DataFrame) -> DataFrame:
     segment = F.split_part("event_type", F.lit("."), F.lit(2))
     problems = F.array_compact(F.array(
         *absent,
-        F.when(~registered(F.col("event_type")), F.lit("unregistered")),
+        F.when(~registered(F.col("event_type"), kinds), F.lit("unregistered")),
         F.when(segment != F.col("aggregate_type"), F.lit("aggregate_type")),
         F.when(F.col("aggregate_version") < 1, F.lit("aggregate_version")),
         F.when(event_checksum(F.col("payload")) != F.col("checksum"), F.lit("checksum")),
@@ -275,9 +276,3 @@ def module_versions(applied: DataFrame) -> DataFrame:
     return applied.groupBy("module_name").agg(
         F.max_by("schema_version", newest).alias("schema_version"),
         F.max("applied_at").alias("applied_at"))
-
-
-def empty_attempts(spark: SparkSession) -> DataFrame:
-    from feedproj.schema import ATTEMPTS
-
-    return spark.createDataFrame([], ATTEMPTS)

@@ -106,17 +106,17 @@ def tombstone(current: DataFrame, deletes: DataFrame, spec: EntitySpec) -> DataF
     )
 
 
-def link_rows(posts: DataFrame, taxonomies: DataFrame) -> DataFrame:
-    """Bridge rows of ``posts`` (id, category_ids), known categories only.
+def link_rows(
+    posts: DataFrame, taxonomies: DataFrame, ids: str = "category_ids", key: str = "source_term_id"
+) -> DataFrame:
+    """Bridge rows of ``posts`` (id and a list of source ids), known targets only.
 
-    Deletion of a category is not looked at here; reads filter it out.
+    Deletion of a target is not looked at here; reads filter it out.
     """
-    wanted = posts.select(
-        F.col("id").alias("entity_id"), F.explode(F.array_distinct("category_ids")).alias("source_term_id")
-    )
-    known = taxonomies.select("source_term_id", F.col("id").alias("taxonomy_id"))
+    wanted = posts.select(F.col("id").alias("entity_id"), F.explode(F.array_distinct(ids)).alias(key))
+    known = taxonomies.select(key, F.col("id").alias("taxonomy_id"))
     # Unique right side: a hot category is split by AQE's skew join when it is not broadcast.
-    return wanted.join(known, "source_term_id").select("entity_id", "taxonomy_id")
+    return wanted.join(known, key).select("entity_id", "taxonomy_id")
 
 
 def rewrite_bridge(bridge: DataFrame, posts: DataFrame, taxonomies: DataFrame) -> DataFrame:

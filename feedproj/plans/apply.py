@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from feedproj.functions.times import instant
 from feedproj.operators.canonical import CONTENT, EntitySpec, canonicalise, extract, violations
-from feedproj.operators.guards import AGGREGATE, action, is_fresh, reduce_aggregates, registered
+from feedproj.operators.guards import AGGREGATE, action, is_fresh, one_copy, reduce_aggregates, registered
+from feedproj.operators.kinds import CONTENT_KINDS, Kinds
 from feedproj.operators.projection import (
     advance_versions,
     link_rows,
@@ -82,20 +83,22 @@ def batch_changes(
 
     ``stage`` materialises the intermediates that several outputs share
     (``session.checkpointed`` when writing); by default the plan stays lazy.
-    ``force`` replays stored events past the ledger and version guards.
+    ``force`` replays stored events past the ledger and version guards. ``specs`` are the
+    kinds resolved here; together with the content kinds they decide which types are known.
     """
     now = instant(as_of)
-    guarded = stage(_guarded_events(events, state, force, hot_rows, stage))
+    kinds = CONTENT_KINDS.with_(specs)
+    guarded = stage(_guarded_events(events, state, force, hot_rows, stage, kinds))
     hot = hot_keys(guarded, AGGREGATE, hot_rows)
     live = guarded.where(F.col("_fresh"))
     if stage is not _keep:
         # Only the kinds that occur are resolved; a batch of stale copies resolves nothing.
-        kinds = {r[0] for r in live.select("aggregate_type").distinct().collect()}
-        specs = [s for s in specs if s.kind in kinds]
+        occurring = {r[0] for r in live.select("aggregate_type").distinct().collect()}
+        specs = [s for s in specs if s.kind in occurring]
     latest = F.max("latest").alias("latest")
-    reduced = reduce_aggregates(live).join(
+    reduced = reduce_aggregates(live, kinds).join(
         live.where("latest IS NOT NULL").groupBy(*AGGREGATE).agg(latest), AGGREGATE, "left"
-    ) if force else reduce_aggregates(live).withColumn("latest", F.lit(None).cast("bigint"))
+    ) if force else reduce_aggregates(live, kinds).withColumn("latest", F.lit(None).cast("bigint"))
 
     rows, touched, verdicts = {}, {}, []
     resolved = {}
@@ -184,7 +187,9 @@ _VERDICT_DDL = (
 )
 
 
-def _guarded_events(events: DataFrame, state: ProjectionState, force: bool, hot_rows: int, stage) -> DataFrame:
+def _guarded_events(
+    events: DataFrame, state: ProjectionState, force: bool, hot_rows: int, stage, kinds: Kinds
+) -> DataFrame:
     """One row per event id with ``latest``, ``_known`` (in the ledger) and ``_fresh``.
 
     Shuffled by id for copies and ledger together, then by aggregate for versions.
@@ -192,7 +197,6 @@ def _guarded_events(events: DataFrame, state: ProjectionState, force: bool, hot_
     slim = events.select(
         "id", "event_type", *AGGREGATE, "aggregate_version", "source_updated_at", "checksum"
     )
-    rest = [c for c in slim.columns if c != "id"]
     # The ledger only grows: it is filtered to this batch's ids, which are broadcast
     # when they are few, rather than shuffled against them.
     known = state.ledger.select(F.col("event_id").alias("id")).join(
@@ -200,9 +204,7 @@ def _guarded_events(events: DataFrame, state: ProjectionState, force: bool, hot_
     ).withColumn("_known", F.lit(True))
     # Copies of an id are reduced inside each task before they move; the ledger
     # then meets them where they are.
-    once = stage(slim.groupBy("id").agg(
-        *[F.first(c).alias(c) for c in rest], F.count(F.lit(1)).alias("deliveries")
-    ).join(known, "id", "left"))
+    once = stage(one_copy(slim, "id", F.count(F.lit(1)).alias("deliveries")).join(known, "id", "left"))
     hot = hot_keys(once, AGGREGATE, hot_rows)
     keys = once.select(*AGGREGATE).distinct()
     latest = state.versions.select(*AGGREGATE, F.col("latest_processed_version").alias("latest")).join(
@@ -215,8 +217,8 @@ def _guarded_events(events: DataFrame, state: ProjectionState, force: bool, hot_
     )
     fresh = F.lit(True) if force else is_fresh() & F.col("_known").isNull()
     return (
-        seen.withColumn("_registered", registered(F.col("event_type")))
-        .withColumn("_action", action(F.col("event_type")))
+        seen.withColumn("_registered", registered(F.col("event_type"), kinds))
+        .withColumn("_action", action(F.col("event_type"), kinds))
         .withColumn("_stale", F.lit(False) if force else ~is_fresh())
         .withColumn("_fresh", F.col("_registered") & fresh)
     )
@@ -236,7 +238,7 @@ def _resolve(reduced, current, source: SourceState, spec: EntitySpec, now, resur
     shown = canonical.select(
         "_key", "violations",
         *[c.alias(f"src_{n}") for n, c in projected_columns(spec, now).items()],
-        *([F.col(spec.bridge_ids).alias("category_ids")] if spec.bridge_ids else []),
+        *[F.col(c).alias(f"link_{c}") for c, _ in spec.links],
     )
     stored = current.join(
         mine.selectExpr(f"_key AS {spec.natural_key}"), spec.natural_key, "left_semi"
@@ -259,7 +261,7 @@ def _resolve(reduced, current, source: SourceState, spec: EntitySpec, now, resur
 
     return decided.selectExpr(
         *AGGREGATE, "_key", "_exists", *_VERDICT,
-        *(["category_ids"] if spec.bridge_ids else []),
+        *[f"link_{c}" for c, _ in spec.links],
         *[final(c) for c in columns(spec.ddl)],
     )
 
@@ -304,12 +306,16 @@ def _after(state: ProjectionState, kind: str, key: str, rows, touched) -> DataFr
 def _links(resolved, rows, touched, state, source, specs, late_link: bool):
     """(new bridge rows, entity ids whose old rows they replace)."""
     links, gone = state.bridge.limit(0), state.bridge.limit(0).select("entity_id")
-    terms = _after(state, "category", "source_term_id", rows, touched) if "category" in state.entities else None
+    known = CONTENT_KINDS.with_(specs)
     for spec in specs:
-        if spec.bridge_ids:
-            written = resolved[spec.kind].where("wrote").selectExpr("new_id AS id", "category_ids")
-            links = links.unionByName(link_rows(written, terms))
-            gone = gone.unionByName(written.selectExpr("id AS entity_id"))
+        for column, kind in spec.links:
+            if kind not in known.aggregate_types or kind not in state.entities:
+                continue  # no rows of that kind here to link to
+            written = resolved[spec.kind].where("wrote").selectExpr("new_id AS id", f"link_{column} AS ids")
+            key = known.spec(kind).natural_key
+            links = links.unionByName(link_rows(written, _after(state, kind, key, rows, touched), "ids", key))
+        if spec.links:
+            gone = gone.unionByName(resolved[spec.kind].where("wrote").selectExpr("new_id AS entity_id"))
     if not (late_link and "category" in rows):
         return links, gone
     # Posts written before their category existed are linked from the source now.

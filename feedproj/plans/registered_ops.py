@@ -463,12 +463,35 @@ SRC_PRODUCTS = """select cast(p_partkey as string) as product_id, concat('SKU-',
   concat('part-', cast(p_partkey as string)) as slug, p_name as name, p_brand as description,
   case when p_size > 45 then 'draft' else 'publish' end as status, p_type as product_type,
   cast(cast(p_retailprice as decimal(18,2)) as string) as price, cast(null as string) as sale_price,
-  'EUR' as currency, 'instock' as stock_status, cast(p_size > 40 as string) as featured
+  'EUR' as currency, 'instock' as stock_status, cast(p_size > 40 as string) as featured,
+  array(cast(p_size % 7 as string), cast(p_partkey % 5 as string)) as category_ids,
+  array(cast(1000 + p_size as string), substr(p_brand, 7)) as attribute_term_ids
 from part"""
+SRC_ATTRIBUTES = """select cast(a as string) as attribute_id, case a when 1 then 'Brand ' else 'Size' end as name,
+  case a when 1 then 'brand' else 'size' end as slug from (select distinct 1 + p_partkey % 2 as a from part)"""
+SRC_ATTRIBUTE_TERMS = """select distinct substr(p_brand, 7) as term_id, '1' as attribute_id, concat(' ', p_brand) as name,
+  lower(replace(p_brand, '#', '-')) as slug from part
+union all
+select distinct cast(1000 + p_size as string), '2', concat('Size ', cast(p_size as string)),
+  concat('size-', cast(p_size as string)) from part where p_size <> 13"""
+SRC_COMMERCE_CATEGORIES = """select cast(n_nationkey as string) as term_id, concat(n_name, ' goods ') as name,
+  lower(n_name) as slug, r_name as description from nation join region on n_regionkey = r_regionkey"""
 STOCK = """select l_partkey as product_key, cast(sum(case l_linestatus when 'O' then l_quantity else -l_quantity end) as bigint)
   as quantity, false as backorders from lineitem group by l_partkey, l_suppkey"""
 
 
+def ids_json(col: str) -> str:
+    return f"'[' || array_to_string(list_sort(list_transform({col}, lambda x: cast(x as bigint))), ',') || ']'"
+
+
+def duck(sql: str) -> str:
+    return sql.replace("array(", "list_value(")
+
+
+PRODUCT_SUM = f"""sha256(concat_ws(chr(0), product_id, sku, slug, name, description, status, product_type, price, '',
+  currency, stock_status, featured, {ids_json('category_ids')}, {ids_json('attribute_term_ids')}))"""
+
+
 def products(t):
     rows = C.canonical_rows(t.sql(SRC_PRODUCTS), commerce.PRODUCT, AS_OF)
     return rows.select(*[c.alias(n) for n, c in projection.projected_columns(commerce.PRODUCT, AS_OF).items()])
@@ -476,9 +499,8 @@ def products(t):
 
 @query("product_projection", f"""select {sid('duckdb', 'product', 'product_id')} as id,
   cast(product_id as bigint) as source_product_id, sku, name, cast(price as string) as price, featured = 'true' as featured,
-  sha256(concat_ws(chr(0), product_id, sku, slug, name, description, status, product_type, price, '', currency,
-         stock_status, featured)) as checksum
-from ({SRC_PRODUCTS}) where cast(product_id as bigint) > 0""")
+  {PRODUCT_SUM} as checksum
+from ({duck(SRC_PRODUCTS)}) where cast(product_id as bigint) > 0""")
 def _(t):
     return products(t).select(
         "id", "source_product_id", "sku", "name", F.col("price").cast("string").alias("price"), "featured", "checksum")
@@ -516,7 +538,7 @@ LIVE = "cast(product_id as bigint) > 0"
 
 @query("list_products", f"""select slug, price from (
 select slug, cast(price as string) as price, cast(price as decimal(18,2)) as p,
-  {sid('duckdb', 'product', 'product_id')} as id from ({SRC_PRODUCTS})
+  {sid('duckdb', 'product', 'product_id')} as id from ({duck(SRC_PRODUCTS)})
 where {LIVE} and status = 'publish' and product_type = 'ECONOMY' and cast(price as decimal(18,2)) >= 910)
 order by p desc, id limit 20""")
 def _(t):
@@ -529,7 +551,7 @@ def _(t):
   cast(max(cast(price as decimal(18,2))) as string) as highest_price,
   cast(coalesce(sum(i.quantity), 0) as bigint) as units,
   count(*) filter (where coalesce(i.stock_status, 'outofstock') <> 'instock') as n_unavailable
-from ({SRC_PRODUCTS}) p left join ({INVENTORY}) i on i.product_id = {sid('duckdb', 'product', 'p.product_id')}
+from ({duck(SRC_PRODUCTS)}) p left join ({INVENTORY}) i on i.product_id = {sid('duckdb', 'product', 'p.product_id')}
 where cast(p.product_id as bigint) > 0 group by product_type""")
 def _(t):
     return commerce.product_report(products(t), commerce.inventory(t.sql(STOCK), AS_OF)).select(
@@ -547,3 +569,130 @@ where x.deleted_at is null group by slug""")
 def _(t):
     links = commerce.product_links(t.sql(PAIRS), t.fx_taxonomies, "product_id", "category_id")
     return commerce.category_products(products(t), links, t.fx_taxonomies)
+
+
+# --- commerce events, end to end --------------------------------------------
+
+# Events of three registered kinds and of one that nobody registered.
+COMMERCE_FEED = f"""select id, case when event_type like '%.created' then 'commerce.coupon.updated'
+    when cast(aggregate_id as int) % 7 = 3 and event_type like '%.updated' then 'commerce.commerce_category.updated'
+    else replace(event_type, 'content.post', 'commerce.product') end as event_type, event_version,
+  case when event_type like '%.created' then 'coupon'
+    when cast(aggregate_id as int) % 7 = 3 and event_type like '%.updated' then 'commerce_category'
+    else 'product' end as aggregate_type, aggregate_id, aggregate_version, source_updated_at, checksum, correlation_id,
+  causation_id, payload, created_at
+from fx_feed"""
+SHOP = f"""shop as ({COMMERCE_FEED}), src as (select *, cast(product_id as bigint) as pk, {PRODUCT_SUM} as sum
+  from ({duck(SRC_PRODUCTS)})),
+seen as (select s.aggregate_id, p.pk, min(aggregate_version) filter (where not down and pk > 0) as min_u,
+    max(aggregate_version) filter (where not down and pk > 0) as max_u, max(aggregate_version) filter (where down) as max_d,
+    arg_max(source_updated_at, aggregate_version) filter (where down) as t_d
+  from (select *, event_type like '%.deleted' as down from shop where aggregate_type = 'product') s
+  left join src p on p.product_id = s.aggregate_id group by s.aggregate_id, p.pk),
+result as (select seen.*, case when max_d > max_u or max_u is null then t_d
+    when max_d is not null and min_u < max_d then t_d end as gone_at from seen)"""
+
+
+def shop(t):
+    """The commerce feed, delivered twice, applied to an empty state."""
+    from feedproj.plans.apply import ProjectionState, apply_batch
+    from feedproj.session import checkpointed
+    from feedproj.sources.state import SourceState
+
+    none = t.src_posts.limit(0)
+    source = SourceState(none, none, none, t.src_meta, t.src_post_terms, {
+        "product": t.sql(SRC_PRODUCTS), "attribute": t.sql(SRC_ATTRIBUTES),
+        "attribute_term": t.sql(SRC_ATTRIBUTE_TERMS), "commerce_category": t.sql(SRC_COMMERCE_CATEGORIES),
+    })
+    feed = t.sql(COMMERCE_FEED)
+    state = ProjectionState.empty(t.spark, commerce.COMMERCE)
+    return apply_batch(feed.unionByName(feed), state, source, AS_OF, specs=commerce.COMMERCE, stage=checkpointed)
+
+
+@query("apply_batch_products", f""", {SHOP}
+select {sid('duckdb', 'product', 'pk')} as id, pk as source_product_id, sku, slug, name, description, status, product_type,
+  price, cast(null as string) as sale_price, currency, stock_status, featured = 'true' as featured, gone_at as deleted_at,
+  src.sum as checksum, timestamp '{AS_OF}' as created_at, timestamp '{AS_OF}' as updated_at, timestamp '{AS_OF}' as synced_at
+from result join src using (pk) where max_u is not null""")
+def _(t):
+    state, _ = shop(t)
+    made = state.entities["product"]
+    return made.withColumn("price", F.col("price").cast("string")).withColumn("sale_price", F.col("sale_price").cast("string"))
+
+
+@query("apply_batch_product_outcomes", f""", {SHOP}
+select s.id, s.event_type, cast(2 as bigint) as deliveries, case
+  when s.aggregate_type = 'coupon' then 'unregistered'
+  when s.aggregate_type = 'commerce_category' then case
+    when cast(s.aggregate_id as bigint) = 0 then 'rejected'
+    when s.aggregate_id not in (select cast(n_nationkey as string) from nation) then 'orphan'
+    when s.aggregate_version = max(s.aggregate_version) over (partition by s.aggregate_type, s.aggregate_id) then 'applied'
+    else 'superseded' end
+  when s.event_type like '%.deleted' then case when s.aggregate_version = r.max_d and r.gone_at is not null then 'applied' else 'superseded' end
+  when r.pk is null then case when r.max_d > s.aggregate_version then 'superseded' else 'orphan' end
+  when r.max_u is null then case when r.max_d > s.aggregate_version then 'superseded' else 'rejected' end
+  when s.aggregate_version = r.max_u then 'applied' else 'superseded' end as outcome
+from shop s left join result r on s.aggregate_type = 'product' and r.aggregate_id = s.aggregate_id""")
+def _(t):
+    _, outcomes = shop(t)
+    return outcomes.select("id", "event_type", "deliveries", "outcome")
+
+
+@query("commerce_categories", f"""select {sid('duckdb', 'commerce_category', 'term_id')} as id, cast(term_id as bigint) as source_term_id,
+  slug, trim(name) as name, description, sha256(concat_ws(chr(0), term_id, trim(name), slug, description)) as checksum
+from ({SRC_COMMERCE_CATEGORIES}) where term_id <> '0'""")
+def _(t):
+    return made_rows(t, SRC_COMMERCE_CATEGORIES, commerce.COMMERCE_CATEGORY).select(
+        "id", "source_term_id", "slug", "name", "description", "checksum")
+
+
+def made_rows(t, sql: str, spec):
+    """Projection rows of raw rows, as a first apply writes them."""
+    rows = C.canonical_rows(t.sql(sql), spec, AS_OF)
+    return rows.select(*[c.alias(n) for n, c in projection.projected_columns(spec, AS_OF).items()])
+
+
+def shop_attributes(t):
+    raw = C.canonical_rows(t.sql(SRC_PRODUCTS), commerce.PRODUCT, AS_OF)
+    terms = made_rows(t, SRC_ATTRIBUTE_TERMS, commerce.ATTRIBUTE_TERM)
+    written = raw.select(commerce.product_id(F.col("product_key")).alias("id"), "attribute_term_ids")
+    links = projection.link_rows(written, terms, "attribute_term_ids")
+    return commerce.product_attributes(links, terms, made_rows(t, SRC_ATTRIBUTES, commerce.ATTRIBUTE))
+
+
+TERMED = f"""termed as (
+  select {sid('duckdb', 'product', 'product_id')} as product_id, cast(product_id as bigint) as pk, status,
+    cast(price as decimal(18,2)) as price, a.slug as attribute, x.slug as term,
+    {sid('duckdb', 'attribute_term', 'x.term_id')} as attribute_term_id
+  from (select *, unnest(attribute_term_ids) as term_id from ({duck(SRC_PRODUCTS)})) p
+  join ({SRC_ATTRIBUTE_TERMS}) x on x.term_id = p.term_id join ({SRC_ATTRIBUTES}) a on a.attribute_id = x.attribute_id
+  where cast(product_id as bigint) > 0)"""
+
+
+@query("product_attributes", f""", {TERMED} select product_id, attribute, term, attribute_term_id from termed""")
+def _(t):
+    return shop_attributes(t)
+
+
+def facets_sql(narrowed: str) -> str:
+    return f""", {TERMED}, shown as (select * from termed where status = 'publish' and {narrowed})
+select attribute, term, count(distinct pk) as n_products, cast(min(price) as string) as lowest_price,
+  cast(max(price) as string) as highest_price
+from shown group by grouping sets ((attribute, term), (attribute), ())"""
+
+
+def shown_facets(t, selected=None):
+    return commerce.product_facets(products(t), shop_attributes(t), selected).select(
+        "attribute", "term", "n_products", F.col("lowest_price").cast("string").alias("lowest_price"),
+        F.col("highest_price").cast("string").alias("highest_price"))
+
+
+@query("product_facets", facets_sql("true"))
+def _(t):
+    return shown_facets(t)
+
+
+@query("product_facets_selected", facets_sql("""pk in (select pk from termed where term in ('brand-2', 'brand-9'))
+  and pk in (select pk from termed where term in ('size-5', 'size-11', 'size-30', 'size-31'))"""))
+def _(t):
+    return shown_facets(t, {"brand": ["brand-2", "brand-9"], "size": ["size-5", "size-11", "size-30", "size-31"]})

@@ -3,18 +3,6 @@
 from __future__ import annotations
 
 # They must agree with every producer and consumer of the feed.
-EVENT_TYPES = (
-    "content.page.created",
-    "content.page.updated",
-    "content.page.deleted",
-    "content.post.created",
-    "content.post.updated",
-    "content.post.deleted",
-    "content.category.created",
-    "content.category.updated",
-    "content.category.deleted",
-)
-AGGREGATE_TYPES = ("page", "post", "category")
 EVENT_VERSION = 1
 PARTITIONS = ("content", "commerce", "system")
 PUBLIC_STATUSES = ("publish",)
@@ -26,7 +14,6 @@ RETRY_LIMIT = 10
 BACKOFF_BASE_SECONDS = 30
 BACKOFF_CAP_SECONDS = 3600
 JITTER_SHARE = 0.25
-BATCH_ROWS = 100
 PAGE_LIMITS = {"page": (20, 100), "post": (20, 100), "category": (50, 200)}
 QUEUE_LAG_TARGET_SECONDS = 60
 SYNC_DELAY_TARGET_SECONDS = 30

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedproj.functions.shape import documents
+from feedproj.operators.guards import new_by_id
 from feedproj.schema import ENVELOPE, OUTBOX, columns
 
 
@@ -43,8 +44,8 @@ def read_events(spark: SparkSession, path: str, fmt: str = "parquet", stream: bo
 
 
 def append_events(new: DataFrame, store: DataFrame) -> DataFrame:
-    """Rows to append: one per id the store does not hold."""
-    return new.dropDuplicates(["id"]).join(store.select("id"), "id", "left_anti")
+    """Rows to append: one per id the store does not hold, whichever order the copies come in."""
+    return new_by_id(new, store, "id")
 
 
 def write_events(new: DataFrame, path: str) -> None:

@@ -27,8 +27,10 @@ class SourceState:
     extra: dict[str, DataFrame] | None = None
 
     def rows(self, kind: str) -> DataFrame:
-        known = {"post": self.posts, "page": self.pages, "category": self.terms}
-        return known[kind] if kind in known else (self.extra or {})[kind]
+        known = {"post": self.posts, "page": self.pages, "category": self.terms, **(self.extra or {})}
+        if kind not in known:
+            raise ValueError(f"the source has no rows of kind {kind!r}; give them in ``extra``")
+        return known[kind]
 
 
 def meta_maps(meta: DataFrame) -> DataFrame:
@@ -69,8 +71,9 @@ def load_source_state(source: SourceState, spec: EntitySpec, keys: DataFrame | N
         meta = meta.join(by_post, "post_id", "left_semi")
         terms = terms.join(by_post, "post_id", "left_semi")
     needs = spec.extract(F.lit(None).cast("timestamp"))
-    if "meta" in needs:
+    if "meta" in needs and "meta" not in raw.columns:
         raw = raw.join(meta_maps(meta).withColumnRenamed("post_id", "_key"), "_key", "left")
-    if "category_ids" in needs:
+    # Kinds whose raw rows carry their own id lists need no pair table.
+    if "category_ids" in needs and "category_ids" not in raw.columns:
         raw = raw.join(category_lists(terms).withColumnRenamed("post_id", "_key"), "_key", "left")
     return raw
