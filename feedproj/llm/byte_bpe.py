@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -11,10 +12,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from feedproj.llm.common import lists, texts, to_batch
+from feedproj.llm.common import Aged, by_bytes, kept_in_worker, lists, texts, to_batch
 
-#: Distinct pieces a worker remembers before it starts anew.
-PIECES = 300_000
+#: Bytes a worker's memory of encoded pieces takes, in each of its two halves.
+REMEMBERED = 24_000_000
+#: Characters of text a worker cuts into pieces at once (at least one text).
+CHARS = 1_000_000
 #: Below this code point the regex module and the tokenizers library class characters alike.
 SAME_CLASSES_BELOW = 0x530
 
@@ -30,6 +33,7 @@ def byte_chars() -> list[str]:
 
     Printable bytes of Latin-1 stand for themselves, the rest follow from U+0100 on.
     """
+    # The ranges of bytes that stand for themselves, and the first spare character.
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     spare = iter(range(256, 512))
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
@@ -73,29 +77,29 @@ class Encoder:
         self.odd = regex.compile(f"[^\\x00-{chr(SAME_CLASSES_BELOW - 1)}]").search
         self.split = pre_tokenizers.Split(Regex(pattern), "isolated").pre_tokenize_str
         self.chars = byte_chars()
-        self.known: dict[str, bytes] = {}
+        self.known = Aged(REMEMBERED)
 
     def pieces(self, text: str) -> list[str]:
         if self.odd(text):
             return [piece for piece, _ in self.split(text)]
         return self.cut(text)
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces that aren't known yet, in one call, each byte said by its character."""
-        new = sorted(pieces.difference(self.known))
-        if len(self.known) + len(new) > PIECES:
-            self.known.clear()
-            new = sorted(pieces)
+    def encode(self, pieces: list[str]) -> Iterator[bytes]:
+        """The pieces' ids, in calls of a few thousand, each byte said by its character."""
         chars = self.chars
-        said = ["".join([chars[b] for b in piece.encode()]) for piece in new]
-        for piece, got in zip(new, self.bpe(said, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(got.ids, np.int32).tobytes()
+        for at in range(0, len(pieces), 4096):
+            said = ["".join([chars[b] for b in piece.encode()]) for piece in pieces[at : at + 4096]]
+            for got in self.bpe(said, add_special_tokens=False):
+                yield np.array(got.ids, np.int32).tobytes()
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        cut = [self.pieces(x) for x in texts]
-        self.learn(set().union(*cut))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, x)), np.int32) for x in cut]
+        out: list[np.ndarray] = []
+        for part in by_bytes(texts, CHARS):
+            cut = [self.pieces(x) for x in part]
+            known = self.known.learn(set().union(*cut), self.encode)
+            out += [np.frombuffer(b"".join(map(known.__getitem__, x)), np.int32) for x in cut]
+        return out
 
 
 def spans(text: str, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +125,8 @@ def encode(
     Every match of ``pattern`` is encoded by itself; there are no special tokens. NULL and
     empty texts have no tokens. One output row for each input row: repeated rows and NULL
     ids come back as they are. The vocabulary travels as a broadcast, whose size is that of
-    the ranks file; a worker remembers at most ``PIECES`` pieces.
+    the ranks file; a worker remembers encoded pieces up to ``REMEMBERED`` bytes, from one
+    task to the next.
     """
     ranks = read_ranks(docs.sparkSession, ranks_path)
     model = docs.sparkSession.sparkContext.broadcast(model_json(ranks))
@@ -133,9 +138,10 @@ def encode(
     if offsets:
         fields += [("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))]
     schema = pa.schema(fields)
+    name = encoder_name(ranks, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model.value, pattern)
+        encoder = kept_in_worker(name, lambda: Encoder(model.value, pattern))
         none = np.zeros(0, np.int32)
         for batch in batches:
             said = batch.column(1).to_pylist()
@@ -151,7 +157,55 @@ def encode(
     return texts(docs, key=key, text=text).mapInArrow(run, ddl)
 
 
-def decode(encoded: DataFrame, ranks_path: str, key: str = "doc_id", ids: str = "ids", **keep) -> DataFrame:
+def encoder_name(ranks: dict[bytes, int], pattern: str) -> str:
+    """Names what a worker keeps by what it is made of."""
+    said = hashlib.sha256(pattern.encode())
+    for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
+        said.update(b"%d %s\n" % (rank, token))
+    return f"bpe_{said.hexdigest()}"
+
+
+def token_table(ranks: dict[bytes, int]) -> list[bytes]:
+    table = [b""] * (1 + max(ranks.values()))
+    for token, rank in ranks.items():
+        table[rank] = token
+    return table
+
+
+def decoded(ids: np.ndarray, ends: np.ndarray, table: list[bytes]) -> list[bytes]:
+    """The bytes of each run of ``ids`` that stops at one of ``ends``."""
+    token, flat = table.__getitem__, ids.tolist()
+    return [b"".join(map(token, flat[a:b])) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``ids`` and ``decoded`` (bytes) of each row: :func:`encode` and :func:`decode` in one pass.
+
+    One Python worker for each task holds one tokenizer and one table, and texts, ids and
+    bytes are there for ``CHARS`` characters at a time (or one longer text). The same cases
+    as in the two functions hold.
+    """
+    ranks = read_ranks(docs.sparkSession, ranks_path)
+    name = encoder_name(ranks, pattern)
+    shared = docs.sparkSession.sparkContext.broadcast((model_json(ranks), token_table(ranks)))
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = kept_in_worker(name, lambda: Encoder(shared.value[0], pattern))
+        table = kept_in_worker(f"{name}_table", lambda: shared.value[1])
+        for batch in batches:
+            at = 0
+            for part in by_bytes(batch.column(1).to_pylist(), CHARS):
+                ids = encoder.batch(part)
+                flat, sizes = np.concatenate(ids), [len(x) for x in ids]
+                got = decoded(flat, np.cumsum(sizes), table)
+                yield to_batch(schema, [batch.column(0).slice(at, len(part)), lists(flat, sizes), pa.array(got, pa.binary())])
+                at += len(part)
+
+    return texts(docs, key=key, text=text).mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")
+
+
+def decode(encoded: DataFrame, ranks_path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """``doc_id``, ``ids``, ``decoded`` (bytes) and ``decoded_text`` of each row of token ids.
 
     Ids are joined as bytes before any character is read, so a character split over tokens
@@ -159,21 +213,16 @@ def decode(encoded: DataFrame, ranks_path: str, key: str = "doc_id", ids: str =
     ``decoded`` and show as U+FFFD in ``decoded_text``. NULL ids decode to nothing; an id
     outside the vocabulary is an error.
     """
-    table = [b""] * (1 + max((r := read_ranks(encoded.sparkSession, ranks_path)).values()))
-    for token, rank in r.items():
-        table[rank] = token
-    shared = encoded.sparkSession.sparkContext.broadcast(table)
+    shared = encoded.sparkSession.sparkContext.broadcast(token_table(read_ranks(encoded.sparkSession, ranks_path)))
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary()), ("decoded_text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.__getitem__
         for batch in batches:
             column = batch.column(1)
             if column.null_count:
                 column = pa.array([x or [] for x in column.to_pylist()], pa.list_(pa.int32()))
-            flat, ends = column.flatten().tolist(), column.offsets.to_numpy()
-            ends = ends - ends[0]
-            got = [b"".join(map(token, flat[a:b])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            ends = column.offsets.to_numpy()
+            got = decoded(column.flatten().to_numpy(), ends[1:] - ends[0], shared.value)
             yield to_batch(schema, [batch.column(0), column, pa.array(got, pa.binary()), [x.decode("utf-8", "replace") for x in got]])
 
     from pyspark.sql import functions as F

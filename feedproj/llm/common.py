@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+import sys
+import types
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,60 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def kept_in_worker(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once in a Python worker and kept for its later tasks.
+
+    Functions travel with the job and are loaded anew in every task, so what a worker should
+    remember (a loaded tokenizer, words already encoded) is kept on a module of its own.
+    """
+    store = sys.modules.setdefault("_feedproj_kept", types.ModuleType("_feedproj_kept"))
+    if name not in vars(store):
+        setattr(store, name, make())
+    return getattr(store, name)
+
+
+class Aged:
+    """A bounded memory of texts' encodings: two halves, of which the older is forgotten when the newer is full."""
+
+    def __init__(self, limit: int):
+        #: Bytes that keys and values of one half may take.
+        self.limit = limit
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def learn(self, keys: Iterable[str], encode: Callable[[list[str]], Iterable[bytes]]) -> dict[str, bytes]:
+        """The memory with all of ``keys`` in it; those it doesn't know are encoded together."""
+        new, old = self.new, self.old
+        missing = [k for k in keys if k not in new]
+        if self.size > self.limit and missing:
+            self.old, self.new, self.size = new, {}, 0
+            new, old = self.new, self.old
+            missing = list(keys)
+        known = [k for k in missing if k in old]
+        unknown = sorted(k for k in missing if k not in old)
+        for found in (zip(known, map(old.__getitem__, known), strict=True), zip(unknown, encode(unknown) if unknown else (), strict=True)):
+            for k, v in found:
+                new[k] = v
+                # What Python adds to a string and to bytes, and a place in the table.
+                self.size += len(k) + len(v) + 200
+        return new
+
+
+def by_bytes(said: Sequence[str], limit: int) -> Iterator[list[str]]:
+    """The texts in runs of at most ``limit`` characters, or of one longer text."""
+    part: list[str] = []
+    size = 0
+    for x in said:
+        if part and size + len(x) > limit:
+            yield part
+            part, size = [], 0
+        part.append(x)
+        size += len(x)
+    if part:
+        yield part
+
+
 def texts(docs: DataFrame, *more: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``text`` (NULL: empty) of the documents, whatever other columns there are."""
     small_batches(docs.sparkSession)

@@ -57,8 +57,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_byte_bpe")
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = tokens.path("byte_bpe_50k.tiktoken")
-    encoded = byte_bpe.encode(documents(spark, sf_dir), ranks, tokens.PATTERN, offsets=False)
-    return byte_bpe.decode(encoded, ranks).select(
+    return byte_bpe.round_trip(documents(spark, sf_dir), ranks, tokens.PATTERN).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
