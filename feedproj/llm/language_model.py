@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -116,13 +117,37 @@ class Vocabulary:
         return ids, place, other
 
 
+def frequent_words(counts: DataFrame) -> DataFrame:
+    """The words of up to ``TOP_BYTES`` bytes whose count is so high that at most ``TOP_WORDS`` reach it.
+
+    The count is read from two histograms, of steps of an eighth of a doubling and of the
+    counts inside the step in which the words would become too many.
+    """
+    short = counts.where((F.octet_length("word") > 0) & (F.octet_length("word") <= TOP_BYTES)).withColumn("step", F.floor(8 * F.log2("c")))
+    steps = sorted(short.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
+    have, least = 0, None
+    for step, n in steps:
+        if have + n > TOP_WORDS:
+            inside = short.where(F.col("step") == step).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+            for c, more in sorted(inside.collect(), reverse=True):
+                if have + more > TOP_WORDS:
+                    break
+                have, least = have + more, c
+            else:
+                continue
+            return short.where(F.col("c") >= least) if least else short.limit(0)
+        have += n
+        least = math.ceil(2 ** (step / 8))
+    return short
+
+
 def learn_vocabulary(counts: DataFrame) -> Vocabulary:
-    """Totals over all counted words; the frequent words, at most ``TOP_WORDS`` of ``TOP_BYTES`` bytes, by (count, word)."""
+    """Totals over all counted words; the frequent words, by (count, word)."""
     total, distinct, ends = counts.agg(
         F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.octet_length("word") == 0, F.col("c"))), F.lit(0))
     ).first()
-    found = counts.where((F.octet_length("word") > 0) & (F.octet_length("word") <= TOP_BYTES)).orderBy(F.desc("c"), "word").limit(TOP_WORDS).collect()
-    top = [(bytes(r["word"]), r["c"]) for r in found]
+    found = frequent_words(counts).collect()
+    top = sorted(((bytes(r["word"]), r["c"]) for r in found), key=lambda x: (-x[1], x[0]))
     own = counts.sparkSession.sparkContext.broadcast({w for w, _ in top[: OWN - 1]})
     schema = pa.schema([("k", pa.int32()), ("n", pa.int64()), ("v", pa.int64())])
 
