@@ -12,14 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedproj.llm.common import texts, to_batch
+from feedproj.llm.common import Aged, by_bytes, kept_in_worker, texts, to_batch
 from feedproj.session import checkpointed
 
 SEQUENCE = 2048
 #: Pieces packed together in one task. More waste less: a block leaves about one bin open.
 BLOCK = 5_000
-#: Distinct words a worker remembers before it starts anew.
-WORDS = 400_000
+#: Bytes a worker's memory of encoded words takes, in each of its two halves.
+REMEMBERED = 120_000_000
+#: Characters of text a worker splits at once (at least one text).
+CHARS = 1_000_000
 #: For each bin above the least possible number, so many of the emptiest bins are worked on in a sweep.
 EMPTIED = 4
 #: Unknown words encoded in one call.
@@ -28,32 +30,29 @@ JOINED = 256
 SPLIT_ONLY = re.compile("[\x1c-\x1f]").search
 
 
-class WordTokens(dict):
-    """A word's ids as bytes. The tokenizer drops white space, so words encode independently."""
+class WordTokens:
+    """Ids of texts, as bytes. The tokenizer drops white space, so words encode independently."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
-
-    def learn(self, words: set[str]) -> None:
-        """Encode the words that aren't known yet, many in one text; offsets tell them apart."""
-        new = sorted(words.difference(self))
-        if len(self) + len(new) > WORDS:
-            self.clear()
-            new = sorted(words)
-        for at in range(0, len(new), JOINED):
-            part = new[at : at + JOINED]
-            got = self.encode(" ".join(part), add_special_tokens=False)
+        self.tokenize = Tokenizer.from_file(path).encode
+        self.known = Aged(REMEMBERED)
+
+    def encode(self, words: list[str]) -> Iterator[bytes]:
+        """The words' ids, many words in one text; offsets tell them apart."""
+        for at in range(0, len(words), JOINED):
+            part = words[at : at + JOINED]
+            got = self.tokenize(" ".join(part), add_special_tokens=False)
             starts = np.cumsum([0, *(len(w) + 1 for w in part)])
             ids, cuts = np.array(got.ids, "<u4"), np.searchsorted([a for a, _ in got.offsets], starts)
-            self.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            yield from (ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
 
-    def documents(self, texts: list[str]) -> list[bytes]:
-        split = [re.split("[ \t\n]+", x) if SPLIT_ONLY(x) else x.split() for x in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+    def documents(self, texts: list[str]) -> Iterator[bytes]:
+        for some in by_bytes(texts, CHARS):
+            split = [re.split("[ \t\n]+", x) if SPLIT_ONLY(x) else x.split() for x in some]
+            known = self.known.learn(set().union(*split), self.encode)
+            yield from (b"".join(map(known.__getitem__, words)) for words in split)
 
 
 def cut(docs: DataFrame, tokenizer: str, longest: int = SEQUENCE, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -66,7 +65,7 @@ def cut(docs: DataFrame, tokenizer: str, longest: int = SEQUENCE, end_id: int =
     end, step = np.array([end_id], "<u4").tobytes(), 4 * longest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(tokenizer)
+        words = kept_in_worker(f"words_{tokenizer}", lambda: WordTokens(tokenizer))
         for batch in batches:
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), words.documents(batch.column(1).to_pylist()), strict=True):
