@@ -408,6 +408,9 @@ def filtered(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest id; rows without an id stay."""
     keep = link_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("other"), whole_rows(docs))
-    # Repeated rows of the document that stays go as well; with equal ids the least text hash stays.
-    one = rows.where("id is not null").join(keep.withColumnRenamed("doc_id", "id"), "id", "left_semi").dropDuplicates(["id"])
+    # Repeated rows of the document that stays go as well. Of unlike texts with one id that with
+    # the least hash stays, and of its rows the one with the least hash of all columns: no order decides.
+    kept = rows.where("id is not null").join(keep.withColumnRenamed("doc_id", "id"), "id", "left_semi")
+    hashed = [F.col(f"row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    one = kept.groupBy("id").agg(F.min_by("row", F.struct("other", F.xxhash64(*hashed))).alias("row"))
     return unpacked(one.select("row").union(rows.where("id is null").select("row")), docs.columns)
