@@ -46,21 +46,23 @@ def line_rows(docs: DataFrame, shortest: int = SHORTEST_KEY, key: str = "doc_id"
 def dropped_runs(docs: DataFrame, shortest: int = SHORTEST_KEY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``row_1``, ``row_2``, ``runs``: (start, size) of each run of lines that a document loses.
 
-    Line hashes are range-partitioned by hash, document and position and sorted by the same,
-    so the rows of a frequent line lie over as many partitions as they fill. Each partition
-    streams through its sorted rows and passes on the first and last document of a key; those
-    few rows meet in a second exchange. The dropped lines of a key are the rows after its
-    first document, found by a join that Spark may split at a frequent key.
+    Line hashes are range-partitioned by hash, document and position, so the rows of a
+    frequent line lie over as many partitions as they fill. Inside a partition the rows of a
+    key are sorted by document and position and streamed past its first document. Only a key
+    at a partition's edge can go on in the next one: of these, one or two a partition, the
+    first document of all is looked up. Texts and other columns stay behind.
     """
     laid = checkpointed(line_rows(docs, shortest, key, text))
-    order = ["key_1", "key_2", "doc_id", "pos"]
+    keys = ["key_1", "key_2"]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = laid.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    first = (
-        ranged.groupBy("key_1", "key_2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        .where("first < last").select("key_1", "key_2", "first")
-    )
-    gone = laid.join(first, ["key_1", "key_2"]).where("doc_id > first").select("row_1", "row_2", "pos").distinct()
+    ranged = checkpointed(laid.repartitionByRange(parts, *keys, "doc_id", "pos").withColumn("part", F.spark_partition_id()))
+    ends = ranged.groupBy("part").agg(F.min(F.struct(*keys)).alias("low"), F.max(F.struct(*keys)).alias("high"))
+    edges = ends.select("low.*").union(ends.select("high.*")).distinct()
+    # At most two rows for each partition.
+    of_edges = ranged.join(F.broadcast(edges), keys, "left_semi").groupBy(*keys).agg(F.min("doc_id").alias("of_all"))
+    stream = W.partitionBy("part", *keys).orderBy("doc_id", "pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    met = ranged.withColumn("first", F.first("doc_id").over(stream)).join(F.broadcast(of_edges), keys, "left")
+    gone = met.where(F.col("doc_id") > F.least("first", "of_all")).select("row_1", "row_2", "pos").distinct()
     row = W.partitionBy("row_1", "row_2").orderBy("pos")
     runs = gone.withColumn("run", F.col("pos") - F.row_number().over(row)).groupBy("row_1", "row_2", "run").agg(
         F.min("pos").alias("start"), F.count(F.lit(1)).cast("int").alias("size")

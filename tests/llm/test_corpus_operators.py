@@ -576,3 +576,44 @@ def test_queries_read_whole_tables(spark, sf_dir):
         learned = "".join(t for r, t in turns if r == "assistant")
         assert chats[k]["turns_sha256"] == sha(said.encode()) and chats[k]["n_turns"] == len(turns)
         assert chats[k]["loss_chars"] == len(learned) and chats[k]["loss_sha256"] == sha(learned.encode())
+
+
+def test_line_of_all_documents_lies_in_many_partitions(spark):
+    """A line that every document holds fills several range partitions; one document keeps it."""
+    rows = [(k, f"  The line that all hold\nown line number {k:05d}\nTHE LINE THAT ALL HOLD\nline of the pair {k // 2:05d}") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = {r["doc_id"]: r["kept_text"] for r in line_dedup.dedup_lines(docs).select(F.col("row.doc_id").alias("doc_id"), "kept_text").collect()}
+    for k, text in rows:
+        lines = text.split("\n")
+        want = lines if k == 0 else [lines[1]] + [lines[3]] * (k % 2 == 0)
+        assert got[k] == "\n".join(want)
+
+
+def test_near_copies_keep_the_same_row_in_any_order(spark):
+    """One id with two texts, one of them a copy: the row that stays doesn't hang on the rows' order."""
+    copy, own = " ".join(f"w{k}" for k in range(30)), " ".join(f"x{k}" for k in range(30))
+    rows = [(1, copy, "a"), (5, copy, "b"), (5, own, "c"), (5, own, "d"), (7, "alone " + own, "e")]
+    kept = set()
+    for order in (rows, rows[::-1]):
+        got = jaccard_join.filtered(spark.createDataFrame(order, "doc_id bigint, text string, source string").coalesce(1))
+        kept.add(tuple(sorted(map(tuple, got.collect()))))
+    assert len(kept) == 1
+
+
+@pytest.mark.parametrize("counts, most", [
+    ([9, 9, 9, 5, 5, 1, 1, 1, 1], 5), ([9, 9, 9, 5, 5, 1, 1, 1, 1], 4), ([7] * 9, 3), ([100, 101, 102, 103, 104], 2), ([3, 2, 1], 50)])
+def test_frequent_words(spark, monkeypatch, counts, most):
+    monkeypatch.setattr(language_model, "TOP_WORDS", most)
+    df = spark.createDataFrame([(f"w{k}".encode(), c) for k, c in enumerate(counts)] + [(b"", 99), (b"x" * 99, 99)], "word binary, c bigint")
+    got = sorted((r["c"] for r in language_model.frequent_words(df).collect()), reverse=True)
+    # As many whole counts from the top as fit.
+    want = [c for c in counts if sum(x >= c for x in counts) <= most]
+    assert got == sorted(want, reverse=True)
+
+
+def test_byte_bpe_round_trip_in_one_pass(table):
+    both = byte_bpe.round_trip(table, RANKS, tokens.PATTERN).collect()
+    apart = byte_bpe.decode(byte_bpe.encode(table, RANKS, tokens.PATTERN, offsets=False), RANKS).collect()
+    key = lambda r: (r["doc_id"], tuple(r["ids"]), bytes(r["decoded"]))
+    assert Counter(map(key, both)) == Counter(map(key, apart))
+    assert all(bytes(r["decoded"]).decode() for r in both if r["ids"])
