@@ -69,7 +69,7 @@ def main() -> None:
     clock("dedup_exact", lambda: whole(guards.dedup_exact(events.unionByName(events), ledger)))
     clock("stale_guard_reduce", lambda: whole(guards.reduce_aggregates(guards.stale_guard(events, versions)[0])))
 
-    store = ProjectionStore(spark, registered_feed.scratch(t, "store"), buckets=8)
+    store = ProjectionStore(spark, registered_feed.scratch(t, "store"))
     clock("apply_batch_to_store", lambda: store.apply(events, source, AS_OF, batch=0))
     clock("apply_redelivered_batch", lambda: store.apply(events, source, AS_OF, batch=1))
     facts["events_applied_per_sec"] = round(n_events / timed["apply_batch_to_store"])
@@ -103,7 +103,7 @@ def main() -> None:
         events.where((F.col("created_at") >= low) & (F.col("created_at") < high)).coalesce(1).write.mode(
             "append").parquet(landing)
         low = high
-    streamed = ProjectionStore(spark, registered_feed.scratch(t, "stream-store"), buckets=8)
+    streamed = ProjectionStore(spark, registered_feed.scratch(t, "stream-store"))
 
     def stream():
         feed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landing)

@@ -57,11 +57,19 @@ def first_values(col: Column) -> Column:
     )
 
 
+def leading_number(col: Column, kind: str = "bigint") -> Column:
+    """Loosely typed text as a whole number: ``12abc`` is 12, ``1e3`` is 1000, no number is 0."""
+    said = col.cast("string")
+    number = F.regexp_extract(said, r"^[ \t\n\r\x0B\f]*([+-]?[0-9]+)", 1)
+    power = F.regexp_extract(said, r"^[ \t\n\r\x0B\f]*([+-]?[0-9]+(?:\.[0-9]*)?[eE][+-]?[0-9]+)", 1)
+    # Plain numbers, nearly all, are cast and never meet a pattern.
+    return F.coalesce(
+        col.try_cast(kind), power.try_cast("double").try_cast(kind), number.try_cast(kind), F.lit(0).cast(kind))
+
+
 def id_list(col: Column) -> Column:
-    """List of loosely typed ids as ``array<bigint>``; text that is no number is 0."""
-    return F.transform(
-        col, lambda v: F.coalesce(v.try_cast("bigint"), F.lit(0).cast("bigint"))
-    )
+    """List of loosely typed ids as ``array<bigint>`` (see :func:`leading_number`)."""
+    return F.transform(col, lambda v: leading_number(v))
 
 
 def decode_meta(json: Column) -> Column:

@@ -18,6 +18,7 @@ from feedproj.functions.text import (
     canonical_map_json,
     id_list,
     is_blank,
+    leading_number,
     trimmed,
 )
 from feedproj.functions.times import atom, is_unset, parse_gmt
@@ -62,7 +63,7 @@ def _text(name: str) -> Column:
 
 
 def _number(name: str, kind: str = "bigint") -> Column:
-    return F.coalesce(F.col(name).try_cast(kind), F.lit(0).cast(kind))
+    return leading_number(F.col(name), kind)
 
 
 def _post_columns(as_of) -> dict[str, Column]:
@@ -120,7 +121,7 @@ def _post_digest() -> list[Column]:
         atom(F.col("published_at")),
         atom(F.col("modified_at")),
         canonical_ids_json(F.col("category_ids")),
-        canonical_map_json(F.col("meta")),
+        F.col("meta_json"),
     ]
 
 
@@ -129,7 +130,7 @@ def _page_digest() -> list[Column]:
         *_cols("post_id", "title", "content", "slug", "status", "parent_id", "menu_order"),
         atom(F.col("published_at")),
         atom(F.col("modified_at")),
-        canonical_map_json(F.col("meta")),
+        F.col("meta_json"),
     ]
 
 
@@ -143,7 +144,7 @@ def _post_projected(_now: Column) -> dict[str, Column]:
         "source_post_id": F.col("post_id"),
         "source_entity_type": F.lit("post"),
         "updated_at": F.col("modified_at"),
-        "meta_jsonb": canonical_map_json(F.col("meta")),
+        "meta_jsonb": F.col("meta_json"),
     }
 
 
@@ -152,7 +153,7 @@ def _page_projected(_now: Column) -> dict[str, Column]:
         "source_post_id": F.col("post_id"),
         "source_entity_type": F.lit("page"),
         "updated_at": F.col("modified_at"),
-        "meta_jsonb": canonical_map_json(F.col("meta")),
+        "meta_jsonb": F.col("meta_json"),
     }
 
 
@@ -254,10 +255,14 @@ def extract(df: DataFrame, spec: EntitySpec, as_of) -> DataFrame:
 
 
 def canonicalise(typed: DataFrame, spec: EntitySpec) -> DataFrame:
-    """Trimmed title or name, and the order-insensitive ``checksum``."""
-    return typed.withColumn(spec.trims, trimmed(F.col(spec.trims))).withColumn(
-        "checksum", checksum(spec)
-    )
+    """Trimmed title or name, and the order-insensitive ``checksum``.
+
+    The JSON of ``meta`` is built once, as ``meta_json``, for the digest and the projection.
+    """
+    rows = typed.withColumn(spec.trims, trimmed(F.col(spec.trims)))
+    if "meta" in typed.columns:
+        rows = rows.withColumn("meta_json", canonical_map_json(F.col("meta")))
+    return rows.withColumn("checksum", checksum(spec))
 
 
 def checksum(spec: EntitySpec) -> Column:

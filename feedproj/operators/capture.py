@@ -90,8 +90,7 @@ def assign_versions(
     rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``aggregate_version``: next numbers per aggregate after the stored counter."""
-    minute = F.floor(F.unix_micros(F.col(time).cast("timestamp")) / F.lit(60_000_000))
-    numbered = number_within(events, AGGREGATE, [time, tie], minute, "_next", rows)
+    numbered = number_within(events, AGGREGATE, [time, tie], "_next", rows)
     stored = counters.select(*AGGREGATE, F.col("current_version").alias("_base"))
     # Counters are one row per aggregate; AQE splits a hot aggregate on the events' side.
     return (

@@ -103,9 +103,7 @@ def page_tree(pages: DataFrame, key: str = "source_post_id", rows: int = HOT_ROW
     tops = pages.withColumn("_parent", F.when(F.col("parent_id") != 0, F.col("parent_id")))
     chain = resolve_chains(tops.select(key, "_parent", "slug"), key, "_parent", "slug", rows=rows).select(
         key, F.concat(F.lit("/"), "path").alias("uri"), "depth", F.col("state").alias("tree_state"))
-    # A parent with very many children is cut by menu order and runs of a million ids.
-    piece = F.struct("menu_order", F.floor(F.col(key) / HOT_ROWS).alias("run"))
-    placed = number_within(pages, ["parent_id"], ["menu_order", key], piece, "position", rows)
+    placed = number_within(pages, ["parent_id"], ["menu_order", key], "position", rows)
     return placed.join(chain, key)
 
 

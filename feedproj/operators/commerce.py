@@ -356,5 +356,8 @@ def product_facets(
     merged = by_term.groupingSets(levels, "attribute", "term", "_range").agg(
         F.bitmap_count(F.bitmap_or_agg("_bits")).alias("_n"), F.min("_low").alias("_low"), F.max("_high").alias("_high"),
     )
-    return merged.groupBy("attribute", "term").agg(
+    # Products that none of the selected terms have are still counted: none.
+    none = merged.sparkSession.range(1).select(*[
+        (F.lit(0) if f.name == "_n" else F.lit(None)).cast(f.dataType).alias(f.name) for f in merged.schema])
+    return merged.unionByName(none).groupBy("attribute", "term").agg(
         F.sum("_n").cast("bigint").alias("n_products"), F.min("_low").alias("lowest_price"), F.max("_high").alias("highest_price"))

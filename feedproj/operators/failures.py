@@ -92,8 +92,13 @@ def expired(attempts: DataFrame, as_of, partition: str) -> DataFrame:
 
 
 def dead_letter_rows(exhausted: DataFrame, events: DataFrame, as_of) -> DataFrame:
-    """Self-contained failure records with a snapshot of the event's payload."""
-    payloads = events.select(F.col("id").alias("event_id"), "payload")
+    """Self-contained failure records with a snapshot of the event's payload.
+
+    The event store is filtered to the few ids that failed before anything of it moves:
+    their list is broadcast where it is small, as Spark sees by its size.
+    """
+    payloads = events.select(F.col("id").alias("event_id"), "payload").join(
+        exhausted.select("event_id"), "event_id", "left_semi")
     return exhausted.join(payloads, "event_id", "left").select(
         surrogate_id("dead", F.concat_ws(":", "event_id", F.col("attempts").cast("string"))).alias("id"),
         "event_id",

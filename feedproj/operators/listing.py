@@ -180,9 +180,9 @@ def list_categories(taxonomies: DataFrame, cursor: str | None = None, limit: int
 
 
 def find_by_slug(df: DataFrame, slug: str) -> DataFrame:
-    """At most one visible row."""
+    """At most one visible row; of several with the slug, the one with the lowest id."""
     kept = visible(df, taxonomy="category") if "taxonomy_type" in df.columns else visible(df)
-    return kept.where(F.col("slug") == slug).limit(1)
+    return kept.where(F.col("slug") == slug).orderBy("id").limit(1)
 
 
 def find_by_slugs(df: DataFrame, slugs: DataFrame) -> DataFrame:

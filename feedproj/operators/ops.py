@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from feedproj.operators.capture import is_public
 from feedproj.operators.guards import partition_of, registered
 from feedproj.operators.kinds import CONTENT_KINDS, Kinds
 from feedproj.operators.projection import beside, chosen, rewrite_bridge
+from feedproj.operators.skew import running_sum
 from feedproj.schema import PUBLIC_STATUSES, QUEUE_LAG_TARGET_SECONDS, SYNC_DELAY_TARGET_SECONDS
 
 # --- replay -----------------------------------------------------------------
@@ -157,7 +160,8 @@ def feed_metrics(events: DataFrame, ledger: DataFrame, attempts: DataFrame, dead
         .join(done, "id", "left")
         .join(tried, "id", "left")
         .join(dead, "id", "left")
-        .groupBy("queue_name", F.window("created_at", bucket).start.alias("bucket"))
+        # Grouped by the whole window, which on a stream carries the watermark.
+        .groupBy("queue_name", F.window("created_at", bucket).alias("_window"))
         .agg(
             F.count(F.lit(1)).alias("n_events"),
             F.count("processed_at").alias("n_processed"),
@@ -167,24 +171,45 @@ def feed_metrics(events: DataFrame, ledger: DataFrame, attempts: DataFrame, dead
             F.coalesce(F.sum("attempts"), F.lit(0)).alias("n_attempts"),
             F.count("_dead").alias("n_dead"),
         )
+        .withColumn("bucket", F.col("_window.start"))
+        .select("queue_name", "bucket", "n_events", "n_processed", "depth", "max_lag_seconds", "n_retried", "n_attempts", "n_dead")
     )
 
 
-def sync_delay(events: DataFrame, ledger: DataFrame, target: int = SYNC_DELAY_TARGET_SECONDS) -> DataFrame:
-    """Source edit to processed, in whole seconds, per event type: percentiles and misses.
+def sync_delay(events: DataFrame, ledger: DataFrame, target: int = SYNC_DELAY_TARGET_SECONDS,
+               permille: Sequence[int] = (500, 950, 990)) -> DataFrame:
+    """Source edit to processed, in whole seconds, per event type: exact percentiles and misses.
 
-    The percentile buffers count distinct whole seconds, so they are bounded by the
-    span of delays, not by the number of events.
+    Events are counted by type and delay inside the tasks. The counts, summed along the
+    delays of a type over range partitions, give every delay its rank; a percentile is the
+    least delay whose rank reaches its share. No buffer grows with the number of delays.
     """
     done = ledger.select(F.col("event_id").alias("id"), "processed_at")
-    delayed = events.join(done, "id").withColumn(
-        "_delay", _seconds(F.col("processed_at"), F.col("source_updated_at")))
-    at = {f"p{int(p * 100)}": F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY _delay)") for p in (0.5, 0.95, 0.99)}
-    return delayed.groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n_events"),
-        *[c.cast("bigint").alias(n) for n, c in at.items()],
-        F.max("_delay").alias("max_seconds"),
-        F.count(F.when(F.col("_delay") > target, 1)).alias("n_late"),
+    delay = _seconds(F.col("processed_at"), F.col("source_updated_at")).alias("_delay")
+    counts = (
+        events.join(done, "id").select("event_type", delay)
+        .groupBy("event_type", "_delay").agg(F.count(F.lit(1)).alias("_n"))
+    )
+    # Rows of the running sum are read from its written table, so the counts are made once.
+    ranked = running_sum(counts, ["event_type"], [F.col("_delay")], "_n", "_earlier")
+    totals = ranked.groupBy(F.col("event_type").alias("_type")).agg(
+        F.sum("_n").alias("_events"), F.sum(F.when(F.col("_delay").isNotNull(), F.col("_n"))).alias("_timed"),
+        F.coalesce(F.sum(F.when(F.col("_delay").isNull(), F.col("_n"))), F.lit(0)).alias("_untimed"),
+    )
+    # Delays that can't be told come first in the order and have no rank.
+    rank = F.col("_earlier") + F.col("_n") - F.col("_untimed")
+    return (
+        ranked.join(totals, F.col("event_type").eqNullSafe(F.col("_type")))
+        .groupBy("event_type")
+        .agg(
+            F.max("_events").alias("n_events"),
+            *[
+                F.min(F.when(F.col("_delay").isNotNull() & (rank * 1000 >= F.col("_timed") * p), F.col("_delay")))
+                .alias(f"p{p // 10}") for p in permille
+            ],
+            F.max("_delay").alias("max_seconds"),
+            F.coalesce(F.sum(F.when(F.col("_delay") > target, F.col("_n"))), F.lit(0)).alias("n_late"),
+        )
     )
 
 

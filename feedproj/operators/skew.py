@@ -81,44 +81,59 @@ def salted_lookup(
     )
 
 
+def running_sum(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, out: str
+) -> DataFrame:
+    """``out``: the sum of ``value`` over the key's earlier rows in ``order``, without one-task keys.
+
+    Rows are range-partitioned by key and order and written once. Sums run inside each
+    part; the sums of the key's earlier parts, one row per key and part, are added.
+    NULL is a key like any other; no keys at all mean one order over all rows.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*map(F.col, keys), *order]
+    laid = checkpointed(df.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()))
+    cut = ["_part", *keys]
+    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*cut).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    sums = laid.groupBy(*cut).agg(F.sum(value).alias("_sum"))
+    names = [f"_cut{i}" for i in range(len(cut))]
+    before = sums.select(
+        *[F.col(c).alias(n) for c, n in zip(cut, names, strict=True)],
+        F.coalesce(F.sum("_sum").over(earlier), zero).alias("_sum_before"),
+    )
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(cut, names, strict=True)])
+    return (
+        laid.withColumn("_inside", F.coalesce(F.sum(value).over(inside), zero))
+        .join(before, same).withColumn(out, F.col("_inside") + F.col("_sum_before"))
+        .drop("_part", "_inside", "_sum_before", *names)
+    )
+
+
 def number_within(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    piece: Column,
-    out: str,
-    rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, rows: int = HOT_ROWS
 ) -> DataFrame:
     """``row_number()`` per key in ``order``, 1-based, without one-task keys.
 
-    ``piece`` must not decrease along ``order`` (a minute of a time order, say).
-    Hot keys are cut into pieces: rows are numbered inside a piece, and the counts
-    of the earlier pieces are added. Other keys stay whole, so the data is
-    shuffled once either way.
+    Ordinary keys are numbered by one window. The rows of hot keys are range-partitioned
+    by key and order, so a key is cut wherever its rows fill a task, be they all of one
+    minute; positions inside a part get the counts of the key's earlier parts added.
+    ``order`` must tell a key's rows apart, else which of the ties is first is open.
     """
+    def plainly(part: DataFrame) -> DataFrame:
+        return part.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+
     hot = hot_keys(df, keys, rows)
-    cut = df.join(hot, list(keys), "left").withColumn(
-        "_piece", F.when(F.col("_ways").isNotNull(), piece)
-    )
-    before = (
-        cut.where(F.col("_ways").isNotNull())
-        .groupBy(*keys, "_piece")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn(
-            "_before",
-            F.sum("_n").over(
-                W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
-            ),
-        )
-        .drop("_n")
-    )
-    inside = F.row_number().over(W.partitionBy(*keys, "_piece").orderBy(*order))
-    return (
-        cut.withColumn("_inside", inside)
-        .join(before, [*keys, "_piece"], "left")
-        .withColumn(out, (F.col("_inside") + F.coalesce(F.col("_before"), F.lit(0))).cast("bigint"))
-        .drop("_ways", "_piece", "_inside", "_before")
+    if hot.isEmpty():
+        return plainly(df)
+    marked = df.join(hot, list(keys), "left")
+    numbered = plainly(marked.where(F.col("_ways").isNull()).drop("_ways"))
+    cut = running_sum(
+        marked.where(F.col("_ways").isNotNull()).drop("_ways").withColumn("_one", F.lit(1).cast("bigint")),
+        keys, [F.col(c) for c in order], "_one", "_before",
     )
+    return numbered.unionByName(cut.withColumn(out, F.col("_before") + 1).drop("_one", "_before"))
 
 
 def number_all(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:

@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedproj.functions.ids import surrogate_id
 from feedproj.functions.times import instant
 from feedproj.operators.canonical import CONTENT, EntitySpec, canonicalise, extract, violations
 from feedproj.operators.guards import AGGREGATE, action, is_fresh, one_copy, reduce_aggregates, registered
@@ -55,6 +56,8 @@ class BatchChanges:
 
     rows: dict[str, DataFrame]
     touched: dict[str, DataFrame]
+    # Of ``rows`` those that an event changed or confirmed, with its version as ``_version``.
+    written: dict[str, DataFrame]
     linked: DataFrame
     relinked: DataFrame
     ledger: DataFrame
@@ -100,7 +103,7 @@ def batch_changes(
         live.where("latest IS NOT NULL").groupBy(*AGGREGATE).agg(latest), AGGREGATE, "left"
     ) if force else reduce_aggregates(live, kinds).withColumn("latest", F.lit(None).cast("bigint"))
 
-    rows, touched, verdicts = {}, {}, []
+    rows, touched, written, verdicts = {}, {}, {}, []
     resolved = {}
     for spec in specs:
         part = stage(_resolve(reduced, state.entities[spec.kind], source, spec, now, resurrect))
@@ -108,6 +111,9 @@ def batch_changes(
         rows[spec.kind] = part.where("_exists").selectExpr(
             *[f"new_{c} AS {c}" for c in columns(spec.ddl)]
         )
+        written[spec.kind] = part.where("_exists AND applied_version IS NOT NULL").selectExpr(
+            *[f"new_{c} AS {c}" for c in columns(spec.ddl)], "applied_version AS _version"
+        )
         touched[spec.kind] = part.where("_key IS NOT NULL").selectExpr(f"_key AS {spec.natural_key}")
         verdicts.append(part.select(*AGGREGATE, *_VERDICT))
     spark = events.sparkSession
@@ -130,6 +136,7 @@ def batch_changes(
     return BatchChanges(
         rows=rows,
         touched=touched,
+        written=written,
         linked=linked,
         relinked=relinked,
         ledger=done.select(F.col("id").alias("event_id"), "checksum", now.alias("processed_at")),
@@ -304,8 +311,9 @@ def _after(state: ProjectionState, kind: str, key: str, rows, touched) -> DataFr
 
 
 def _links(resolved, rows, touched, state, source, specs, late_link: bool):
-    """(new bridge rows, entity ids whose old rows they replace)."""
-    links, gone = state.bridge.limit(0), state.bridge.limit(0).select("entity_id")
+    """(new bridge rows, entity ids whose old rows they replace, with the version that did)."""
+    links = state.bridge.limit(0)
+    gone = state.bridge.limit(0).select("entity_id", F.lit(0).cast("bigint").alias("_version"))
     known = CONTENT_KINDS.with_(specs)
     for spec in specs:
         for column, kind in spec.links:
@@ -315,7 +323,8 @@ def _links(resolved, rows, touched, state, source, specs, late_link: bool):
             key = known.spec(kind).natural_key
             links = links.unionByName(link_rows(written, _after(state, kind, key, rows, touched), "ids", key))
         if spec.links:
-            gone = gone.unionByName(resolved[spec.kind].where("wrote").selectExpr("new_id AS entity_id"))
+            gone = gone.unionByName(
+                resolved[spec.kind].where("wrote").selectExpr("new_id AS entity_id", "applied_version AS _version"))
     if not (late_link and "category" in rows):
         return links, gone
     # Posts written before their category existed are linked from the source now.
@@ -335,7 +344,12 @@ def _links(resolved, rows, touched, state, source, specs, late_link: bool):
     # Their older links stay.
     kept = state.bridge.join(late.select("entity_id"), "entity_id", "left_semi")
     late = late.unionByName(kept.join(gone, "entity_id", "left_anti")).distinct()
-    return links.unionByName(late), gone.unionByName(late.select("entity_id").distinct())
+    # A link that arrives late leaves the post's version as it is.
+    known = state.versions.where("aggregate_type = 'post'").select(
+        surrogate_id("post", F.col("aggregate_id")).alias("entity_id"), F.col("latest_processed_version").alias("_version"))
+    joined = late.select("entity_id").distinct().join(known, "entity_id", "left").select(
+        "entity_id", F.coalesce("_version", F.lit(0)).cast("bigint").alias("_version"))
+    return links.unionByName(late), gone.unionByName(joined)
 
 
 _OUTCOME = """

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
-from feedproj.operators import chains, commerce, compose, listing, ops, search
+from feedproj.operators import chains, commerce, compose, digests, listing, ops, search
 from feedproj.operators import canonical as C
 from feedproj.operators import projection
 from feedproj.plans.fixtures import AS_OF, sid
 from feedproj.plans.registered_feed import scratch
 from feedproj.plans.registered_reads import VISIBLE
 from feedproj.plans.registered_rows import (
-    APPLY, EARLIER, POSTS_NOW, STORED, applied, canonical, stored_posts,
+    APPLY, EARLIER, PAGES_NOW, POSTS_NOW, STORED, applied, canonical, stored_posts,
 )
 from feedproj.plans.registry import query
 from feedproj.sources.store import ProjectionStore
+from feedproj.streaming import operations as streaming_ops
 from feedproj.streaming import projection as streaming
 
 # --- the store and the streams ----------------------------------------------
@@ -46,13 +49,14 @@ def _(t):
 @query("write_projection", f", {REBUILT_ROWS}")
 def _(t):
     # Two committed batches and a repeat of the second, which the store does not apply again.
-    store = ProjectionStore(t.spark, scratch(t, "store"), buckets=4)
+    store = ProjectionStore(t.spark, scratch(t, "store"))
     early = t.fx_feed.where("created_at < timestamp '2024-01-15'")
     late = t.fx_feed.where("created_at >= timestamp '2024-01-15'")
     store.apply(early, t.source, AS_OF, batch=0)
     store.apply(late, t.source, AS_OF, batch=1)
     store.apply(late, t.source, AS_OF, batch=1)
-    assert store.manifest()["version"] == 2
+    store.compact()
+    assert store.committed().last["feed"] == 1
     return store.state().entities["post"].select("source_post_id", "title", "checksum", "deleted_at")
 
 
@@ -72,7 +76,7 @@ def feed_stream(t, path: str, files: int | None = None):
 
 @query("projection_stream", f", {REBUILT_ROWS}")
 def _(t):
-    store = ProjectionStore(t.spark, scratch(t, "store"), buckets=4)
+    store = ProjectionStore(t.spark, scratch(t, "store"))
     run = streaming.run_projection_stream(
         feed_stream(t, feed_files(t), files=2), store, lambda: t.source, lambda _: AS_OF,
         scratch(t, "stream"))
@@ -88,25 +92,62 @@ def landed(t, stream, name: str):
     return t.spark.read.schema(stream.schema).parquet(out)
 
 
+def timed(t, stream, name: str):
+    """What a stream with timers lets go until a trigger after the last input: such a stream ends only when stopped."""
+    import time
+
+    out = scratch(t, name)
+    run = stream.writeStream.format("parquet").option("checkpointLocation", scratch(t, f"{name}-state")).trigger(
+        processingTime="0 seconds").start(out)
+    try:
+        until, idle = time.time() + 120, 0
+        while idle < 2 and time.time() < until and run.isActive:
+            done = run.recentProgress
+            idle = 0
+            for p in reversed(done):
+                if p["numInputRows"] or len(done) < 2:
+                    break
+                idle += 1
+            time.sleep(0.2)
+    finally:
+        run.stop()
+    if run.exception() is not None:
+        raise run.exception()
+    return t.spark.read.schema(stream.schema).parquet(out)
+
+
 @query("dedup_stream", "select id, aggregate_version from fx_feed")
 def _(t):
     stream = streaming.dedup_stream(feed_stream(t, feed_files(t)), within="60 days")
     return landed(t, stream.select("id", "aggregate_version"), "dedup")
 
 
-@query("stale_filter_stream", "select id, aggregate_version from fx_feed")
-def _(t):
+@contextmanager
+def keyed_state(t):
+    """The state store provider that keyed state with several variables and timers needs."""
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = t.spark.conf.get(provider, None)
     t.spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
+        yield
+    finally:
+        t.spark.conf.set(provider, before) if before is not None else t.spark.conf.unset(provider)
+
+
+@query("stale_filter_stream", "select id, aggregate_version from fx_feed")
+def _(t):
+    with keyed_state(t):
         stream = streaming.stale_filter_stream(feed_stream(t, feed_files(t)))
         return landed(t, stream, "fresh").select("id", "aggregate_version")
-    finally:
-        if before is not None:
-            t.spark.conf.set(provider, before)
-        else:
-            t.spark.conf.unset(provider)
+
+
+@query("stale_filter_stream_seeded", """select id, f.aggregate_version from fx_feed f
+left join fx_versions v using (aggregate_type, aggregate_id)
+where v.latest_processed_version is null or f.aggregate_version > v.latest_processed_version""")
+def _(t):
+    with keyed_state(t):
+        stream = streaming.stale_filter_stream(feed_stream(t, feed_files(t)), t.fx_versions)
+        return landed(t, stream, "seeded").select("id", "aggregate_version")
 
 
 @query("stream_progress", "select cast(2 * count(*) as bigint) as n_rows from fx_feed")
@@ -126,6 +167,29 @@ def _(t):
     return mine.agg(F.sum("rows").alias("n_rows"))
 
 
+LATER = "2100-01-01 00:00:00"
+
+
+def retry_files(t) -> str:
+    """Attempts as they were scheduled, each twice; those of some events wait for a day far away."""
+    path = scratch(t, "scheduled")
+    far = F.col("event_id").endswith("7")
+    rows = t.fx_attempts.withColumn("available_at", F.when(far, F.lit(LATER).cast("timestamp")).otherwise(F.col("available_at")))
+    for n in (1, 2):
+        rows.withColumn("attempts", F.col("attempts") + n - 1).coalesce(2).write.mode("append").parquet(path)
+    return path
+
+
+@query("retry_stream", """select event_id, queue_name, attempts + 1 as attempts from fx_attempts
+where event_id not like '%7'""")
+def _(t):
+    # All files are there at the first trigger, so the later attempt of an event is the one that waits.
+    with keyed_state(t):
+        path = retry_files(t)
+        scheduled = t.spark.readStream.schema(t.fx_attempts.schema).parquet(path)
+        return timed(t, streaming_ops.retry_stream(scheduled), "due").select("event_id", "queue_name", "attempts")
+
+
 # --- replay and drift -------------------------------------------------------
 
 @query("replay_entity", "select id, event_version, aggregate_version from fx_feed where aggregate_id = '7'")
@@ -170,6 +234,12 @@ def _(t):
     return ops.detect_drift(now, stored, C.POST)
 
 
+@query("detect_drift_ranges", f", {POSTS_NOW}, {STORED}, {SOURCE_NOW} select * from ({DRIFT}) where drift is not null")
+def _(t):
+    now, stored = drifted(t)
+    return digests.detect_drift_ranges(now, stored, C.POST, leaf_bits=4)
+
+
 @query("validate_incremental", f""", {POSTS_NOW}, {STORED}, {SOURCE_NOW}, drift as ({DRIFT})
 select * from drift where drift is not null and source_post_id in (
   select post_id from source_now where modified_at > timestamp '1997-01-01'
@@ -238,6 +308,35 @@ def _(t):
     return ops.alerts(metrics(t))
 
 
+def hourly(t):
+    """The metrics as a stream: the feed in two files, and an event far ahead that closes the last hour."""
+    path = scratch(t, "hours")
+    early = F.col("created_at") < F.lit("2024-01-15").cast("timestamp")
+    for part in (early, ~early):
+        t.fx_feed.where(part).coalesce(1).write.mode("append").parquet(path)
+    ahead = t.fx_feed.limit(1).withColumn("id", F.lit("ahead")).withColumn("created_at", F.lit("2025-01-01").cast("timestamp"))
+    ahead.write.mode("append").parquet(path)
+    dead = t.fx_attempts.where("attempts >= 10")
+    # Files are read in the order they came, so no event is late.
+    stream = feed_stream(t, path, files=1)
+    return streaming_ops.metrics_stream(stream, t.sql(DONE), t.fx_attempts, dead, AS_OF, late="40 days")
+
+
+@query("metrics_stream", f", done as ({DONE}) {METRICS}")
+def _(t):
+    return landed(t, hourly(t), "metrics")
+
+
+@query("alerts_stream", f""", done as ({DONE}), metrics as ({METRICS})
+select queue_name, bucket, 'queue_lag' as alert, max_lag_seconds, n_dead from metrics where max_lag_seconds > 60
+union all
+select queue_name, bucket, 'dead_letter_growth', max_lag_seconds, n_dead from (
+  select *, lag(n_dead) over (order by bucket) as before from metrics) where n_dead > coalesce(before, 0)""")
+def _(t):
+    with keyed_state(t):
+        return landed(t, streaming_ops.alerts_stream(hourly(t)), "alerts")
+
+
 @query("sync_delay", f""", done as ({DONE}), delayed as (
   select event_type, cast(floor(epoch(processed_at)) as bigint) - cast(floor(epoch(source_updated_at)) as bigint) as d
   from fx_feed join done on event_id = id)
@@ -421,6 +520,29 @@ def _(t):
     return search.similar(t.fx_pages, F.col("title"), "small rings").select("source_post_id", "similarity")
 
 
+@query("similar_join", f""", g as ({grams('fx_pages', 'source_post_id', 'title')}),
+sizes as (select source_post_id, count(*) as n from g group by source_post_id),
+shared as (
+  select q.source_post_id as query_id, d.source_post_id, count(*) as shared
+  from g q join g d using (gram) where q.source_post_id % 20 = 0 group by all)
+select query_id, source_post_id, round(shared / (a.n + b.n - shared), 6) as similarity
+from shared join sizes a using (source_post_id) join sizes b on b.source_post_id = query_id
+where round(shared / (a.n + b.n - shared), 6) >= 0.6""")
+def _(t):
+    # Every twentieth page's title is a query, against all pages.
+    asked = t.fx_pages.where("source_post_id % 20 = 0").select(F.col("source_post_id").alias("query_id"), "title")
+    return search.similar_join(
+        t.fx_pages, "source_post_id", F.col("title"), asked, "query_id", F.col("title"), at_least=0.6)
+
+
+@query("search_top", f""", {RANKED.replace("select doc_id, round", "select * from (select doc_id, round", 1)})
+order by rank desc, doc_id limit 25""")
+def _(t):
+    path = scratch(t, "blocks")
+    search.write_block_index(search.inverted_index(t.documents, "doc_id", F.col("text")), "doc_id", path, block=32)
+    return search.search_top(t.spark.read.parquet(path), "doc_id", TERMS, t.documents.count(), 25)
+
+
 @query("compose", f"""select '{{"pages":[' || (
     select string_agg('{{"slug":"' || slug || '","title":"' || title || '"}}', ',' order by published_at desc, id desc)
     from (select * from fx_pages where {VISIBLE} order by published_at desc, id desc limit 20))
@@ -438,8 +560,11 @@ def _(t):
     })
 
 
-@query("fan_out", """select target, count(*) as n_rows from src_pages, (select unnest(['search', 'tables']) as target)
-where cast(ID as bigint) > 0 group by target""")
+@query("fan_out", f""", {PAGES_NOW}, pages_now as (select * from canonical_pages)
+select 'tables' as target, post_id, checksum as content, cast(1 as bigint) as n from pages_now
+union all
+select 'search', post_id, term, count(*) from (select post_id, {SPLIT.format('title')} as term from pages_now)
+where term <> '' group by post_id, term""")
 def _(t):
     a, b = scratch(t, "search"), scratch(t, "tables")
 
@@ -452,9 +577,9 @@ def _(t):
         "tables": lambda df: df.write.parquet(b),
     })
     assert told["down"].startswith("failed") and told["search"] == told["tables"] == "delivered"
-    counts = [t.spark.read.parquet(p).select("post_id").distinct().select(F.lit(n).alias("target"))
-              for n, p in (("search", a), ("tables", b))]
-    return counts[0].union(counts[1]).groupBy("target").agg(F.count(F.lit(1)).alias("n_rows"))
+    words = t.spark.read.parquet(a).select(F.lit("search").alias("target"), "post_id", F.col("term").alias("content"), F.col("tf").alias("n"))
+    rows = t.spark.read.parquet(b).select(F.lit("tables").alias("target"), "post_id", F.col("checksum").alias("content"), F.lit(1).cast("bigint").alias("n"))
+    return words.union(rows)
 
 
 # --- commerce ---------------------------------------------------------------

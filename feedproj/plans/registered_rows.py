@@ -332,19 +332,26 @@ result as (
   from decided)"""
 
 
+# Columns of a post's row that a write takes from the canonical row, by their names there.
+CARRIED = {
+    "slug": "slug", "title": "title", "content": "content", "excerpt": "excerpt", "status": "status", "author": "author",
+    "published_at": "published_at", "updated_at": "modified_at", "checksum": "checksum", "meta_jsonb": "meta",
+}
+
+
 @query("apply_batch_posts", f""", {APPLY}
-select post_id as source_post_id, case when wrote then new_title else old_title end as title,
-  case when wrote then new_checksum else old_checksum end as checksum, gone_at as deleted_at,
-  coalesce(old_created, timestamp '{AS_OF}') as created_at,
+select {sid('duckdb', 'post', 'r.post_id')} as id, r.post_id as source_post_id, 'post' as source_entity_type,
+  {', '.join(f"case when wrote then c.{new} else s.{old} end as {old}" for old, new in CARRIED.items())},
+  gone_at as deleted_at, coalesce(old_created, timestamp '{AS_OF}') as created_at,
   case when wrote then timestamp '{AS_OF}' else old_synced end as synced_at
-from result where had or max_u is not null
+from result r left join canonical_posts c on c.post_id = r.post_id left join stored_posts s on s.source_post_id = r.post_id
+where had or max_u is not null
 union all
-select source_post_id, title, checksum, deleted_at, created_at, synced_at from stored_posts
+select id, source_post_id, source_entity_type, {', '.join(CARRIED)}, deleted_at, created_at, synced_at from stored_posts
 where source_post_id not in (select post_id from result)""")
 def _(t):
     state, _ = applied(t)
-    return state.entities["post"].select(
-        "source_post_id", "title", "checksum", "deleted_at", "created_at", "synced_at")
+    return state.entities["post"]
 
 
 @query("apply_batch_outcomes", f""", {APPLY}

@@ -1,29 +1,25 @@
-"""Projection tables on a plain file system, committed together.
-
-Layout under one root:
-
-    <table>/version=<v>/bucket=<b>/...   rows of one hash bucket
-    ledger/version=<v>/...               ids recorded by one batch (append only)
-    ledger_base/version=<v>/...          the ledger up to a batch, after ``compact_ledger``
-    outcomes/version=<v>/...             what became of each event of a batch
-    manifests/<n>.json                   which directory holds each bucket, the ledger's
-                                         directories, last batch of each feed
-
-``v`` is the number of the batch and a mark of the attempt, so two writers never
-share a directory. A batch writes new directories for the buckets it touches and
-then creates its manifest, which must not exist yet: one of two writers of a number
-wins, the other starts again from the winner's state. Readers use the highest
-manifest that is complete, so they see all tables of a batch or none. Directories
-that no manifest names are invisible. With a table format, ``MERGE`` and its
-snapshots would take the place of this class.
+"""Projection tables as Spark writes them: changed rows by batch, the newest row of a key counts.
+
+Under one root every table (an entity kind, ``bridge``, ``versions``, ``ledger``,
+``outcomes``) is a parquet table partitioned by ``feed`` and ``batch``. A batch writes the
+rows it changes by dynamic partition overwrite, so running it again replaces its own rows
+and no others, and the cost of a batch follows the batch. Last comes its row in
+``commits``: readers take, of each feed, the batches up to its last committed one, so they
+see all tables of a batch or none, and what a dead writer left is overwritten by its rerun.
+
+Which row of a key is newest does not depend on who writes first: the higher aggregate
+version wins, then the later commit. Two writers need no lock; a forced replay starts a
+new ``generation``, whose rows come before all older ones.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,201 +27,199 @@ from feedproj.functions.times import instant
 from feedproj.operators.canonical import CONTENT, EntitySpec
 from feedproj.operators.guards import AGGREGATE
 from feedproj.plans.apply import BatchChanges, ProjectionState, batch_changes
-from feedproj.operators.projection import advance_versions, replaced
-from feedproj.schema import BRIDGE, LEDGER, VERSIONS
+from feedproj.schema import BRIDGE, LEDGER, VERSIONS, columns
 from feedproj.session import Staging
 from feedproj.sources.state import SourceState
 
+#: Feed whose batches hold whole tables, made by ``compact``.
+SNAPSHOT = "_snapshot"
+ORDER = ("generation", "version", "seq")
+LINKS = "entity_id string, taxonomy_ids array<string>"
+OUTCOMES = (
+    "id string, event_type string, aggregate_type string, aggregate_id string, aggregate_version bigint, "
+    "source_updated_at timestamp, outcome string, recorded boolean, violations array<string>, deliveries bigint, "
+    "checksum string"
+)
+COMMITS = "seq bigint, generation bigint, covers map<string,bigint>, feed string, batch bigint"
+
+
+def put(rows: DataFrame, path: str, feed: str, batch: int) -> None:
+    """Write the rows of one batch, in place of those it wrote before.
+
+    A row of NULLs comes along: without any row the batch's partition would stay as it was.
+    """
+    spark = rows.sparkSession
+    nothing = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+    (
+        rows.unionByName(nothing)
+        .withColumn("feed", F.lit(feed)).withColumn("batch", F.lit(batch).cast("bigint"))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("feed", "batch").parquet(path)
+    )
+
+
+def read_or_empty(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """A parquet table that may not have been written yet."""
+    try:
+        return spark.read.schema(ddl).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ddl)
+
+
+@dataclass(frozen=True)
+class Committed:
+    """What readers may see: each feed's last batch, and what the last snapshot covers."""
 
-# Times a batch starts again because another writer committed first.
-MOST_TRIES = 20
+    last: dict[str, int]
+    covers: dict[str, int]
+    seq: int
+    generation: int
 
+    def visible(self) -> Column:
+        """Condition on the partition columns, so only visible partitions are listed and read."""
+        shown = F.lit(False)
+        for feed, batch in self.last.items():
+            low = batch if feed == SNAPSHOT else self.covers.get(feed, -1) + 1
+            if low <= batch:
+                shown = shown | ((F.col("feed") == feed) & F.col("batch").between(low, batch))
+        return shown
 
-class CommitConflict(RuntimeError):
-    """Another writer committed the same version first; nothing of this batch is visible."""
+    def only_snapshot(self) -> bool:
+        return SNAPSHOT in self.last and all(
+            f == SNAPSHOT or self.covers.get(f, -1) >= b for f, b in self.last.items())
 
 
 class ProjectionStore:
-    def __init__(self, spark: SparkSession, root: str, specs: Sequence[EntitySpec] = CONTENT, buckets: int = 16):
-        self.spark, self.root, self.specs, self.buckets = spark, root.rstrip("/"), tuple(specs), buckets
+    def __init__(self, spark: SparkSession, root: str, specs: Sequence[EntitySpec] = CONTENT):
+        self.spark, self.root, self.specs = spark, root.rstrip("/"), tuple(specs)
         self.tables = {s.kind: (s.ddl, [s.natural_key]) for s in self.specs}
-        self.tables["bridge"] = (BRIDGE, ["entity_id"])
+        self.tables["bridge"] = (LINKS, ["entity_id"])
         self.tables["versions"] = (VERSIONS, AGGREGATE)
 
-    # --- manifests ---
-
-    def _fs(self, path: str):
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm_path
-
-    def names(self, folder: str) -> list[str]:
-        fs, path = self._fs(folder)
-        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-
-    def numbered(self, folder: str, before: str = "", after: str = "") -> list[int]:
-        """Numbers n of the entries named ``<before>n<after>`` in a folder."""
-        names = self.names(folder)
-        inner = [n[len(before):len(n) - len(after)] for n in names if n.startswith(before) and n.endswith(after)]
-        return [int(n) for n in inner if n.isdigit()]
-
-    def manifest(self) -> dict:
-        """The committed manifest; version 0 is the empty store."""
-        for number in sorted(self.numbered(f"{self.root}/manifests", after=".json"), reverse=True):
-            row = self.spark.read.text(f"{self.root}/manifests/{number}.json", wholetext=True).first()
-            try:
-                return json.loads(row["value"] if row else "")
-            except ValueError:
-                continue  # its writer has created but not finished it
-        return {"version": 0, "buckets": {}, "feeds": {}, "ledger": [], "bucket_count": self.buckets}
-
-    def _publish(self, manifest: dict) -> None:
-        """Create the manifest; only one writer can create a number's."""
-        fs, final = self._fs(f"{self.root}/manifests/{manifest['version']}.json")
-        try:
-            out = fs.create(final, False)
-        except Exception as error:
-            if fs.exists(final):
-                raise CommitConflict(f"version {manifest['version']} was committed by someone else") from error
-            raise
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-
-    @staticmethod
-    def _attempt(version: int) -> str:
-        return f"{version}-{uuid.uuid4().hex[:12]}"
-
     # --- reads ---
 
-    def _bucket(self, keys: Sequence[str]) -> Column:
-        return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
-
-    def _table(self, manifest: dict, name: str, only: list[int] | None = None) -> DataFrame:
-        ddl, _ = self.tables[name]
-        held = manifest["buckets"].get(name, {})
-        paths = [
-            f"{self.root}/{name}/version={v}/bucket={b}"
-            for b, v in held.items() if only is None or int(b) in only
-        ]
-        if not paths:
-            return self.spark.createDataFrame([], ddl)
-        return self.spark.read.schema(ddl).parquet(*paths)
-
-    def _ledger(self, manifest: dict) -> DataFrame:
-        paths = [f"{self.root}/{name}" for name in manifest["ledger"]]
-        if not paths:
-            return self.spark.createDataFrame([], LEDGER)
-        return self.spark.read.schema(LEDGER).parquet(*paths)
-
-    def compact_ledger(self) -> dict:
-        """Gather the per-batch ledger directories into one; the rows stay the same."""
-        base = self.manifest()
-        version = base["version"] + 1
-        name = f"ledger_base/version={self._attempt(version)}"
-        self._ledger(base).hint("rebalance").write.parquet(f"{self.root}/{name}")
-        manifest = {**base, "version": version, "ledger": [name]}
-        self._publish(manifest)
-        return manifest
-
-    def state(self, manifest: dict | None = None, only: dict[str, list[int]] | None = None) -> ProjectionState:
-        m, only = manifest or self.manifest(), only or {}
+    def committed(self) -> Committed:
+        """One row for each feed comes to the driver."""
+        rows = read_or_empty(self.spark, f"{self.root}/commits", COMMITS).where("seq IS NOT NULL").groupBy("feed").agg(
+            F.max("batch").alias("batch"), F.max("seq").alias("seq"), F.max("generation").alias("generation"),
+            F.max_by("covers", "batch").alias("covers"),
+        ).collect()
+        covers = next((r["covers"] for r in rows if r["feed"] == SNAPSHOT), None)
+        return Committed(
+            {r["feed"]: r["batch"] for r in rows}, covers or {},
+            max((r["seq"] for r in rows), default=0), max((r["generation"] for r in rows), default=0),
+        )
+
+    def _rows(self, name: str, ddl: str, at: Committed) -> DataFrame:
+        read = read_or_empty(self.spark, f"{self.root}/{name}", f"{ddl}, feed string, batch bigint")
+        return read.where(at.visible()).where(F.col(columns(ddl)[0]).isNotNull())
+
+    def _newest(self, name: str, at: Committed, ordered: bool = False) -> DataFrame:
+        """The newest row of each key. Straight after ``compact`` every key has one row and nothing is grouped."""
+        ddl, keys = self.tables[name]
+        order = ", ".join(f"{c} bigint" for c in ORDER)
+        rows = self._rows(name, f"{ddl}, {order}", at)
+        shown = [*columns(ddl), *(ORDER if ordered else ())]
+        if at.only_snapshot():
+            return rows.select(*shown)
+        # The order is total: a commit has one row for a key. So every column is of the same row,
+        # and with nothing above the grouping Spark moves a semi join on the keys below it.
+        order_of = F.struct(*ORDER, "feed", "batch")
+        newest = rows.groupBy(*keys).agg(*[F.max_by(c, order_of).alias(c) for c in shown if c not in keys])
+        return newest.select(*shown)
+
+    def _ledger(self, at: Committed) -> DataFrame:
+        """One entry for each event: two writers may both have applied it, and a replay applies it again."""
+        rows = self._rows("ledger", LEDGER, at)
+        if at.only_snapshot():
+            return rows.select(*columns(LEDGER))
+        first = F.struct("processed_at", "checksum")
+        return rows.groupBy("event_id").agg(
+            F.min_by("checksum", first).alias("checksum"), F.min("processed_at").alias("processed_at"))
+
+    def state(self, at: Committed | None = None) -> ProjectionState:
+        """The tables as committed. Of a batch's touched keys only their rows are grouped:
+        Spark pushes the semi join below the grouping."""
+        at = at or self.committed()
+        bridge = self._newest("bridge", at).select("entity_id", F.explode("taxonomy_ids").alias("taxonomy_id"))
         return ProjectionState(
-            {s.kind: self._table(m, s.kind, only.get(s.kind)) for s in self.specs},
-            self._table(m, "bridge", only.get("bridge")),
-            self._ledger(m),
-            self._table(m, "versions", only.get("versions")),
+            {s.kind: self._newest(s.kind, at) for s in self.specs}, bridge.select(*columns(BRIDGE)),
+            self._ledger(at), self._newest("versions", at),
         )
 
+    def outcomes(self, feed: str, batch: int) -> DataFrame:
+        """What became of every event of one batch."""
+        rows = self.spark.read.schema(f"{OUTCOMES}, feed string, batch bigint").parquet(f"{self.root}/outcomes")
+        return rows.where((F.col("feed") == feed) & (F.col("batch") == batch) & F.col("outcome").isNotNull()).drop("feed", "batch")
+
     # --- writes ---
 
-    def write_projection(self, changes: BatchChanges, as_of, feed: str = "feed", batch: int | None = None,
-                         forced: bool = False, base: dict | None = None) -> dict:
+    def write_projection(self, changes: BatchChanges, as_of, feed: str, batch: int, forced: bool = False,
+                         base: Committed | None = None) -> None:
         """Commit one batch: projections, bridge, ledger and versions, or nothing.
 
-        ``base``: the manifest the changes were made from. Raises ``CommitConflict`` if
-        it is not the latest any more.
+        The tables are written side by side, the commit when all are there.
+        """
+        base = base or self.committed()
+        seq, generation = base.seq + 1, base.generation + bool(forced)
+        order = [F.lit(generation).cast("bigint").alias("generation"), F.col("_version").cast("bigint").alias("version"),
+                 F.lit(seq).cast("bigint").alias("seq")]
+        tables = {"outcomes": changes.outcomes.select(*columns(OUTCOMES))}
+        for spec in changes.specs:
+            tables[spec.kind] = changes.written[spec.kind].select(*columns(spec.ddl), *order)
+        if changes.specs:
+            links = changes.linked.groupBy("entity_id").agg(F.collect_set("taxonomy_id").alias("taxonomy_ids"))
+            entities = changes.relinked.groupBy("entity_id").agg(F.max("_version").alias("_version"))
+            tables["bridge"] = entities.join(links, "entity_id", "left").select(
+                "entity_id", F.coalesce("taxonomy_ids", F.array().cast("array<string>")).alias("taxonomy_ids"), *order)
+            tables["versions"] = changes.versions.select(
+                *AGGREGATE, F.col("aggregate_version").alias("latest_processed_version"),
+                instant(as_of).alias("latest_processed_at"), F.col("aggregate_version").alias("_version"),
+            ).select(*columns(VERSIONS), *order)
+            tables["ledger"] = changes.ledger.select(*columns(LEDGER))
+        with ThreadPoolExecutor(len(tables)) as side_by_side:
+            written = [side_by_side.submit(put, rows, f"{self.root}/{name}", feed, batch) for name, rows in tables.items()]
+            for one in written:
+                one.result()
+        self._commit(feed, batch, seq, generation)
+
+    def _commit(self, feed: str, batch: int, seq: int, generation: int, covers: dict[str, int] | None = None) -> None:
+        row = self.spark.createDataFrame([(seq, generation, covers)], ", ".join(COMMITS.split(", ")[:3]))
+        put(row, f"{self.root}/commits", feed, batch)
+
+    def compact(self) -> None:
+        """Whole tables as one batch of their own, so that later reads need not group what came before.
+
+        Batches committed meanwhile are not covered and stay beside it.
         """
-        base = base or self.manifest()
-        version = base["version"] + 1
-        attempt, ledger = self._attempt(version), list(base["ledger"])
-        buckets = {k: dict(v) for k, v in base["buckets"].items()}
-        merged = {
-            s.kind: (changes.rows[s.kind], changes.touched[s.kind]) for s in changes.specs
-        }
-        if merged:
-            merged["bridge"] = (changes.linked, changes.relinked)
-        for name, (rows, touched) in merged.items():
-            _, keys = self.tables[name]
-            self._rewrite(base, buckets, attempt, name, touched.select(*keys),
-                          lambda old, name=name, r=rows, t=touched: replaced(old, r, self.tables[name][1][0], t))
-        changes.outcomes.write.parquet(f"{self.root}/outcomes/version={attempt}")
-        if merged:
-            self._rewrite(base, buckets, attempt, "versions", changes.versions.select(*AGGREGATE),
-                          lambda old: advance_versions(old, changes.versions, as_of))
-            # Forced replays bring ids the ledger has; of a normal batch none are left here.
-            new = self.outcomes(attempt).where("recorded").select(
-                F.col("id").alias("event_id"), "checksum", instant(as_of).alias("processed_at"))
-            if forced:
-                new = new.join(self._ledger(base).select("event_id"), "event_id", "left_anti")
-            new.write.parquet(f"{self.root}/ledger/version={attempt}")
-            ledger.append(f"ledger/version={attempt}")
-        manifest = {
-            **base, "version": version, "buckets": buckets, "bucket_count": self.buckets,
-            "ledger": ledger, "outcomes": attempt,
-            "feeds": {**base["feeds"], feed: {"batch": batch, "version": attempt}},
-        }
-        self._publish(manifest)
-        return manifest
-
-    def _rewrite(self, base, buckets, attempt, name, touched, merge) -> None:
-        _, keys = self.tables[name]
-        # At most one small number per bucket comes to the driver.
-        hit = [r["b"] for r in touched.select(self._bucket(keys).alias("b")).distinct().collect()]
-        if not hit:
+        at = self.committed()
+        if not at.last or at.only_snapshot():
             return
-        path = f"{self.root}/{name}/version={attempt}"
-        merged = merge(self._table(base, name, hit)).withColumn("bucket", self._bucket(keys))
-        # AQE sizes the write: a large bucket gets several tasks, small ones share one,
-        # and a bucket is not scattered into a file per task.
-        # Sorted files let time filters and seeks skip row groups.
-        sort = next((c for c in ("published_at", "name") if c in merged.columns), keys[0])
-        merged.hint("rebalance", "bucket").sortWithinPartitions("bucket", sort).write.partitionBy("bucket").parquet(path)
-        written = set(self.numbered(path, "bucket="))
-        held = buckets.setdefault(name, {})
-        for b in hit:
-            if b in written:
-                held[str(b)] = attempt
-            else:
-                held.pop(str(b), None)
-
-    def outcomes(self, version: str) -> DataFrame:
-        """What became of every event of one committed batch."""
-        return self.spark.read.parquet(f"{self.root}/outcomes/version={version}")
+        batch = at.last.get(SNAPSHOT, -1) + 1
+        for name in self.tables:
+            put(self._newest(name, at, ordered=True).hint("rebalance"), f"{self.root}/{name}", SNAPSHOT, batch)
+        put(self._ledger(at).hint("rebalance"), f"{self.root}/ledger", SNAPSHOT, batch)
+        covers = {f: b for f, b in at.last.items() if f != SNAPSHOT}
+        self._commit(SNAPSHOT, batch, at.seq + 1, at.generation, covers)
 
     def apply(self, events: DataFrame, source: SourceState, as_of, feed: str = "feed",
               batch: int | None = None, **options) -> DataFrame | None:
         """Apply and commit a batch; returns its outcomes.
 
         A ``batch`` that is the feed's last committed one is not applied again: its
-        stored outcomes come back. An older one gives None. If another writer commits
-        first, the batch starts again from what that writer left.
+        stored outcomes come back. An older one gives None. Without a number the batch is
+        the feed's next.
         """
-        for turn in range(MOST_TRIES):
-            base = self.manifest()
-            last = base["feeds"].get(feed)
-            if batch is not None and last and last["batch"] is not None and last["batch"] >= batch:
-                return self.outcomes(last["version"]) if last["batch"] == batch else None
-            if base["bucket_count"] != self.buckets:
-                raise ValueError(f"store was made with {base['bucket_count']} buckets")
-            steps = Staging(self.spark)
-            try:
-                changes = batch_changes(
-                    events, self.state(base), source, as_of, specs=self.specs, stage=steps, **options)
-                done = self.write_projection(
-                    changes, as_of, feed, batch, forced=bool(options.get("force")), base=base)
-                return self.outcomes(done["outcomes"])
-            except CommitConflict:
-                if turn == MOST_TRIES - 1:
-                    raise
-            finally:
-                steps.clear()
-        return None
+        base = self.committed()
+        last = base.last.get(feed)
+        if batch is not None and last is not None and last >= batch:
+            return self.outcomes(feed, batch) if last == batch else None
+        batch = (-1 if last is None else last) + 1 if batch is None else batch
+        steps = Staging(self.spark)
+        try:
+            changes = batch_changes(events, self.state(base), source, as_of, specs=self.specs, stage=steps, **options)
+            self.write_projection(changes, as_of, feed, batch, forced=bool(options.get("force")), base=base)
+        finally:
+            steps.clear()
+        return self.outcomes(feed, batch)

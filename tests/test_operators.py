@@ -78,12 +78,33 @@ def test_number_within_hot_equals_plain(spark):
     df = spark.range(5000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 40).cast("string")).alias("k"),
         F.timestamp_seconds(F.lit(1700000000) + (F.col("id") * 7919) % 9000).alias("t"), "id")
-    minute = F.floor(F.unix_seconds("t") / 60)
-    cut = skew.number_within(df, ["k"], ["t", "id"], minute, "n", rows=200)
-    plain = skew.number_within(df, ["k"], ["t", "id"], minute, "n")
+    cut = skew.number_within(df, ["k"], ["t", "id"], "n", rows=200)
+    plain = skew.number_within(df, ["k"], ["t", "id"], "n")
     assert rows(cut.select("id", "n")) == rows(plain.select("id", "n"))
 
 
+def test_a_hot_minute_is_numbered_in_many_tasks(spark):
+    """One aggregate, one minute: its rows lie in several range partitions, versions are without a gap."""
+    df = spark.range(4000).select(F.lit("hot").alias("k"), F.timestamp_seconds(F.lit(1700000000)).alias("t"), "id").repartition(7)
+    cut = skew.number_within(df, ["k"], ["t", "id"], "n", rows=500)
+    assert [r.n for r in cut.orderBy("id").select("n").collect()] == list(range(1, 4001))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        tasks = skew.running_sum(df.withColumn("one", F.lit(1)), ["k"], [F.col("t"), F.col("id")], "one", "before")
+        assert tasks.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset(coalesce)
+
+
+def test_running_sum_of_null_keys(spark):
+    df = spark.createDataFrame([(None, 1, 5), (None, 2, 7), ("a", 1, 1), ("a", 2, 2), ("a", 3, 4)], "k string, o int, v bigint")
+    got = {(r.k, r.o): r.s for r in skew.running_sum(df, ["k"], [F.col("o")], "v", "s").collect()}
+    assert got == {(None, 1): 0, (None, 2): 5, ("a", 1): 0, ("a", 2): 1, ("a", 3): 3}
+    alone = {r.o: r.s for r in skew.running_sum(df.where("k = 'a'"), [], [F.col("o")], "v", "s").collect()}
+    assert alone == {1: 0, 2: 1, 3: 3}
+
+
 def test_salted_lookup_keeps_all_rows(spark):
     many = spark.range(3000).select((F.col("id") % 2).alias("k"), "id")
     one = spark.createDataFrame([(0, "zero")], "k bigint, v string")
