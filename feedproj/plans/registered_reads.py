@@ -136,6 +136,30 @@ for _kind, _table, _slug, _where in (
     query(f"find_{_kind}_by_slug", f"select id, slug from {_table} where slug = '{_slug}' and {_where}")(_find)
 
 
+def clustered(t):
+    """Posts and links laid out for listings and lookups."""
+    from feedproj.plans.registered_feed import scratch
+    from feedproj.sources.layout import write_clustered
+
+    posts, bridge = scratch(t, "posts"), scratch(t, "bridge")
+    write_clustered(t.fx_posts, posts, ["published_at", "updated_at"], {"slug": 100_000, "id": 100_000})
+    write_clustered(t.fx_bridge, bridge, ["taxonomy_id", "entity_id"], {"taxonomy_id": 1000})
+    return t.spark.read.parquet(posts), t.spark.read.parquet(bridge)
+
+
+@query("find_post_by_slug_clustered", f"select id, slug from fx_posts where slug = 'order-32' and {VISIBLE}")
+def _(t):
+    return listing.find_by_slug(clustered(t)[0], "order-32").select("id", "slug")
+
+
+@query("list_posts_in_category_clustered", f"""select slug, published_at from ({IN_CATEGORY})
+where published_at > timestamp '{AFTER}' order by published_at desc, id desc limit 20""")
+def _(t):
+    posts, bridge = clustered(t)
+    return listing.list_posts(posts, bridge, t.fx_taxonomies, published_after=AFTER, category_slug=SLUG).rows.select(
+        "slug", "published_at")
+
+
 @query("find_posts_by_slugs", f"""select slug, id, title from fx_posts where {VISIBLE}
 and slug in (select concat('order-', cast(l_orderkey as string)) from lineitem where l_quantity > 49)""")
 def _(t):

@@ -35,10 +35,12 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
     Every timestamp in the feed is a UTC instant, so the session must render UTC.
     A skewed join is split even where a later step then needs one more shuffle:
-    otherwise a group-by on the join key keeps a hot key in one task.
+    otherwise a group-by on the join key keeps a hot key in one task. Times are written
+    with statistics (the default parquet type for them has none), so filters on time skip.
     """
     for key, value in (
         ("spark.sql.session.timeZone", "UTC"),
+        ("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS"),
         ("spark.sql.adaptive.forceOptimizeSkewedJoin", "true"),
     ):
         if spark.conf.get(key, None) != value:
