@@ -65,11 +65,10 @@ class Aged:
             missing = list(keys)
         known = [k for k in missing if k in old]
         unknown = sorted(k for k in missing if k not in old)
-        for found in (zip(known, map(old.__getitem__, known), strict=True), zip(unknown, encode(unknown) if unknown else (), strict=True)):
-            for k, v in found:
-                new[k] = v
-                # What Python adds to a string and to bytes, and a place in the table.
-                self.size += len(k) + len(v) + 200
+        for names, values in ((known, [old[k] for k in known]), (unknown, list(encode(unknown)) if unknown else [])):
+            new.update(zip(names, values, strict=True))
+            # 200: what Python adds to a string and to bytes, and a place in the table.
+            self.size += sum(map(len, names)) + sum(map(len, values)) + 200 * len(names)
         return new
 
 

@@ -21,7 +21,7 @@ BLOCK = 5_000
 #: Bytes a worker's memory of encoded words takes, in each of its two halves.
 REMEMBERED = 120_000_000
 #: Characters of text a worker splits at once (at least one text).
-CHARS = 1_000_000
+CHARS = 4_000_000
 #: For each bin above the least possible number, so many of the emptiest bins are worked on in a sweep.
 EMPTIED = 4
 #: Unknown words encoded in one call.
