@@ -56,7 +56,8 @@ class BatchChanges:
 
     rows: dict[str, DataFrame]
     touched: dict[str, DataFrame]
-    # Of ``rows`` those that an event changed or confirmed, with its version as ``_version``.
+    # Of ``rows`` those that an event changed or confirmed, with its version as ``_version``, and
+    # a row of key and ``deleted_at`` alone where a tombstone met no row.
     written: dict[str, DataFrame]
     linked: DataFrame
     relinked: DataFrame
@@ -111,8 +112,8 @@ def batch_changes(
         rows[spec.kind] = part.where("_exists").selectExpr(
             *[f"new_{c} AS {c}" for c in columns(spec.ddl)]
         )
-        written[spec.kind] = part.where("_exists AND applied_version IS NOT NULL").selectExpr(
-            *[f"new_{c} AS {c}" for c in columns(spec.ddl)], "applied_version AS _version"
+        written[spec.kind] = part.where("_key IS NOT NULL AND applied_version IS NOT NULL").selectExpr(
+            *[_bare(c, spec) for c in columns(spec.ddl)], "applied_version AS _version"
         )
         touched[spec.kind] = part.where("_key IS NOT NULL").selectExpr(f"_key AS {spec.natural_key}")
         verdicts.append(part.select(*AGGREGATE, *_VERDICT))
@@ -304,6 +305,12 @@ _DECISIONS = [
 ]
 
 
+def _bare(name: str, spec: EntitySpec) -> str:
+    if name == spec.natural_key:
+        return f"_key AS {name}"
+    return f"new_{name} AS {name}" if name == "deleted_at" else f"if(_exists, new_{name}, NULL) AS {name}"
+
+
 def _after(state: ProjectionState, kind: str, key: str, rows, touched) -> DataFrame:
     """One entity table as the batch leaves it."""
     current = state.entities[kind]

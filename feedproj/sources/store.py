@@ -111,40 +111,45 @@ class ProjectionStore:
             max((r["seq"] for r in rows), default=0), max((r["generation"] for r in rows), default=0),
         )
 
-    def _rows(self, name: str, ddl: str, at: Committed) -> DataFrame:
+    def _rows(self, name: str, ddl: str, at: Committed, key: str) -> DataFrame:
         read = read_or_empty(self.spark, f"{self.root}/{name}", f"{ddl}, feed string, batch bigint")
-        return read.where(at.visible()).where(F.col(columns(ddl)[0]).isNotNull())
+        return read.where(at.visible()).where(F.col(key).isNotNull())
 
     def _newest(self, name: str, at: Committed, ordered: bool = False) -> DataFrame:
         """The newest row of each key. Straight after ``compact`` every key has one row and nothing is grouped."""
         ddl, keys = self.tables[name]
         order = ", ".join(f"{c} bigint" for c in ORDER)
-        rows = self._rows(name, f"{ddl}, {order}", at)
+        rows = self._rows(name, f"{ddl}, {order}", at, keys[0])
         shown = [*columns(ddl), *(ORDER if ordered else ())]
         if at.only_snapshot():
             return rows.select(*shown)
         # The order is total: a commit has one row for a key. So every column is of the same row,
         # and with nothing above the grouping Spark moves a semi join on the keys below it.
         order_of = F.struct(*ORDER, "feed", "batch")
-        newest = rows.groupBy(*keys).agg(*[F.max_by(c, order_of).alias(c) for c in shown if c not in keys])
+        # A tombstone that met no row tells the deletion only; what it deletes another writer may add.
+        content = F.when(F.col("id").isNotNull(), order_of) if "id" in shown else order_of
+        newest = rows.groupBy(*keys).agg(*[
+            F.max_by(c, order_of if c in ("deleted_at", *ORDER) else content).alias(c) for c in shown if c not in keys])
         return newest.select(*shown)
 
     def _ledger(self, at: Committed) -> DataFrame:
         """One entry for each event: two writers may both have applied it, and a replay applies it again."""
-        rows = self._rows("ledger", LEDGER, at)
+        rows = self._rows("ledger", LEDGER, at, "event_id")
         if at.only_snapshot():
             return rows.select(*columns(LEDGER))
         first = F.struct("processed_at", "checksum")
         return rows.groupBy("event_id").agg(
             F.min_by("checksum", first).alias("checksum"), F.min("processed_at").alias("processed_at"))
 
-    def state(self, at: Committed | None = None) -> ProjectionState:
-        """The tables as committed. Of a batch's touched keys only their rows are grouped:
-        Spark pushes the semi join below the grouping."""
+    def state(self, at: Committed | None = None, bare: bool = False) -> ProjectionState:
+        """The tables as committed. ``bare`` leaves in the rows without an id that tombstones
+        wrote which met no row: with nothing above the grouping Spark pushes a semi join with a
+        batch's keys below it, so only their rows are grouped."""
         at = at or self.committed()
+        entities = [(s, self._newest(s.kind, at)) for s in self.specs]
         bridge = self._newest("bridge", at).select("entity_id", F.explode("taxonomy_ids").alias("taxonomy_id"))
         return ProjectionState(
-            {s.kind: self._newest(s.kind, at) for s in self.specs}, bridge.select(*columns(BRIDGE)),
+            {s.kind: rows if bare else rows.where("id IS NOT NULL") for s, rows in entities}, bridge.select(*columns(BRIDGE)),
             self._ledger(at), self._newest("versions", at),
         )
 
@@ -218,7 +223,8 @@ class ProjectionStore:
         batch = (-1 if last is None else last) + 1 if batch is None else batch
         steps = Staging(self.spark)
         try:
-            changes = batch_changes(events, self.state(base), source, as_of, specs=self.specs, stage=steps, **options)
+            # Rows without an id count as absent there.
+            changes = batch_changes(events, self.state(base, bare=True), source, as_of, specs=self.specs, stage=steps, **options)
             self.write_projection(changes, as_of, feed, batch, forced=bool(options.get("force")), base=base)
         finally:
             steps.clear()
