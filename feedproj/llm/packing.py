@@ -22,10 +22,14 @@ BLOCK = 5_000
 REMEMBERED = 120_000_000
 #: Characters of text a worker splits at once (at least one text).
 CHARS = 4_000_000
-#: For each bin above the least possible number, so many of the emptiest bins are worked on in a sweep.
+#: For each bin above the least possible number, so many of the emptiest bins are worked on at first.
 EMPTIED = 4
 #: Unknown words encoded in one call.
 JOINED = 256
+#: Fixed: the mark at the end of a token that ends a piece, and words that the tokenizer never cuts
+#: into pieces: letters of Latin-1, which no normal form changes.
+END_OF_PIECE = "</w>"
+ONE_PIECE = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ÿ]+").fullmatch
 #: Characters that Python's split() takes for white space and the tokenizer does not.
 SPLIT_ONLY = re.compile("[\x1c-\x1f]").search
 
@@ -36,11 +40,32 @@ class WordTokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenize = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.tokenize, self.tokenize_many = tokenizer.encode, tokenizer.encode_batch_fast
+        names = tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith(END_OF_PIECE)]] = True
         self.known = Aged(REMEMBERED)
 
     def encode(self, words: list[str]) -> Iterator[bytes]:
-        """The words' ids, many words in one text; offsets tell them apart."""
+        """The words' ids. Words of Latin letters alone are one piece each, whose last token says so."""
+        plain = [w for w in words if ONE_PIECE(w)]
+        found: dict[str, bytes] = {}
+        for at in range(0, len(plain), 16 * JOINED):
+            parts = [plain[k : k + JOINED] for k in range(at, min(len(plain), at + 16 * JOINED), JOINED)]
+            for part, got in zip(parts, self.tokenize_many([" ".join(x) for x in parts], add_special_tokens=False), strict=True):
+                ids = np.array(got.ids, "<u4")
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) == len(part):
+                    ends = (4 * cuts).tolist()
+                    said = ids.tobytes()
+                    found.update((w, said[a:b]) for w, a, b in zip(part, [0, *ends[:-1]], ends, strict=True))
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, self.encode_apart(rest), strict=True))
+        return map(found.__getitem__, words)
+
+    def encode_apart(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of any words, many in one text; offsets tell them apart."""
         for at in range(0, len(words), JOINED):
             part = words[at : at + JOINED]
             got = self.tokenize(" ".join(part), add_special_tokens=False)
@@ -95,46 +120,65 @@ def best_fit(sizes: list[int], room: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], sizes: list[int], room: int, sweeps: int = 4) -> list[list[int]]:
+def improve(bins: list[list[int]], sizes: list[int], room: int) -> list[list[int]]:
     """Local search over the bins with room: moves and exchanges that raise the sum of squared fills.
 
     For every pair of a fuller and an emptier bin, the best of three steps is taken: move a
     document to the fuller bin, exchange one of its documents for a longer one, or for two
     that are longer together. Each raises the fuller fill and lowers the emptier one, so the
-    sum of squares rises and the search ends; a bin that empties is gone.
+    sum of squares rises and the search ends; a bin that empties is gone. The emptiest bins
+    are worked on first, then twice as many, until there are as few bins as the tokens need
+    or a sweep over all of them changes nothing. A pair is looked at again only if one of
+    the two has changed.
     """
     load = [sum(sizes[i] for i in b) for b in bins]
     least = -(-sum(load) // room)
-    for _ in range(sweeps):
-        changed = False
+    changed_at, tried_at, now = [0] * len(bins), [-1] * len(bins), 0
+    wide = EMPTIED
+    while True:
         order = sorted((b for b in range(len(bins)) if bins[b] and load[b] < room), key=lambda b: (-load[b], b))
         over = sum(map(bool, bins)) - least
         if over <= 0:  # as few as the tokens allow
             break
-        for low in order[: -EMPTIED * over - 1 : -1]:
+        before = now
+        for low in order[: -wide * over - 1 : -1]:
+            fresh, started = changed_at[low] > tried_at[low], now
+            into = sorted((sizes[i], i) for i in bins[low])
             for high in order:
-                if high == low or load[high] < load[low] or not bins[low] or load[high] == room:
+                if not into:
+                    break
+                if high == low or load[high] < load[low] or load[high] == room:
                     continue
-                while bins[low] and (step := _step(bins[high], bins[low], sizes, room - load[high])):
-                    gain, out, into = step
+                if not (fresh or changed_at[high] > tried_at[low] or changed_at[low] > started):
+                    continue
+                while into and (step := _step(bins[high], into, sizes, room - load[high])):
+                    gain, out, taken = step
                     for i in out:
                         bins[high].remove(i)
                         bins[low].append(i)
-                    for i in into:
+                    for i in taken:
                         bins[low].remove(i)
                         bins[high].append(i)
                     load[high] += gain
                     load[low] -= gain
-                    changed = True
-        if not changed:
-            break
+                    now += 1
+                    changed_at[high] = changed_at[low] = now
+                    into = sorted((sizes[i], i) for i in bins[low])
+            # Bins it met before it changed itself are met again in the next sweep.
+            tried_at[low] = started
+        if now == before:
+            if wide * over >= len(order):
+                break
+            wide *= 2
     return [b for b in bins if b]
 
 
-def _step(high: list[int], low: list[int], sizes: list[int], free: int):
-    """The largest gain in ``1..free`` for the fuller bin: (gain, items out of it, items into it)."""
+def _step(high: list[int], into: list[tuple[int, int]], sizes: list[int], free: int):
+    """The largest gain in ``1..free`` for the fuller bin: (gain, items out of it, items into it).
+
+    ``into``: sizes and items of the emptier bin, in order.
+    """
     best = None
-    into = sorted((sizes[i], i) for i in low)
     plain = [s for s, _ in into]
     at = bisect_left(plain, free + 1) - 1
     if at >= 0:
@@ -163,15 +207,16 @@ def _step(high: list[int], low: list[int], sizes: list[int], free: int):
 def pack(pieces: DataFrame, room: int = SEQUENCE, block: int = BLOCK) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset`` (place in the sequence, gapless from 0).
 
-    Full pieces are sequences by themselves. The rest is dealt by a hash into blocks of about
-    ``block`` pieces, packed best-fit and improved by exchanges; only ids and lengths move.
-    A block's packing depends on its rows alone, so a retried task gives the same answer.
+    Full pieces are sequences by themselves. The rest is written and dealt by place into blocks
+    of about ``block`` pieces, packed best-fit and improved by exchanges; only ids and lengths
+    move. A block's packing depends on its rows alone, so a retried task gives the same answer.
     Sequence numbers: the block's number and the bin's. Repeated rows are packed as often as
     they occur. An empty input gives no rows.
     """
     pieces = checkpointed(pieces)
     blocks = max(1, round(pieces.where(F.col("length") < room).count() / block))
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("long"))
+    # By the written row's place, so that exact repeats lie in as many blocks as any other rows.
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("long"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(table: pa.Table) -> pa.Table:
