@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from feedproj.llm.common import Aged, by_bytes, kept_in_worker, lists, texts, to_batch
+from feedproj.llm.common import Aged, by_bytes, kept_in_worker, lists, one_thread_each, texts, to_batch
 
 #: Bytes a worker's memory of encoded pieces takes, in each of its two halves.
 REMEMBERED = 24_000_000
@@ -72,6 +72,7 @@ class Encoder:
         import regex
         from tokenizers import Regex, Tokenizer, pre_tokenizers
 
+        one_thread_each()
         self.bpe = Tokenizer.from_str(model).encode_batch_fast
         self.cut = regex.compile(pattern).findall
         self.odd = regex.compile(f"[^\\x00-{chr(SAME_CLASSES_BELOW - 1)}]").search

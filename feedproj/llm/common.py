@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -45,6 +46,11 @@ def kept_in_worker(name: str, make: Callable[[], object]) -> object:
     return getattr(store, name)
 
 
+def one_thread_each() -> None:
+    """A task has one core: the tokenizers library starts no threads of its own in its worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
 class Aged:
     """A bounded memory of texts' encodings: two halves, of which the older is forgotten when the newer is full."""
 

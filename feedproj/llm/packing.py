@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedproj.llm.common import Aged, by_bytes, kept_in_worker, texts, to_batch
+from feedproj.llm.common import Aged, by_bytes, kept_in_worker, one_thread_each, texts, to_batch
 from feedproj.session import checkpointed
 
 SEQUENCE = 2048
@@ -40,6 +40,7 @@ class WordTokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        one_thread_each()
         tokenizer = Tokenizer.from_file(path)
         self.tokenize, self.tokenize_many = tokenizer.encode, tokenizer.encode_batch_fast
         names = tokenizer.get_vocab()
