@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -12,16 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedproj.llm.common import texts, to_batch, unpacked, whole_rows
-from feedproj.session import checkpointed
+from feedproj.llm.common import by_bytes, kept_in_worker, texts, to_batch, unpacked, whole_rows
+from feedproj.llm.jaccard_join import _mixed
+from feedproj.session import Staging
 
 #: Words a run of repeated units has at least to be removed.
 LEAST_WORDS = 25
 #: Units with fewer words have no digest: they go with the run around them.
 LEAST_UNIT_WORDS = 3
-#: Fixed: a unit ends with its line or after marks that end a sentence.
-UNIT = re.compile(r"[^\n.!?]+[.!?]*|[.!?]+").finditer
-NOT_WORD = re.compile(r"[\W_]+").sub
 #: Words of a stretch: one that an earlier document holds goes, wherever it begins and ends.
 STRETCH = 50
 #: Words of the shingles by which stretches find each other. Every stretch holds its least shingle.
@@ -31,56 +28,124 @@ CUT_BITS = 7
 #: A word; in scripts written without spaces (Thai to Khmer, kana, Han) each character is one.
 ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff"
 WORD = re.compile(f"[{ALONE}]|[^\\W_{ALONE}]+")
+#: Fixed: a unit ends with its line or after marks that end a sentence.
+MARKS = re.compile("[.!?]*").match
+#: Kinds of characters: parts of words, words of their own (the second are no parts of a sentence's words), ends of units.
+LETTER, LETTER_ALONE, MARK_ALONE, END = 1, 2, 3, 4
 #: Odd factor of the rolling hash, and its inverse modulo 2**64.
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
-#: Distinct words a worker remembers before it starts anew.
-WORDS = 500_000
+#: Tells digests of sentences from those of stretches.
+SENTENCE = np.uint64(0xD1B54A32D192ED03)
+#: Characters of the texts read at once, or one longer text.
+READ = 250_000
 
 
-class Rolling(dict):
-    """Two 64-bit hashes of each word, remembered, and of all runs of so many words of a text."""
+class Rolling:
+    """Kinds and hashes of characters and powers of the rolling hash, as a worker keeps them."""
 
     def __init__(self):
-        super().__init__()
-        self.hashes = np.zeros((2, 1 << 12), np.uint64)
-        self.powers = np.ones((2, 1), np.uint64)
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        if n == self.hashes.shape[1]:
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)], 1)
-        self.hashes[:, n] = np.frombuffer(hashlib.blake2b(word.lower().encode(), digest_size=16).digest(), np.uint64)
-        return n
-
-    def places(self, words: list[str]) -> np.ndarray:
-        if len(self) > WORDS:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-    def between(self, places: np.ndarray, starts, ends, which: int) -> np.ndarray:
-        """Hash of the words of each range: equal words, equal hash."""
-        n = len(places)
-        if self.powers.shape[1] <= n:
+        every = "".join(map(chr, range(0x110000)))
+        self.kinds = np.zeros(len(every), np.uint8)
+        for m in re.finditer(r"[^\W_]+", every):
+            self.kinds[m.start() : m.end()] = LETTER
+        for m in re.finditer(f"[{ALONE}]+", every):
+            part = self.kinds[m.start() : m.end()]
+            part[:] = np.where(part, LETTER_ALONE, MARK_ALONE)
+        self.kinds[[ord(c) for c in "\n.!?"]] = END
+        self.hashes = _mixed(np.arange(1, len(every) + 1, dtype=np.uint64) * np.uint64(FACTOR))
+        self.steps = np.ones((2, 1), np.uint64)
+
+    def powers(self, n: int) -> np.ndarray:
+        """Of the factor and of its inverse, from 0 to ``n`` at least."""
+        if self.steps.shape[1] <= n:
             steps = np.full((2, 2 * n + 1), [[FACTOR], [INVERSE]], np.uint64)
             steps[:, 0] = 1
-            self.powers = np.multiply.accumulate(steps, 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hashes[which, places] * self.powers[0, :n], out=sums[1:])
-        return (sums[ends] - sums[starts]) * self.powers[1, starts]
+            self.steps = np.multiply.accumulate(steps, 1)
+        return self.steps
 
-    def both(self, places: np.ndarray, starts, ends) -> np.ndarray:
-        return np.stack([self.between(places, starts, ends, k) for k in (0, 1)], 1).view(np.int64)
 
-    def stretches(self, places: np.ndarray) -> np.ndarray:
-        """Both hashes of each stretch."""
-        n = max(0, len(places) - STRETCH + 1)
-        return self.both(places, slice(0, n), slice(STRETCH, STRETCH + n))
+class Words:
+    """Words from ``starts`` to ``ends``, two 64-bit hashes of each, and of any run of them."""
+
+    def __init__(self, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray, powers: np.ndarray):
+        self.starts, self.ends, self.powers = starts, ends, powers
+        one = _mixed((sums[ends] - sums[starts]) * powers[1, starts])
+        n = len(starts)
+        self.sums = np.zeros((2, n + 1), np.uint64)
+        for k, hashes in enumerate((one, _mixed(one + np.uint64(FACTOR)))):
+            np.cumsum(hashes * powers[0, :n], out=self.sums[k, 1:])
 
-    def shingles(self, places: np.ndarray) -> np.ndarray:
-        return self.between(places, slice(0, len(places) - SHINGLE + 1), slice(SHINGLE, None), 0)
+    def between(self, starts, ends, which: int) -> np.ndarray:
+        """Hash of the words of each range: equal words, equal hash."""
+        return (self.sums[which, ends] - self.sums[which, starts]) * self.powers[1, starts]
 
-    def anchors(self, places: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    def both(self, starts, ends) -> np.ndarray:
+        return np.stack([self.between(starts, ends, k) for k in (0, 1)], 1).view(np.int64)
+
+
+class Texts:
+    """Words, sentences and stretches of several texts, as arrays over all of them.
+
+    ``words`` are the stretches' words, ``bounds`` each text's first one. ``firsts`` and
+    ``lasts`` are the ranges of ``plain`` words (runs of letters in all scripts) of the
+    sentences that have any, ``sizes`` their lengths, ``digests`` their hashes, ``of`` their texts.
+    """
+
+    def __init__(self, said: list[str], rolling: Rolling | None = None):
+        self.rolling = rolling = kept_in_worker("passages", Rolling) if rolling is None else rolling
+        self.said = said
+        joined = "\n".join(said)
+        low = joined.lower()
+        if len(low) != len(joined):
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in joined)
+        codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(codes)
+        self.begins = np.concatenate([[0], np.cumsum([len(x) + 1 for x in said], dtype=np.int64)])
+        kinds, powers = rolling.kinds[codes], rolling.powers(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(rolling.hashes[codes] * powers[0, :n], out=sums[1:])
+        runs = lambda found: np.flatnonzero(np.diff(found, prepend=False, append=False)).reshape(-1, 2).T
+        alone = (kinds == LETTER_ALONE) | (kinds == MARK_ALONE)
+        self.plain = self.words = Words(*runs((kinds == LETTER) | (kinds == LETTER_ALONE)), sums, powers)
+        if alone.any():
+            (starts, ends), own = runs(kinds == LETTER), np.flatnonzero(alone)
+            starts, ends = np.append(starts, own), np.append(ends, own + 1)
+            order = np.argsort(starts)
+            self.words = Words(starts[order], ends[order], sums, powers)
+        self.bounds = np.searchsorted(self.words.starts, self.begins)
+        self.breaks = np.flatnonzero(kinds == END)
+        unit = np.searchsorted(self.breaks, self.plain.starts)
+        self.firsts = np.flatnonzero(np.diff(unit, prepend=-1))
+        self.lasts = np.append(self.firsts[1:], len(unit))[: len(self.firsts)]
+        self.sizes = self.lasts - self.firsts
+        self.digests = self.plain.both(self.firsts, self.lasts)
+        self.digests[:, 0] ^= SENTENCE.astype(np.int64)
+        self.of = np.searchsorted(self.begins, self.plain.starts[self.firsts], "right") - 1
+
+    def sentence_span(self, unit: int) -> tuple[int, int]:
+        """Where the sentence starts and ends in its text, white space around it left out."""
+        begin, text = int(self.begins[self.of[unit]]), self.said[self.of[unit]]
+        at = np.searchsorted(self.breaks, self.plain.starts[self.firsts[unit]])
+        start = max(int(self.breaks[at - 1]) + 1 - begin, 0) if at else 0
+        end = min(int(self.breaks[at]) - begin, len(text)) if at < len(self.breaks) else len(text)
+        end = MARKS(text, end).end()
+        bare = text[start:end]
+        return start + len(bare) - len(bare.lstrip()), start + len(bare.rstrip())
+
+    def starts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first word of every stretch, and its text."""
+        sizes = np.diff(self.bounds)
+        firsts = np.arange(max(0, len(self.words.starts) - STRETCH + 1))
+        of = np.repeat(np.arange(len(sizes)), sizes)[: len(firsts)]
+        inside = firsts + STRETCH <= self.bounds[1:][of]
+        return firsts[inside], of[inside]
+
+    def shingles(self) -> np.ndarray:
+        n = max(0, len(self.words.starts) - SHINGLE + 1)
+        return self.words.between(slice(0, n), slice(SHINGLE, SHINGLE + n), 0)
+
+    def anchors(self, shingles: np.ndarray) -> np.ndarray:
         """The least shingle of each stretch: equal stretches have equal ones."""
         least, have, size = shingles, 1, STRETCH - SHINGLE + 1
         while have < size:
@@ -89,36 +154,32 @@ class Rolling(dict):
             have += step
         return least.view(np.int64)
 
-    def chunks(self, places: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First stretches of the chunks and both hashes of all words of each chunk's stretches."""
-        n = len(places) - STRETCH + 1
-        cuts = np.flatnonzero(shingles[1:n] >> np.uint64(64 - CUT_BITS) == 0) + 1
-        starts = np.concatenate([[0], cuts])
-        return starts, self.both(places, starts, np.append(cuts, n) + STRETCH - 1)
+    def chunks(self, starts: np.ndarray, of: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the chunks' first stretches in ``starts``, and both hashes of all words of each chunk's stretches."""
+        cuts = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (shingles[starts] >> np.uint64(64 - CUT_BITS) == 0))
+        last = np.append(cuts[1:], len(starts))[: len(cuts)] - 1
+        return cuts, self.words.both(starts[cuts], starts[last] + STRETCH)
+
+    def hashes(self, starts: np.ndarray) -> np.ndarray:
+        """Both hashes of each stretch."""
+        return self.words.both(starts, starts + STRETCH)
 
 
 def sentences(text: str) -> list[tuple[int, int, int, bytes | None]]:
     """(start, end, words, digest) of each sentence of each line; white space around it is left out."""
-    found = []
-    for m in UNIT(text):
-        unit = m[0]
-        bare = unit.strip()
-        if not bare:
-            continue
-        start = m.start() + len(unit) - len(unit.lstrip())
-        plain = NOT_WORD(" ", bare.lower()).strip()
-        words = plain.count(" ") + 1 if plain else 0
-        digest = hashlib.blake2b(plain.encode(), digest_size=16).digest() if words >= LEAST_UNIT_WORDS else None
-        found.append((start, start + len(bare), words, digest))
-    return found
+    read = Texts([text])
+    return [
+        (*read.sentence_span(k), n, d.tobytes() if n >= LEAST_UNIT_WORDS else None)
+        for k, (n, d) in enumerate(zip(read.sizes.tolist(), read.digests, strict=True))
+    ]
 
 
-def stretches(text: str, rolling: Rolling | None = None) -> list[tuple[int, int, int, bytes]]:
+def stretches(text: str) -> list[tuple[int, int, int, bytes]]:
     """(start, end, words, digest) of each stretch: one begins at every word that has enough words after it."""
-    rolling = Rolling() if rolling is None else rolling
-    at = [m.span() for m in WORD.finditer(text)]
-    digests = rolling.stretches(rolling.places([text[a:b] for a, b in at])) if len(at) >= STRETCH else ()
-    return [(at[k][0], at[k + STRETCH - 1][1], STRETCH, d.tobytes()) for k, d in enumerate(digests)]
+    read = Texts([text])
+    starts, _ = read.starts()
+    where = zip(read.words.starts[starts].tolist(), read.words.ends[starts + STRETCH - 1].tolist(), read.hashes(starts), strict=True)
+    return [(a, b, STRETCH, d.tobytes()) for a, b, d in where]
 
 
 def units(text: str) -> list[tuple[int, int, int, bytes | None]]:
@@ -126,15 +187,43 @@ def units(text: str) -> list[tuple[int, int, int, bytes | None]]:
     return sentences(text) + stretches(text)
 
 
-def spans_to_remove(text: str, repeated: set[bytes], least_words: int = LEAST_WORDS, rolling: Rolling | None = None, whole: bool = True) -> list[tuple[int, int]]:
+def spans_to_remove(text: str, repeated: set[bytes], least_words: int = LEAST_WORDS, whole: bool = True) -> list[tuple[int, int]]:
     """Spans of what occurs in an earlier document or earlier in this one: runs of sentences and stretches.
 
     Spans with no word between them are one. A span that starts a line and ends one takes its
     line break with it. Without ``whole`` no stretch of the text is known to be repeated.
     """
-    found = repeated_runs(text, repeated, least_words)
-    if whole:
-        found = sorted(found + repeated_stretches(text, repeated, rolling))
+    return next(spans_of_texts([text], [np.frombuffer(b"".join(repeated), np.int64).reshape(-1, 2)], [whole], least_words))
+
+
+def spans_of_texts(said: list[str], repeated: list[np.ndarray], whole: list[bool], least_words: int) -> Iterator[list[tuple[int, int]]]:
+    """:func:`spans_to_remove` of several texts, read at once."""
+    read = Texts(said)
+    long = read.sizes >= LEAST_UNIT_WORDS
+    # Equal sentences of a text stand together here, in their order: all but the first are repeats.
+    order = np.lexsort((read.digests[:, 1], read.digests[:, 0], read.of))
+    same = (np.diff(read.digests[order], axis=0) == 0).all(1) & (np.diff(read.of[order]) == 0)
+    again = np.zeros(len(order), bool)
+    again[order[1:][same]] = True
+    unit_bounds = np.searchsorted(read.of, np.arange(len(said) + 1))
+    some = np.flatnonzero(np.asarray(whole, bool))
+    if len(some):
+        starts, of = read.starts()
+        shingles = read.shingles()
+        cuts, digests = read.chunks(starts, of, shingles)
+        bounds = np.searchsorted(of, np.arange(len(said) + 1))
+        cut_bounds = np.searchsorted(cuts, bounds)
+    for k, text in enumerate(said):
+        at = slice(unit_bounds[k], unit_bounds[k + 1])
+        found = repeated_runs(read, at, long[at] & (again[at] | held(read.digests[at], repeated[k])), long[at], least_words)
+        if whole[k]:
+            own = slice(cut_bounds[k], cut_bounds[k + 1])
+            covered = np.repeat(held(digests[own], repeated[k]), np.diff(np.append(cuts[own], bounds[k + 1])))
+            found = sorted(found + repeated_stretches(read, k, starts[bounds[k] : bounds[k + 1]], covered, repeated[k]))
+        yield joined_spans(text, found)
+
+
+def joined_spans(text: str, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     spans: list[list[int]] = []
     for start, end in found:
         if spans and not WORD.search(text, spans[-1][1], max(start, spans[-1][1])):
@@ -153,67 +242,56 @@ def spans_to_remove(text: str, repeated: set[bytes], least_words: int = LEAST_WO
 
 def held(digests: np.ndarray, repeated: np.ndarray) -> np.ndarray:
     """Which rows of ``digests`` are rows of ``repeated``."""
-    found = np.isin(digests[:, 0], repeated[:, 0])
-    if found.any():
+    if not len(repeated):
+        return np.zeros(len(digests), bool)
+    known = repeated[np.argsort(repeated[:, 0])]
+    at = np.minimum(np.searchsorted(known[:, 0], digests[:, 0]), len(known) - 1)
+    half = known[at, 0] == digests[:, 0]
+    found = half & (known[at, 1] == digests[:, 1])
+    unsure = np.flatnonzero(half & ~found)
+    if len(unsure):  # another row may have the same first half
         rows = set(map(tuple, repeated.tolist()))
-        at = np.flatnonzero(found)
-        found[at] = [tuple(x) in rows for x in digests[at].tolist()]
+        found[unsure] = [tuple(x) in rows for x in digests[unsure].tolist()]
     return found
 
 
-def covered(rolling: Rolling, places: np.ndarray, shingles: np.ndarray, repeated: np.ndarray) -> np.ndarray:
-    """Which stretches are in chunks that are in ``repeated``."""
-    starts, digests = rolling.chunks(places, shingles)
-    return np.repeat(held(digests, repeated), np.diff(np.append(starts, len(places) - STRETCH + 1)))
-
-
-def repeated_stretches(text: str, repeated: set[bytes], rolling: Rolling | None = None) -> list[tuple[int, int]]:
-    """Spans of the stretches that are in ``repeated``, alone or in a chunk, or repeat one that ends before them."""
-    rolling = Rolling() if rolling is None else rolling
-    places = rolling.places(WORD.findall(text))
-    if len(places) < STRETCH:
+def repeated_stretches(read: Texts, text: int, starts: np.ndarray, covered: np.ndarray, repeated: np.ndarray) -> list[tuple[int, int]]:
+    """Spans of the text's stretches that are ``covered`` by a chunk or in ``repeated``, or repeat one that ends before them."""
+    if not len(starts):
         return []
-    digests, known = rolling.stretches(places), _halves(list(repeated))
+    digests = read.hashes(starts)
     _, first, which = np.unique(digests[:, 0], return_index=True, return_inverse=True)
-    gone = held(digests, known) | covered(rolling, places, rolling.shingles(places), known) | (first[which] <= np.arange(len(digests)) - STRETCH)
-    starts = np.flatnonzero(gone)
-    if not len(starts):
+    gone = starts[held(digests, repeated) | covered | (first[which] <= np.arange(len(digests)) - STRETCH)]
+    if not len(gone):
         return []
-    at = [m.span() for m in WORD.finditer(text)]
-    cuts = np.flatnonzero(np.diff(starts) > STRETCH) + 1
-    return [(at[run[0]][0], at[run[-1] + STRETCH - 1][1]) for run in np.split(starts, cuts)]
+    cuts = np.flatnonzero(np.diff(gone) > STRETCH) + 1
+    begin = int(read.begins[text])
+    firsts, lasts = gone[np.append(0, cuts)], gone[np.append(cuts, len(gone)) - 1] + STRETCH - 1
+    return list(zip((read.words.starts[firsts] - begin).tolist(), (read.words.ends[lasts] - begin).tolist(), strict=True))
 
 
-def repeated_runs(text: str, repeated: set[bytes], least_words: int = LEAST_WORDS) -> list[tuple[int, int]]:
+def repeated_runs(read: Texts, at: slice, gone: np.ndarray, long: np.ndarray, least_words: int = LEAST_WORDS) -> list[tuple[int, int]]:
     """Spans of the runs of repeated sentences. Those without a digest belong to a run that goes on after them."""
-    found = sentences(text)
-    seen: set[bytes] = set()
-    gone = []
-    for *_, digest in found:
-        gone.append(None if digest is None else digest in repeated or digest in seen)
-        if digest is not None:
-            seen.add(digest)
+    if not gone.any():
+        return []
+    sizes, stays, gone = read.sizes[at].tolist(), (long & ~gone).tolist(), gone.tolist()
     spans, k = [], 0
-    while k < len(found):
-        if gone[k] is not True:
+    while k < len(gone):
+        if not gone[k]:
             k += 1
             continue
         last, j, words, tail = k, k, 0, 0
-        while j < len(found) and gone[j] is not False:
-            tail += found[j][2]
+        while j < len(gone) and not stays[j]:
+            tail += sizes[j]
             if gone[j]:
                 last, words, tail = j, words + tail, 0
             j += 1
         if words >= least_words:
-            spans.append((found[k][0], found[last][1]))
+            spans.append((read.sentence_span(at.start + k)[0], read.sentence_span(at.start + last)[1]))
         k = last + 1
     return spans
 
 
-def _halves(digests: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-
-
 def unit_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``h1``, ``h2``, ``doc_id``, ``whole``: a row for each distinct sentence, chunk and (without ``h2``) anchor of a document.
 
@@ -222,33 +300,35 @@ def unit_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("whole", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling()
         for batch in batches:
-            digests, owners, chunks, of_chunk, least, of_least, again = [], [], [], [], [], [], []
-            for doc, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = dict.fromkeys(d for *_, d in sentences(said) if d is not None)
-                digests += own
-                owners += [doc] * len(own)
-                places = rolling.places(WORD.findall(said))
-                if len(places) < STRETCH:
+            ids, at = batch.column(0).to_numpy(), 0
+            for said in by_bytes(batch.column(1).to_pylist(), READ):
+                own = ids[at : at + len(said)]
+                at += len(said)
+                read = Texts(said)
+                long = read.sizes >= LEAST_UNIT_WORDS
+                digests, of = read.digests[long], read.of[long]
+                order = np.lexsort((digests[:, 1], digests[:, 0], of))
+                new = np.ones(len(order), bool)
+                new[1:] = (np.diff(digests[order], axis=0) != 0).any(1) | (np.diff(of[order]) != 0)
+                order = order[new]
+                starts, of_start = read.starts()
+                shingles = read.shingles()
+                cuts, chunks = read.chunks(starts, of_start, shingles)
+                both = np.concatenate([digests[order], chunks])
+                owners = np.concatenate([of[order], of_start[cuts]])
+                yield to_batch(schema, [both[:, 0].copy(), both[:, 1].copy(), own[owners], np.arange(len(both)) >= len(order)])
+                if not len(starts):
                     continue
-                shingles = rolling.shingles(places)
-                chunks.append(rolling.chunks(places, shingles)[1])
-                of_chunk += [doc] * len(chunks[-1])
-                all_of = rolling.anchors(places, shingles)
                 # Neighbours share their anchor mostly: only where it changes, its run's first and last stretch count.
-                turns = np.flatnonzero(np.diff(all_of)) + 1
-                begins, ends = np.append(0, turns), np.append(turns, len(all_of)) - 1
-                some, first, which = np.unique(all_of[begins], return_index=True, return_inverse=True)
-                last = np.zeros(len(some), np.int64)
-                np.maximum.at(last, which, ends)
-                least.append(some)
-                of_least += [doc] * len(some)
-                again.append(last - begins[first] >= STRETCH)
-            both = np.concatenate([_halves(digests), *chunks])
-            yield to_batch(schema, [both[:, 0].copy(), both[:, 1].copy(), owners + of_chunk, np.arange(len(both)) >= len(owners)])
-            if least:
-                yield to_batch(schema, [np.concatenate(least), pa.nulls(len(of_least), pa.int64()), of_least, np.concatenate(again)])
+                all_of = read.anchors(shingles)[starts]
+                begins = np.flatnonzero((np.diff(of_start, prepend=-1) != 0) | np.append(True, np.diff(all_of) != 0))
+                ends = np.append(begins[1:], len(starts)) - 1
+                order = np.lexsort((all_of[begins], of_start[begins]))
+                some, owners = all_of[begins][order], of_start[begins][order]
+                first = np.flatnonzero(np.append(True, (np.diff(some) != 0) | (np.diff(owners) != 0)))
+                again = np.maximum.reduceat(ends[order], first) - begins[order][first] >= STRETCH
+                yield to_batch(schema, [some[first], pa.nulls(len(first), pa.int64()), own[owners[first]], again])
 
     return texts(docs.where(F.col(f"`{key}`").isNotNull()), key=key, text=text).mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint, whole boolean")
 
@@ -264,19 +344,27 @@ def stretch_rows(docs: DataFrame, near: DataFrame, key: str = "doc_id", text: st
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling()
         for batch in batches:
-            for k, (doc, said) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                places = rolling.places(WORD.findall(said))
-                if len(places) < STRETCH:
-                    continue
-                shingles = rolling.shingles(places)
-                kept = np.isin(rolling.anchors(places, shingles), batch.column(2)[k].values.to_numpy())
-                if batch.column(3)[k].is_valid:
-                    kept &= ~covered(rolling, places, shingles, np.stack([batch.column(c)[k].values.to_numpy() for c in (3, 4)], 1))
-                own = rolling.stretches(places)[kept]
-                own = own[np.unique(own[:, 0], return_index=True)[1]]
-                yield to_batch(schema, [own[:, 0].copy(), own[:, 1].copy(), np.full(len(own), doc)])
+            ids, row = batch.column(0).to_numpy(), 0
+            for said in by_bytes(batch.column(1).to_pylist(), READ):
+                read = Texts(said)
+                starts, of = read.starts()
+                shingles = read.shingles()
+                anchors = read.anchors(shingles)[starts] if len(starts) else starts
+                cuts, digests = read.chunks(starts, of, shingles)
+                bounds = np.searchsorted(of, np.arange(len(said) + 1))
+                cut_bounds = np.searchsorted(cuts, bounds)
+                for k in range(len(said)):
+                    mine = slice(bounds[k], bounds[k + 1])
+                    kept = np.isin(anchors[mine], batch.column(2)[row].values.to_numpy())
+                    if batch.column(3)[row].is_valid:
+                        chunk = slice(cut_bounds[k], cut_bounds[k + 1])
+                        known = np.stack([batch.column(c)[row].values.to_numpy() for c in (3, 4)], 1)
+                        kept &= ~np.repeat(held(digests[chunk], known), np.diff(np.append(cuts[chunk], bounds[k + 1])))
+                    own = read.hashes(starts[mine][kept])
+                    own = own[np.unique(own[:, 0], return_index=True)[1]]
+                    yield to_batch(schema, [own[:, 0].copy(), own[:, 1].copy(), np.full(len(own), ids[row])])
+                    row += 1
 
     said = texts(docs.where(F.col(f"`{key}`").isNotNull()), key=key, text=text).where(F.octet_length("text") >= STRETCH)
     met = said.join(near, "doc_id").select("doc_id", "text", "anchors", "h.h1", "h.h2")
@@ -296,14 +384,18 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "
     frequent digest may be split by Spark. Rows with equal ids are one document. NULL and
     empty texts have no units. Rows without an id neither lend nor lose units to others.
     """
-    found = checkpointed(unit_rows(docs, key, text))
+    # Tables no later step reads are dropped at once, so they don't lie beside the last join's texts.
+    first, second, kept = (Staging(docs.sparkSession) for _ in range(3))
+    found = first(unit_rows(docs, key, text))
     later = lambda rows, whole: _shared(rows, "h1", "h2").where("doc_id > first").select("doc_id", F.struct("h1", "h2").alias("h"), whole.alias("whole"))
-    known = checkpointed(later(found.where("h2 is not null"), F.col("whole")))
+    known = second(later(found.where("h2 is not null"), F.col("whole")))
     near = _shared(found.where("h2 is null").select("h1", "doc_id"), "h1").groupBy("doc_id").agg(F.collect_set("h1").alias("anchors"))
     near = near.join(known.where("whole").groupBy("doc_id").agg(F.collect_set("h").alias("h")), "doc_id", "left")
-    alike = checkpointed(stretch_rows(docs, near, key, text))
-    again = found.where("h2 is null and whole").select("doc_id", F.lit(None).cast("struct<h1:bigint,h2:bigint>"), F.lit(True)).distinct()
-    lost = known.union(later(alike, F.lit(True))).union(again).groupBy("doc_id").agg(F.collect_set("h").alias("repeated"), F.max("whole").alias("whole"))
+    alike = second(stretch_rows(docs, near, key, text))
+    again = second(found.where("h2 is null and whole").select("doc_id", F.lit(None).cast("struct<h1:bigint,h2:bigint>").alias("h"), F.lit(True).alias("whole")).distinct())
+    first.clear()
+    lost = kept(known.union(later(alike, F.lit(True))).union(again).groupBy("doc_id").agg(F.collect_set("h").alias("repeated"), F.max("whole").alias("whole")))
+    second.clear()
     packed = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("said"), whole_rows(docs))
     met = packed.join(lost, "doc_id", "left")
     removed = _removed(F.col("said"), F.col("repeated.h1"), F.col("repeated.h2"), F.col("doc_id").isNull() | F.coalesce("whole", F.lit(False)), least_words)
@@ -320,13 +412,12 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS, key: str = "
 def _removed(said, h1, h2, whole, least_words: int):
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def spans(said: pd.Series, h1: pd.Series, h2: pd.Series, whole: pd.Series) -> pd.Series:
-        out, rolling = [], Rolling()
-        for text, a, b, some in zip(said, h1, h2, whole, strict=True):
-            repeated = set()
-            if a is not None:
-                both = np.stack([np.asarray(a, np.int64), np.asarray(b, np.int64)], 1)
-                repeated = {row.tobytes() for row in both}
-            out.append([{"start": x, "end": y} for x, y in spans_to_remove(text, repeated, least_words, rolling, some)])
+        out, none = [], np.zeros((0, 2), np.int64)
+        repeated = [none if a is None else np.stack([np.asarray(a, np.int64), np.asarray(b, np.int64)], 1) for a, b in zip(h1, h2, strict=True)]
+        some = whole.tolist()
+        for part in by_bytes(said.tolist(), READ):
+            at = slice(len(out), len(out) + len(part))
+            out += [[{"start": x, "end": y} for x, y in found] for found in spans_of_texts(part, repeated[at], some[at], least_words)]
         return pd.Series(out)
 
     return spans(said, h1, h2, whole)
