@@ -47,6 +47,8 @@ def words_of(text: str) -> list[bytes]:
 
 
 def rare_class(word: bytes) -> int:
+    if word[-2:].isalnum():  # ASCII: nothing to decode or to strip
+        return zlib.crc32(word[-2:]) % RARE_CLASSES
     letters = word[-24:].decode("utf-8", "ignore").rstrip(".,;:!?\"')]")
     return zlib.crc32(letters[-2:].encode()) % RARE_CLASSES
 
@@ -202,18 +204,23 @@ def first_weights(vocabulary: Vocabulary, seed: int = 5) -> np.ndarray:
     return flat(weights)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 def _step(gates: np.ndarray, h: np.ndarray, recurrent: np.ndarray):
     """One step: new state, update and reset gates, candidate and its recurrent part."""
     a = h @ recurrent
-    zr = _sigmoid(gates[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
+    zr = gates[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]
+    zr *= 0.5  # the logistic function, as 0.5 * tanh(0.5 * x) + 0.5
+    np.tanh(zr, out=zr)
+    zr *= 0.5
+    zr += 0.5
     z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
     back = a[:, 2 * HIDDEN :]
-    n = np.tanh(gates[:, 2 * HIDDEN :] + r * back)
-    return n + z * (h - n), z, r, n, back
+    n = r * back
+    n += gates[:, 2 * HIDDEN :]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, z, r, n, back
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -245,7 +252,9 @@ def log_probabilities(weights: dict, states: np.ndarray, tokens: np.ndarray) ->
     kind = _class_of(tokens)
     out = _log_share(states @ weights["to_class"] + weights["class_bias"], kind)
     for k, at in _by_class(kind):
-        out[at] += _log_share(states[at] @ weights["to_word"][k] + weights["word_bias"][k], tokens[at] - k * CLASS_WORDS)
+        words = states.take(at, 0) @ weights["to_word"][k]
+        words += weights["word_bias"][k]
+        out[at] += _log_share(words, tokens[at] - k * CLASS_WORDS)
     return out
 
 
@@ -256,14 +265,16 @@ def gradients(weights: dict, before: np.ndarray, tokens: np.ndarray, h: np.ndarr
     document there, with an empty state.
     """
     steps, streams = tokens.shape
-    gates, start = weights["inputs"][before], before == END
-    kept, states = [], np.empty((steps, streams, HIDDEN), np.float32)
+    gates, start = weights["inputs"].take(before, 0), before == END
+    starts = start.any(1).tolist()
+    states, kept = np.empty((steps, streams, HIDDEN), np.float32), np.empty((5, steps, streams, HIDDEN), h.dtype)
     for t in range(steps):
-        h = h.copy()
-        h[start[t]] = 0
-        new, z, r, n, back = _step(gates[t], h, weights["recurrent"])
-        kept.append((h, z, r, n, back))
-        states[t] = h = new
+        if starts[t]:
+            h = h.copy()
+            h[start[t]] = 0
+        kept[0, t] = h
+        states[t], kept[1, t], kept[2, t], kept[3, t], kept[4, t] = step = _step(gates[t], h, weights["recurrent"])
+        h = step[0]
     flat_states, flat_tokens = states.reshape(-1, HIDDEN), tokens.ravel()
     kind = _class_of(flat_tokens)
     rows = np.arange(len(kind))
@@ -273,29 +284,44 @@ def gradients(weights: dict, before: np.ndarray, tokens: np.ndarray, h: np.ndarr
     grad["to_class"], grad["class_bias"] = flat_states.T @ p, p.sum(0)
     down = p @ weights["to_class"].T
     for k, at in _by_class(kind):
-        mine = flat_states[at]
-        p = _softmax(mine @ weights["to_word"][k] + weights["word_bias"][k])
+        mine = flat_states.take(at, 0)
+        p = mine @ weights["to_word"][k]
+        p += weights["word_bias"][k]
+        p = _softmax(p)
         p[np.arange(len(at)), flat_tokens[at] - k * CLASS_WORDS] -= 1
         grad["to_word"][k], grad["word_bias"][k] = mine.T @ p, p.sum(0)
         down[at] += p @ weights["to_word"][k].T
     down = down.reshape(steps, streams, HIDDEN)
     later = np.zeros((streams, HIDDEN), np.float32)
     into = np.empty((steps, streams, 3 * HIDDEN), np.float32)
+    was, z, r, n, back = kept
+    # What doesn't depend on later steps, for all steps at once.
+    apart, not_z, not_r, slope = was - n, 1 - z, 1 - r, 1 - n * n
+    through, turned = np.empty((streams, 3 * HIDDEN), h.dtype), weights["recurrent"].T
+    dz, dr, dnr = (through[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
     for t in reversed(range(steps)):
-        was, z, r, n, back = kept[t]
         dh = down[t] + later
-        dn = dh * (1 - z) * (1 - n * n)
-        into[t, :, :HIDDEN] = dz = dh * (was - n) * z * (1 - z)
-        into[t, :, HIDDEN : 2 * HIDDEN] = dr = dn * back * r * (1 - r)
+        dn = dh * not_z[t]
+        dn *= slope[t]
+        np.multiply(dh, apart[t], out=dz)
+        dz *= z[t]
+        dz *= not_z[t]
+        np.multiply(dn, back[t], out=dr)
+        dr *= r[t]
+        dr *= not_r[t]
+        np.multiply(dn, r[t], out=dnr)
+        into[t, :, : 2 * HIDDEN] = through[:, : 2 * HIDDEN]
         into[t, :, 2 * HIDDEN :] = dn
-        through = np.concatenate([dz, dr, dn * r], 1)
-        grad["recurrent"] += was.T @ through
-        later = dh * z + through @ weights["recurrent"].T
-        later[start[t]] = 0
+        grad["recurrent"] += was[t].T @ through
+        dh *= z[t]
+        dh += through @ turned
+        later = dh
+        if starts[t]:
+            later[start[t]] = 0
     order = np.argsort(before.ravel(), kind="stable")
     used = before.ravel()[order]
     first = np.flatnonzero(np.concatenate([[True], used[1:] != used[:-1]]))
-    grad["inputs"][used[first]] = np.add.reduceat(into.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+    grad["inputs"][used[first]] = np.add.reduceat(into.reshape(-1, 3 * HIDDEN).take(order, 0), first, axis=0)
     return grad, h
 
 
@@ -405,11 +431,12 @@ def score_documents(weights: dict, docs: list[np.ndarray], streams: int = SCORE_
     for at in range(0, len(tokens), steps):
         live = int((lengths > at).sum())  # streams are sorted by length
         part = tokens[at : at + steps, :live]
-        gates, start = weights["inputs"][before[at : at + steps, :live]], before[at : at + steps, :live] == END
+        gates, start = weights["inputs"].take(before[at : at + steps, :live], 0), before[at : at + steps, :live] == END
         states = np.empty((*part.shape, HIDDEN), np.float32)
-        h = h[:live].copy()
+        h, starts = h[:live].copy(), start.any(1).tolist()
         for t in range(len(part)):
-            h[start[t]] = 0
+            if starts[t]:
+                h[start[t]] = 0
             h = _step(gates[t], h, weights["recurrent"])[0]
             states[t] = h
         logs[at : at + steps, :live] = log_probabilities(weights, states.reshape(-1, HIDDEN), part.ravel()).reshape(part.shape)
@@ -453,15 +480,21 @@ def score_texts(docs: DataFrame, training: Column, key: str = "doc_id", text: st
         def out() -> pa.RecordBatch:
             logs = score_documents(weights, [row[-1] for row in held]) / np.log(10)
             cols = list(zip(*(row[:-1] for row in held), strict=True))
-            return to_batch(schema, [*cols[:6], np.array(cols[6]) + logs, pa.array(cols[7], other)])
+            rest = [Counter(words) for words in cols[7]]
+            words = [w for own in rest for w in own]
+            each = pa.StructArray.from_arrays(
+                [pa.array(words, pa.binary()), pa.array(list(map(rare_class, words)), pa.int32()), pa.array([n for own in rest for n in own.values()], pa.int64())],
+                fields=list(other.value_type),
+            )
+            ends = np.cumsum([0, *map(len, rest)]).astype(np.int32)
+            return to_batch(schema, [*cols[:6], np.array(cols[6]) + logs, pa.ListArray.from_arrays(pa.array(ends), each, type=other)])
 
         for batch in batches:
             for doc, text_, one, two in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 ids, place, rest = v.tokens(text_)
                 seen = place[place >= 0]
-                more = [{"word": w, "k": rare_class(w), "n": n} for w, n in Counter(rest).items()]
                 n_known = len(seen) - (not v.end_known)
-                held.append((doc, one, two, len(ids), n_known, float(v.base[seen].sum()), float(v.inside[seen].sum()), more, ids))
+                held.append((doc, one, two, len(ids), n_known, float(v.base[seen].sum()), float(v.inside[seen].sum()), rest, ids))
                 size += len(ids)
                 if size > CHUNK_TOKENS:
                     yield out()
