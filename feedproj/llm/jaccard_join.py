@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from feedproj.llm.common import Groups, components, texts, to_batch, unpacked, whole_rows
 from feedproj.llm.lattice_dedup import runs_of
-from feedproj.session import checkpointed
+from feedproj.session import Staging, checkpointed
 
 #: Counters of the shingle frequency sketch, in blocks. Its size is fixed; it only orders shingles.
 COUNTERS, COUNTER_BLOCK = 1 << 22, 1 << 14
@@ -340,7 +340,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(100 * both >= percent * (F.size("in_a") + F.size("in_b") - both)).select("a", "b")
 
 
-def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", steps: Staging | None = None) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` of every row: its set's size and the smallest id reachable by links.
 
     Words are runs of anything but space, tab and line ends, A-Z lower-cased. A set has the
@@ -356,19 +356,25 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, key: str =
 
     NULL, empty and blank texts have no set and link with nothing. Repeated rows and rows with
     equal ids are one document; rows with a NULL id take no part (``component_id`` NULL).
+    ``steps`` holds the tables that the result is read from; it may be cleared once that is written.
     """
+    steps = Staging(docs.sparkSession) if steps is None else steps
     said = texts(docs, key=key, text=text)
     ranks = common_counts(said, size)
-    signed = checkpointed(signatures(said, ranks, size, percent))
-    reps = checkpointed(signed.where("n > 0 and doc_id is not null").groupBy("class_1", "class_2").agg(
+    # Prefixes and bitmaps are kept once, with the classes: the table of all documents that has them goes.
+    wide = Staging(docs.sparkSession)
+    every = wide(signatures(said, ranks, size, percent))
+    signed = steps(every.drop("prefix", "bits"))
+    reps = steps(every.where("n > 0 and doc_id is not null").groupBy("class_1", "class_2").agg(
         F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits")]
     ))
-    lists = checkpointed(index_lists(reps, percent))
+    wide.clear()
+    lists = steps(index_lists(reps, percent))
     # A set's shared shingles, rarest first: its prefix has them in that order.
     start = lists.groupBy("rep").agg(F.collect_list("token").alias("tokens")).join(reps.select("rep", "prefix"), "rep").select(
         "rep", F.explode(F.slice(F.array_intersect("prefix", "tokens"), 1, FIRST_LISTS)).alias("token"), F.col("rep").alias("lead")
     )
-    first = checkpointed(_pairs(start, reps, percent, whole=False))
+    first = steps(_pairs(start, reps, percent, whole=False))
 
     hashed = pa.schema([("class_1", pa.int64()), ("class_2", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
@@ -386,11 +392,11 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, key: str =
         return said.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(whole_sets, "class_1 bigint, class_2 bigint, shingles array<bigint>").dropDuplicates(["class_1", "class_2"])
 
     ids = lambda pairs: pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = checkpointed(sets_of(ids(first)))
-    links = checkpointed(_links(first.where("a <> b"), sets, percent))
-    lead = checkpointed(components(links))
+    sets = steps(sets_of(ids(first)))
+    links = steps(_links(first.where("a <> b"), sets, percent))
+    lead = steps(components(links))
     known = lists.join(lead.withColumnRenamed("id", "rep"), "rep", "left").select("token", "rep", F.coalesce("component_id", "rep").alias("lead"))
-    second = checkpointed(_pairs(known, reps, percent, whole=True))
+    second = steps(_pairs(known, reps, percent, whole=True))
     new = ids(second).join(ids(first), "doc_id", "left_anti")
     more = sets.union(sets_of(new)).dropDuplicates(["class_1", "class_2"])
     links = links.union(_links(second, more, percent))
@@ -406,7 +412,9 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, key: str =
 
 def filtered(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest id; rows without an id stay."""
-    keep = link_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
+    steps = Staging(docs.sparkSession)
+    keep = checkpointed(link_documents(docs, steps=steps).where("doc_id = component_id").select("doc_id").distinct())
+    steps.clear()
     rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("other"), whole_rows(docs))
     # Repeated rows of the document that stays go as well. Of unlike texts with one id that with
     # the least hash stays, and of its rows the one with the least hash of all columns: no order decides.

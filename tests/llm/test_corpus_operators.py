@@ -10,9 +10,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers as tokens
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from feedproj import session
 from feedproj.llm import (
     byte_bpe,
     chat_format,
@@ -311,6 +313,52 @@ def test_passages_whatever_their_borders(spark):
     assert out[20] == "between last" and out[21] == rows[7][1] and out[None] == f"{prose} between "
 
 
+def test_passages_read_together_as_alone():
+    """Texts read at once give the spans that each gives alone, in all scripts and whatever ends them."""
+    prose = " ".join(f"Word{k * k % 971}" for k in range(70))
+    said = [
+        "", prose, "x." + prose, "\n. One two three! One two three?\n", "İstanbul ΟΔΟΣ end " + prose.lower(), "漢字かなab" * 20, "no end", "",
+        " ".join(["the same eight words are said once more."] * 7), prose + "\n\n" + prose.upper() + " \ttail",
+    ]
+    known = [d for t in said[1:2] + said[5:6] for *_, d in passage_dedup.units(t) if d is not None]
+    digests = np.frombuffer(b"".join(known), np.int64).reshape(-1, 2)
+    n = len(said)
+    together = list(passage_dedup.spans_of_texts(said, [digests] * n, [True] * n, 25))
+    assert together == [passage_dedup.spans_to_remove(t, set(known)) for t in said]
+    assert [bool(x) for x in together] == [False, True, True, False, True, True, False, False, True, True]
+    assert passage_dedup.sentences(said[3]) == [(3, 17, 3, d := passage_dedup.sentences(said[3])[0][3]), (18, 32, 3, d)] and d
+    half = digests.copy()
+    half[:, 1] += 1
+    assert not passage_dedup.held(digests, half).any() and passage_dedup.held(digests, np.concatenate([half, digests])).all()
+
+
+def staged_columns(tmp_path):
+    """The columns of each table in the shared folder."""
+    return {f.parent: set(pq.read_schema(f).names) for f in tmp_path.glob("staged/**/*.parquet")}
+
+
+def test_tables_no_later_step_reads_are_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    prose = " ".join(f"word{k * k % 971}" for k in range(60))
+    docs = spark.createDataFrame([(1, prose), (2, "own " + prose), (3, "a b c"), (4, prose)], "doc_id bigint, text string")
+    found = passage_dedup.remove_repeats(docs)
+    assert list(staged_columns(tmp_path).values()) == [{"doc_id", "repeated", "whole"}]
+    assert {r["row"]["doc_id"]: r["kept_text"] for r in found.collect()} == {1: prose, 2: "own ", 3: "a b c", 4: ""}
+
+
+def test_near_copies_drop_prefixes_and_bitmaps(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    prose = " ".join(f"word{k * k % 971}" for k in range(60))
+    docs = spark.createDataFrame([(1, prose), (2, prose + " end"), (3, "a b c"), (None, prose)], "doc_id bigint, text string")
+    link = jaccard_join.link_documents(docs)
+    assert sum("prefix" in x for x in staged_columns(tmp_path).values()) == 1  # that of the classes
+    assert {(r["doc_id"], r["component_id"]) for r in link.collect()} == {(1, 1), (2, 1), (3, 3), (None, None)}
+    before = staged_columns(tmp_path)
+    kept = jaccard_join.filtered(docs)
+    assert not any(x & {"prefix", "bits", "shingles", "token"} for d, x in staged_columns(tmp_path).items() if d not in before)
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 3]
+
+
 # --- embeddings ---------------------------------------------------------------------------
 
 
