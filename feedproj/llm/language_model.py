@@ -5,12 +5,11 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,43 +32,103 @@ MOST_WEIGHT, MOST_BIAS = 3.0, 8.0
 ROUNDS = ((0, 2), (2, 8), (8, 32))
 #: Tokens laid side by side at a time, and streams in scoring.
 CHUNK_TOKENS, SCORE_STREAMS, SCORE_STEPS = 600_000, 256, 32
-#: Distinct words counted in a worker before the counts are passed on.
-COUNTED_WORDS = 400_000
+#: Words counted in a worker before the counts are passed on, and bytes of texts that are read at once.
+COUNTED_WORDS, READ_BYTES = 4_000_000, 4_000_000
 WEIGHT_CHUNK = 1024
+#: What a word's last letters stand before.
+AFTER_WORD = b".,;:!?\"')]"
 
 OWN = CLASSES * CLASS_WORDS
 END = 0
 
 
-def words_of(text: str) -> list[bytes]:
-    """Words, A-Z lower-cased. On bytes, split() takes exactly space and 09-0D for white space."""
-    return text.encode().lower().split()
+def runs_of(batches: Iterator[pa.RecordBatch], most: int = READ_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of ``text``, or of one longer text."""
+    held, size = [], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    for batch in batches:
+        upto = np.cumsum(pc.binary_length(batch.column(1)).to_numpy() + np.int64(1))
+        at = 0
+        while at < len(upto):
+            before = int(upto[at - 1]) if at else 0
+            end = int(np.searchsorted(upto, before + most - size, "right"))
+            if end <= at and held:
+                yield from out()
+                held, size = [], 0
+                continue
+            end = max(end, at + 1)
+            held.append(batch.slice(at, end - at))
+            size, at = size + int(upto[end - 1]) - before, end
+    if held:
+        yield from out()
+
+
+def words_in(said: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All texts' words as bytes, A-Z lower-cased, text after text, and how many each text has.
+
+    Arrow's ASCII white space is exactly space and 09-0D.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(said))
+    words, sizes = split.flatten().cast(pa.binary()), split.value_lengths().to_numpy()
+    full = pc.binary_length(words).to_numpy() > 0  # white space at a text's ends leaves an empty word
+    if not full.all():
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[full], minlength=len(sizes))
+        words = words.filter(pa.array(full))
+    return words, sizes
 
 
 def rare_class(word: bytes) -> int:
     if word[-2:].isalnum():  # ASCII: nothing to decode or to strip
         return zlib.crc32(word[-2:]) % RARE_CLASSES
-    letters = word[-24:].decode("utf-8", "ignore").rstrip(".,;:!?\"')]")
+    letters = word[-24:].decode("utf-8", "ignore").rstrip(AFTER_WORD.decode())
     return zlib.crc32(letters[-2:].encode()) % RARE_CLASSES
 
 
+def classes_by_ending() -> np.ndarray:
+    """The rare class by a word's last two bytes (256 * the one + the other), -1 where ``rare_class`` reads other bytes."""
+    two = [bytes(divmod(k, 256)) for k in range(1 << 16)]
+    return np.array([zlib.crc32(x) % RARE_CLASSES if x.isascii() and x[1] not in AFTER_WORD else -1 for x in two], np.int16)
+
+
+def rare_classes(words: pa.Array, by_ending: np.ndarray) -> np.ndarray:
+    """``rare_class`` of every word."""
+    out = np.full(len(words), -1, np.int16)
+    if len(words) and words.buffers()[2]:
+        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+        letters, marks = np.frombuffer(words.buffers()[2], np.uint8), np.zeros(256, bool)
+        marks[list(AFTER_WORD)] = True
+        start, end = ends[:-1], ends[1:].copy()
+        for _ in range(4):
+            end -= marks[letters[end - 1]] & (end > start)
+        two = np.flatnonzero(end - start > 1)
+        out[two] = by_ending[letters[end[two] - 2].astype(np.int64) * 256 + letters[end[two] - 1]]
+    rest = np.flatnonzero(out < 0)
+    out[rest] = [rare_class(w) for w in words.take(pa.array(rest)).to_pylist()]
+    return out
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """``word`` (bytes), ``c``: how often each word occurs, summed in the workers first. The empty word counts texts' ends."""
     schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
 
-    def out(counts: Counter) -> pa.RecordBatch:
-        return to_batch(schema, [pa.array(list(counts), pa.binary()), list(counts.values())])
+    def out(held: list[pa.Array], ends: int) -> pa.RecordBatch:
+        counts = pa.chunked_array(held, pa.binary()).value_counts()
+        return to_batch(schema, [
+            pa.concat_arrays([counts.field(0), pa.array([b""], pa.binary())]), pa.concat_arrays([counts.field(1), pa.array([ends], pa.int64())]),
+        ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for said in batch.column(1).to_pylist():
-                counts.update(words_of(said))
-            counts[b""] += batch.num_rows
-            if len(counts) > COUNTED_WORDS:
-                yield out(counts)
-                counts = Counter()
-        yield out(counts)
+        held, size, ends = [], 0, 0
+        for batch in runs_of(batches):
+            held.append(words_in(batch.column(1))[0])
+            size, ends = size + len(held[-1]), ends + batch.num_rows
+            if size > COUNTED_WORDS:
+                yield out(held, ends)
+                held, size, ends = [], 0, 0
+        yield out(held, ends)
 
     return docs.mapInArrow(run, "word binary, c bigint").where("c > 0").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -79,7 +138,7 @@ class Vocabulary:
 
     def __init__(self, top: list[tuple[bytes, int]], ends: int, total: int, distinct: int, rare: dict[int, tuple[int, int]]):
         self.total, self.distinct = total, distinct
-        self.place = {w: k for k, (w, _) in enumerate(top)}
+        self.words, self.by_ending = pa.array([w for w, _ in top], pa.binary()), classes_by_ending()
         counts = np.array([c for _, c in top] + [ends], np.float64)
         below = total + 0.5 * (distinct + 1)
         self.base = np.log10((counts + 0.5) / below)
@@ -106,17 +165,26 @@ class Vocabulary:
         made.__dict__.update(state)
         return made
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Model ids (END last), places (-1: not among the frequent words), and the words without a place."""
-        words = words_of(text)
-        place = np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
-        place = np.append(place, len(self.model) - 1)
+    def read(self, said: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Of all texts together: model ids (END after each text), tokens of each text, places (-1: not
+        among the frequent words), and the words without a place with their rare classes."""
+        words, sizes = words_in(said)
+        sizes = sizes + 1
+        inner = np.ones(len(words) + len(sizes), bool)
+        inner[np.cumsum(sizes) - 1] = False
+        place = np.full(len(inner), len(self.model) - 1, np.int32)
+        found = pc.index_in(words, value_set=self.words)
+        place[inner] = found.fill_null(-1).to_numpy()
+        other = words.filter(found.is_null())
+        kinds = rare_classes(other, self.by_ending)
         ids = self.model[place]
-        gone = np.flatnonzero(place < 0)
-        other = [words[k] for k in gone.tolist()]
-        if other:
-            ids[gone] = [OWN + rare_class(w) for w in other]
-        return ids, place, other
+        ids[place < 0] = OWN + kinds
+        return ids, sizes, place, other, kinds
+
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """One text's model ids, places, and words without a place."""
+        ids, _, place, other, _ = self.read(pa.array([text], pa.string()))
+        return ids, place, other.to_pylist()
 
 
 def frequent_words(counts: DataFrame) -> DataFrame:
@@ -150,15 +218,16 @@ def learn_vocabulary(counts: DataFrame) -> Vocabulary:
     ).first()
     found = frequent_words(counts).collect()
     top = sorted(((bytes(r["word"]), r["c"]) for r in found), key=lambda x: (-x[1], x[0]))
-    own = counts.sparkSession.sparkContext.broadcast({w for w, _ in top[: OWN - 1]})
+    own, by_ending = pa.array([w for w, _ in top[: OWN - 1]] + [b""], pa.binary()), classes_by_ending()
     schema = pa.schema([("k", pa.int32()), ("n", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, RARE_CLASSES), np.int64)
         for batch in batches:
-            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if word and word not in own.value:
-                    sums[:, rare_class(word)] += (c, 1)
+            far = pc.invert(pc.is_in(batch.column(0), value_set=own))
+            kinds = rare_classes(batch.column(0).filter(far), by_ending)
+            np.add.at(sums[0], kinds, batch.column(1).filter(far).to_numpy())
+            sums[1] += np.bincount(kinds, minlength=RARE_CLASSES)
         yield to_batch(schema, [list(range(RARE_CLASSES)), sums[0], sums[1]])
 
     by_class = counts.mapInArrow(run, "k int, n bigint, v bigint").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
@@ -204,9 +273,14 @@ def first_weights(vocabulary: Vocabulary, seed: int = 5) -> np.ndarray:
     return flat(weights)
 
 
+def _columns(x: np.ndarray) -> np.ndarray:
+    """The same array with each column of its last two axes in one piece: a step's gates are then whole blocks of memory."""
+    return np.ascontiguousarray(x.swapaxes(-1, -2)).swapaxes(-1, -2)
+
+
 def _step(gates: np.ndarray, h: np.ndarray, recurrent: np.ndarray):
     """One step: new state, update and reset gates, candidate and its recurrent part."""
-    a = h @ recurrent
+    a = np.matmul(h, recurrent, out=np.empty_like(gates, np.result_type(h, recurrent)))  # laid out as the gates are
     zr = gates[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]
     zr *= 0.5  # the logistic function, as 0.5 * tanh(0.5 * x) + 0.5
     np.tanh(zr, out=zr)
@@ -239,22 +313,27 @@ def _class_of(tokens: np.ndarray) -> np.ndarray:
     return np.where(tokens < OWN, tokens // CLASS_WORDS, CLASSES + tokens - OWN).astype(np.int16)
 
 
-def _by_class(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _by_class(kind: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """The tokens with a word of their own, class after class, and each class's stretch of them."""
     order = np.argsort(kind, kind="stable")
-    cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        if cuts[k] < cuts[k + 1]:
-            yield k, order[cuts[k] : cuts[k + 1]]
+    cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
+    return order[: cuts[-1]], [(k, slice(*cuts[k : k + 2])) for k in range(CLASSES) if cuts[k] < cuts[k + 1]]
+
+
+def _word_logits(weights: dict, states: np.ndarray, classes: list[tuple[int, slice]]) -> np.ndarray:
+    out = np.empty((len(states), CLASS_WORDS), np.result_type(states, weights["to_word"]))
+    for k, at in classes:
+        np.matmul(states[at], weights["to_word"][k], out=out[at])
+        out[at] += weights["word_bias"][k]
+    return out
 
 
 def log_probabilities(weights: dict, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Natural log probability of each token's class and, for words of their own, of the word in it."""
     kind = _class_of(tokens)
     out = _log_share(states @ weights["to_class"] + weights["class_bias"], kind)
-    for k, at in _by_class(kind):
-        words = states.take(at, 0) @ weights["to_word"][k]
-        words += weights["word_bias"][k]
-        out[at] += _log_share(words, tokens[at] - k * CLASS_WORDS)
+    own, classes = _by_class(kind)
+    out[own] += _log_share(_word_logits(weights, states.take(own, 0), classes), tokens[own] % CLASS_WORDS)
     return out
 
 
@@ -283,14 +362,15 @@ def gradients(weights: dict, before: np.ndarray, tokens: np.ndarray, h: np.ndarr
     p[rows, kind] -= 1
     grad["to_class"], grad["class_bias"] = flat_states.T @ p, p.sum(0)
     down = p @ weights["to_class"].T
-    for k, at in _by_class(kind):
-        mine = flat_states.take(at, 0)
-        p = mine @ weights["to_word"][k]
-        p += weights["word_bias"][k]
-        p = _softmax(p)
-        p[np.arange(len(at)), flat_tokens[at] - k * CLASS_WORDS] -= 1
-        grad["to_word"][k], grad["word_bias"][k] = mine.T @ p, p.sum(0)
-        down[at] += p @ weights["to_word"][k].T
+    own, classes = _by_class(kind)
+    mine = flat_states.take(own, 0)
+    p = _softmax(_word_logits(weights, mine, classes))
+    p[np.arange(len(own)), flat_tokens[own] % CLASS_WORDS] -= 1
+    more = np.empty_like(mine, dtype=down.dtype)
+    for k, at in classes:
+        grad["to_word"][k], grad["word_bias"][k] = mine[at].T @ p[at], p[at].sum(0)
+        np.matmul(p[at], weights["to_word"][k].T, out=more[at])
+    down[own] += more
     down = down.reshape(steps, streams, HIDDEN)
     later = np.zeros((streams, HIDDEN), np.float32)
     into = np.empty((steps, streams, 3 * HIDDEN), np.float32)
@@ -386,10 +466,11 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             trainer, vocabulary, held, size = Trainer(start.value), Vocabulary.of(known.value), [], 0
-            for batch in batches:
-                for said in batch.column(1).to_pylist():
-                    held.append(vocabulary.tokens(said)[0])
-                    size += len(held[-1])
+            for batch in runs_of(batches):
+                ids, sizes, *_ = vocabulary.read(batch.column(1))
+                for own in np.split(ids, np.cumsum(sizes)[:-1]):
+                    held.append(own)
+                    size += len(own)
                     if size > CHUNK_TOKENS:
                         trainer.feed(np.concatenate(held))
                         held, size = [], 0
@@ -432,11 +513,11 @@ def score_documents(weights: dict, docs: list[np.ndarray], streams: int = SCORE_
         live = int((lengths > at).sum())  # streams are sorted by length
         part = tokens[at : at + steps, :live]
         gates, start = weights["inputs"].take(before[at : at + steps, :live], 0), before[at : at + steps, :live] == END
-        states = np.empty((*part.shape, HIDDEN), np.float32)
-        h, starts = h[:live].copy(), start.any(1).tolist()
+        gates, h, starts = _columns(gates), _columns(h[:live]), start.any(1).tolist()
+        states = np.empty((len(part), HIDDEN, live), np.float32).swapaxes(1, 2)
         for t in range(len(part)):
             if starts[t]:
-                h[start[t]] = 0
+                np.copyto(h, 0, where=start[t][:, None])
             h = _step(gates[t], h, weights["recurrent"])[0]
             states[t] = h
         logs[at : at + steps, :live] = log_probabilities(weights, states.reshape(-1, HIDDEN), part.ravel()).reshape(part.shape)
@@ -475,32 +556,25 @@ def score_texts(docs: DataFrame, training: Column, key: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, weights = Vocabulary.of(known.value), shaped(given.value)
-        held, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            logs = score_documents(weights, [row[-1] for row in held]) / np.log(10)
-            cols = list(zip(*(row[:-1] for row in held), strict=True))
-            rest = [Counter(words) for words in cols[7]]
-            words = [w for own in rest for w in own]
+        for batch in runs_of(batches):
+            ids, sizes, place, words, kinds = v.read(batch.column(1))
+            ends, seen = np.cumsum(sizes), place >= 0
+            sums = [np.add.reduceat(x, ends - sizes) for x in (seen.astype(np.int64), np.where(seen, v.base[place], 0), np.where(seen, v.inside[place], 0))]
+            logs = score_documents(weights, np.split(ids, ends[:-1])) / np.log(10)
+            # A text's words without a place, each with how often the text has it.
+            coded, row = words.dictionary_encode(), np.searchsorted(ends, np.flatnonzero(~seen), "right")
+            codes, many = coded.indices.to_numpy(), max(1, len(coded.dictionary))
+            kind = np.zeros(many, np.int32)
+            kind[codes] = kinds
+            pairs, n = np.unique(row * many + codes, return_counts=True)
             each = pa.StructArray.from_arrays(
-                [pa.array(words, pa.binary()), pa.array(list(map(rare_class, words)), pa.int32()), pa.array([n for own in rest for n in own.values()], pa.int64())],
-                fields=list(other.value_type),
+                [coded.dictionary.take(pa.array(pairs % many)), pa.array(kind[pairs % many]), pa.array(n, pa.int64())], fields=list(other.value_type)
             )
-            ends = np.cumsum([0, *map(len, rest)]).astype(np.int32)
-            return to_batch(schema, [*cols[:6], np.array(cols[6]) + logs, pa.ListArray.from_arrays(pa.array(ends), each, type=other)])
-
-        for batch in batches:
-            for doc, text_, one, two in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                ids, place, rest = v.tokens(text_)
-                seen = place[place >= 0]
-                n_known = len(seen) - (not v.end_known)
-                held.append((doc, one, two, len(ids), n_known, float(v.base[seen].sum()), float(v.inside[seen].sum()), rest, ids))
-                size += len(ids)
-                if size > CHUNK_TOKENS:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
+            starts = np.searchsorted(pairs, np.arange(len(sizes) + 1) * many).astype(np.int32)
+            yield to_batch(schema, [
+                batch.column(0), batch.column(2), batch.column(3), sizes, sums[0] - (not v.end_known), sums[1], sums[2] + logs,
+                pa.ListArray.from_arrays(pa.array(starts), each, type=other),
+            ])
 
     ddl = ", ".join(f"{n} bigint" for n in names) + ", base_score double, score double, other array<struct<word:binary,k:int,n:bigint>>"
     keyed = texts(docs, *row_key(docs, key, text), key=key, text=text)

@@ -532,6 +532,27 @@ def test_language_model_carries_state():
     assert np.allclose(language_model.score_documents(weights, docs, 2, 16), alone, rtol=1e-4)
 
 
+def test_language_model_reads_many_texts_at_once():
+    v = small_vocabulary()
+    said = ["", "W1 w2\tnew, W59", " \x0b\x1c w3\x85a\u2003b  E\u3000 ", "   ", "xé. É a\") .\"' x!!!!!!! ab?) -\"", "new, new, w59 9z"]
+    ids, sizes, place, other, kinds = v.read(pa.array(said))
+    split = [t.encode().lower().split() for t in said]
+    known = {f"w{k}".encode(): k for k in range(60)}
+    assert sizes.tolist() == [len(own) + 1 for own in split]
+    assert place.tolist() == [k for own in split for k in [*(known.get(w, -1) for w in own), 60]]
+    assert other.to_pylist() == [w for own in split for w in own if w not in known]
+    assert kinds.tolist() == [language_model.rare_class(w) for w in other.to_pylist()]
+    rare = iter(kinds.tolist())
+    assert ids.tolist() == [k for own in split for k in [*(1 + known[w] if w in known else language_model.OWN + next(rare) for w in own), 0]]
+    assert v.tokens(said[1])[2] == [b"new,"]
+
+
+def test_language_model_runs_of_texts():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(["a" * n for n in (3, 3, 0, 30, 1, 9, 9, 0)])], names=["doc_id", "text"])
+    runs = [r.column(0).to_pylist() for r in language_model.runs_of(iter([batch.slice(0, 2), batch.slice(2, 0), batch.slice(2)]), 12)]
+    assert runs == [[0, 1, 2], [3], [4, 5], [6, 7]]
+
+
 # --- chats --------------------------------------------------------------------------------
 
 
