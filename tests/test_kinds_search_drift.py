@@ -125,6 +125,44 @@ def test_similar_join_is_similar_for_every_query(titles, hot, at_least):
     assert len(rows) == len(set(rows)) and set(rows) == want
 
 
+def brute_force(rows, asked, at_least):
+    """Every pair, by Python sets of the trigrams that :func:`search.trigrams` gives."""
+    out = []
+    for q, mine in asked:
+        for k, other in rows:
+            shared = len(mine & other)
+            if mine and other and round(shared / (len(mine) + len(other) - shared), 6) >= at_least:
+                out.append((q, k, round(shared / (len(mine) + len(other) - shared), 6)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("hot", [7, 1_000_000])
+def test_similar_join_compares_equal_titles_once(spark, monkeypatch, hot):
+    said = ["red bolt", "Bolt RED", "red bolts", "hot rod", None]
+    docs = spark.createDataFrame([(k if k % 50 else None, said[k % 5]) for k in range(600)] + [(7, "red bolts")], "id int, title string")
+    asked = spark.createDataFrame([(k % 30, said[k % 5]) for k in range(45)], "q int, title string")
+    staged = []
+    kept = search.checkpointed
+    monkeypatch.setattr(search, "checkpointed", lambda df: staged.append(kept(df)) or staged[-1])
+    got = [tuple(r) for r in search.similar_join(docs, "id", F.col("title"), asked, "q", F.col("title"), 0.6, rows=hot).collect()]
+    sets = lambda df, k: [(r[0], set(r[1])) for r in df.select(k, F.coalesce(search.trigrams(F.col("title")), F.array())).collect()]
+    assert sorted(got, key=str) == brute_force(sets(docs, "id"), sets(asked, "q"), 0.6)
+    # Three sets of trigrams: two titles differ in order and case only.
+    lists = [df for df in staged if "place" in df.columns]
+    assert [df.select("row").distinct().count() for df in lists] == [3]
+
+
+def test_similar_join_of_short_and_long_texts(spark):
+    words = ["gear", "gears", "großer", "мир", "мира", "ring", "rings", "x", "plate", "größe"] + [f"w{k * 7919 % 1000}" for k in range(300)]
+    rows = [(k, " ".join(words[(k // 3 + j * (1 + k % 3)) % 310] for j in range((3, 40, 400)[k % 3]))) for k in range(120)]
+    docs = spark.createDataFrame(rows, "id int, title string")
+    asked = docs.where("id % 4 = 0").withColumnRenamed("id", "q")
+    sets = lambda df, k: [(r[0], set(r[1])) for r in df.select(k, search.trigrams(F.col("title"))).collect()]
+    for at_least in (0.3, 0.6):
+        got = search.similar_join(docs, "id", F.col("title"), asked, "q", F.col("title"), at_least)
+        assert sorted(map(tuple, got.collect()), key=str) == brute_force(sets(docs, "id"), sets(asked, "q"), at_least)
+
+
 def test_search_top_reads_few_blocks(spark, tmp_path):
     docs = spark.range(6000).select("id", F.concat_ws(" ", F.array_repeat(F.lit("common"), (1 + F.col("id") % 37).cast("int")), F.when(
         F.col("id") % 11 == 0, "rare rare")).alias("body"))
