@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +10,8 @@ from pyspark.sql.types import NumericType, StringType
 
 #: Each column is cut into ``2 ** BITS`` ranges of about equally many rows.
 BITS = 4
+#: How many first bytes of a string tell its range.
+FIRST = 6
 
 
 def _number(df: DataFrame, name: str) -> Column:
@@ -19,11 +20,27 @@ def _number(df: DataFrame, name: str) -> Column:
     if isinstance(kind, NumericType):
         return F.col(name).cast("double")
     if isinstance(kind, StringType):
-        first = F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(first, 16, 10).cast("double")
+        first = F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, FIRST)), 2 * FIRST, "0")
+        return F.conv(first, 16, 10).cast("bigint").cast("double")
     return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
 
 
+def _above(df: DataFrame, name: str, border: float) -> Column:
+    """Whether the column's number is above a border; strings are compared as bytes, without making the number."""
+    if isinstance(df.schema[name].dataType, StringType):
+        return F.substring(F.col(name).cast("binary"), 1, FIRST) > F.lit(bytearray(int(border).to_bytes(FIRST, "big")))
+    return _number(df, name) > F.lit(border)
+
+
+def _place(df: DataFrame, name: str, cuts: Sequence[float], first: int = 0) -> Column:
+    """How many of the sorted ``cuts`` the column is above, from ``first`` on, by halves; NULL is above none."""
+    if not cuts:
+        return F.lit(first).cast("bigint")
+    half = len(cuts) // 2
+    return F.when(_above(df, name, cuts[half]), _place(df, name, cuts[half + 1:], first + half + 1)).otherwise(
+        _place(df, name, cuts[:half], first))
+
+
 def interleaved(df: DataFrame, by: Sequence[str], bits: int = BITS) -> Column:
     """A number whose bits are the columns' ranges in turn, so near rows are near in every column.
 
@@ -34,9 +51,7 @@ def interleaved(df: DataFrame, by: Sequence[str], bits: int = BITS) -> Column:
     borders = df.agg(*[F.percentile_approx(_number(df, c), shares, 10_000).alias(c) for c in by]).first()
     out = F.lit(0).cast("bigint")
     for j, name in enumerate(by):
-        value = _number(df, name)
-        cuts = sorted(set(borders[name] or []))
-        place = reduce(Column.__add__, [F.coalesce(value > F.lit(b), F.lit(False)).cast("bigint") for b in cuts], F.lit(0).cast("bigint"))
+        place = _place(df, name, sorted(set(borders[name] or [])))
         for i in range(bits):
             bit = F.shiftright(place, i).bitwiseAND(F.lit(1))
             out = out.bitwiseOR(F.shiftleft(bit, i * len(by) + j))
