@@ -13,6 +13,7 @@ from feedproj.operators import canonical as C
 from feedproj.operators import commerce, digests, failures, guards, listing, ops, search
 from feedproj.operators.kinds import CONTENT_KINDS, Kinds
 from feedproj.plans.apply import ProjectionState, apply_batch
+from feedproj.session import shared_dir
 from feedproj.sources.feed import append_events
 from feedproj.streaming import operations as streaming_ops
 from feedproj.streaming import projection as streaming
@@ -179,6 +180,34 @@ def test_search_top_reads_few_blocks(spark, tmp_path):
     assert len(search.search_top(blocks, "id", ["rare"], 6000, 100_000, buckets=4).collect()) == 546
 
 
+@pytest.mark.parametrize("hot", [40, 1_000_000])
+def test_a_block_index_counts_words_once(spark, tmp_path, hot):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(body):
+        read.add(1)
+        return body
+
+    docs = spark.range(300).select((F.col("id") % 290).alias("id"), F.concat_ws(" ", F.array_repeat(F.lit("common"), (1 + F.col("id") % 7).cast("int")), F.when(
+        F.col("id") % 11 == 0, "rare Rare")).alias("body"))
+    index = search.inverted_index(docs.withColumn("body", told.asNondeterministic()("body")), "id", F.col("body"))
+    before = set(os.listdir(f"{shared_dir(spark)}/staged")) if os.path.isdir(f"{shared_dir(spark)}/staged") else set()
+    search.write_block_index(index, "id", str(tmp_path / "i"), block=16, buckets=4, rows=hot)
+    assert read.value == 300
+    if hot > 300:
+        assert set(os.listdir(f"{shared_dir(spark)}/staged")) == before
+    whole = search.inverted_index(docs, "id", F.col("body")).collect()
+    blocks = spark.read.parquet(str(tmp_path / "i")).collect()
+    assert sorted((b.term, p.id, p.tf) for b in blocks for p in b.postings) == sorted(map(tuple, whole))
+    for term in ("common", "rare"):
+        mine = sorted((b for b in blocks if b.term == term), key=lambda b: b.block)
+        asked = sorted(((-r.tf, r.id) for r in whole if r.term == term))
+        assert [len(b.postings) for b in mine[:-1]] == [16] * (len(mine) - 1) and {b.n_rows for b in mine} == {len(asked)}
+        for k, b in enumerate(mine):
+            assert sorted((-p.tf, p.id) for p in b.postings) == asked[16 * k:16 * k + 16] and b.max_tf == max(p.tf for p in b.postings)
+
+
 # --- percentiles and drift ------------------------------------------------------------------
 
 
